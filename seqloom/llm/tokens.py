@@ -47,52 +47,26 @@ class Encoder:
         for token in ranks:
             x = np.frombuffer(token, np.uint8)
             self.inside[x[:-1], x[1:]] = True
-        self.fragments = re.compile(self._fragment_pattern())
+        #: For each ASCII white space the last bytes of other characters that may be joined to it.
+        self.loose = {chr(s): {a for a in range(256) if self.inside[a, s] and not (a < 128 and chr(a).isspace())} for s in _SPACE}
+        self.ascii_forced = not any(a < 128 for x in self.loose.values() for a in x)
         self.known: dict[str, list[int]] = {}
 
-    def _fragment_pattern(self) -> str:
-        """Fragments end before ASCII white space if the pair is forced, else they go on."""
-        ends = []
-        for s in _SPACE:
-            free = [a for a in range(128) if not chr(a).isspace() and not self.inside[a, s]]
-            wide = not self.inside[128:, s].any()
-            cls = "".join(re.escape(chr(a)) for a in free) + ("\u0080-\U0010ffff" if wide else "")
-            if cls:
-                # a character that Python or the pattern takes for white space is no left side
-                ends.append(f"(?<=[{cls}])(?<!\\s)(?={re.escape(chr(s))})")
-        stop = "|".join(ends)
-        if not ends:
-            return r"(?s:.+)"
-        if self._all_forced():
-            return r"\s*\S+|\s+"
-        return rf"(?s:.+?)(?:{stop}|\Z)"
-
-    def _all_forced(self) -> bool:
-        """Is each character but white space a forced border before each ASCII white space?"""
-        left = [a for a in range(256) if a >= 128 or not chr(a).isspace()]
-        return not self.inside[np.ix_(left, list(_SPACE))].any()
-
     def pieces(self, text: str) -> list[str]:
         """Fragments whose ids, put together, are the ids of the text."""
-        found = self.fragments.findall(text)
-        if self._simple is False:
-            return found
-        # \s of Python is wider than ASCII: a fragment that begins with other white space is not
-        # certain to be cut rightly, so it is joined to the one before
-        if text.isascii() and not _ODD.search(text):
+        found = _FRAGMENT.findall(text)
+        if self.ascii_forced and text.isascii() and not _ODD.search(text):
             return found
+        # where the cut is not certain, a fragment is joined to the one before: if it begins with
+        # white space other than ASCII, or if some token holds the byte pair
         out: list[str] = []
         for x in found:
-            if out and x[0] not in _ASCII:
+            if out and ((free := self.loose.get(x[0])) is None or (free and _last_byte(out[-1][-1]) in free)):
                 out[-1] += x
             else:
                 out.append(x)
         return out
 
-    @property
-    def _simple(self) -> bool:
-        return self.fragments.pattern == r"\s*\S+|\s+"
-
     def encode(self, text: str | None) -> list[int]:
         """Ids without special tokens; null and empty texts have none."""
         if not text:
@@ -124,10 +98,17 @@ class Encoder:
         return out
 
 
-_ASCII = set(_SPACE.decode())
+#: White space and what follows it up to the next white space.
+_FRAGMENT = re.compile(r"\s*\S+|\s+")
+#: What Python, but not the pre-tokenising pattern, takes for white space.
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+def _last_byte(c: str) -> int:
+    o = ord(c)
+    return o if o < 128 else (o & 0x3F) | 0x80
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
