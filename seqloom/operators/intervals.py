@@ -214,3 +214,43 @@ def confusion_bases(truth: DataFrame, test: DataFrame, keys: Sequence[str], star
     return st.groupBy(*ks).agg(
         z((F.col("a") > 0) & (F.col("b") > 0))("tp"), z((F.col("a") > 0) & (F.col("b") == 0))("fn"), z((F.col("a") == 0) & (F.col("b") > 0))("fp")
     )
+
+
+def distance(a_start, a_end, b_start, b_end) -> Column:
+    """0 for intervals that share a base, else the smaller of the two distances between facing ends."""
+    a0, a1, b0, b1 = (F.col(x) if isinstance(x, str) else x for x in (a_start, a_end, b_start, b_end))
+    return F.when((a0 <= b1) & (b0 <= a1), F.lit(0)).otherwise(F.least(F.abs(a1 - b0), F.abs(a0 - b1)))
+
+
+def side(a_start, a_end, g_start, g_end, strand) -> Column:
+    """Where ``a`` lies seen from ``g`` on its own strand: Inside, Upstream or Downstream."""
+    a0, a1, g0, g1, s = (F.col(x) if isinstance(x, str) else x for x in (a_start, a_end, g_start, g_end, strand))
+    return F.when((a0 <= g1) & (g0 <= a1), "Inside").when((a1 < g0) == (s != "-"), "Upstream").otherwise("Downstream")
+
+
+def subtract_from_text(df: DataFrame, id_col: str, text: str, cuts: DataFrame, start: str, end: str, fill: str | None = None) -> DataFrame:
+    """Texts without the stretches given for their id, or with these filled by one letter.
+
+    Stretches are 1-based, closed, may overlap and are cut at the ends of the text. Texts without
+    any come out as they are; ids must be unique.
+    """
+    m = merged(cuts.select(F.col(id_col), F.greatest(F.col(start), F.lit(1)).alias("_a"), F.col(end).alias("_b")).filter("_b >= _a"), [id_col], "_a", "_b")
+    lists = m.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("_cuts"))
+    j = df.join(lists, id_col, "left").withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<struct<span_start:bigint,span_end:bigint>>")))
+    n = F.length(text)
+    # pieces between the stretches: from the end of one to the start of the next
+    froms = F.concat(F.array(F.lit(0).cast("long")), F.col("_cuts.span_end"))
+    tos = F.concat(F.col("_cuts.span_start"), F.array((n + 1).cast("long")))
+    piece = F.zip_with(
+        froms,
+        tos,
+        lambda a, b: F.concat(
+            F.substring(F.col(text), (a + 1).cast("int"), F.greatest(F.lit(0).cast("long"), b - a - 1).cast("int")),
+            F.repeat(F.lit(fill or ""), F.lit(0)),
+        ),
+    )
+    if fill is None:
+        return j.withColumn(text, F.array_join(piece, "")).drop("_cuts")
+    fills = F.transform("_cuts", lambda c: F.repeat(F.lit(fill), F.greatest(F.lit(0), F.least(c["span_end"], n) - F.least(c["span_start"], n + 1) + 1).cast("int")))
+    both = F.zip_with(piece, F.concat(fills, F.array(F.lit(""))), lambda p, f: F.concat(p, f))
+    return j.withColumn(text, F.array_join(both, "")).drop("_cuts")

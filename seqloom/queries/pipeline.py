@@ -6,19 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import intervals, rejects, skew
+from seqloom.queries.registry import registry
 from seqloom.session import table
 
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def trimmed(c: str) -> Column:
