@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 TE_FIELDS = ("chrom", "te_start", "te_end", "strand", "te_name", "te_fam", "te_class", "score")
 OUT_FIELDS = ("sw_score", "pct_div", "pct_del", "pct_ins", "seq_name", "seq_begin", "seq_end", "left_bp", "strand", "ele", "ele_class", "c1", "c2", "c3", "hit_id")
 
-NUMBER, NAME, DECIMAL, PAREN = r"^[0-9]+$", r"^[A-Za-z0-9_.\-]+$", r"^[0-9]+(\.[0-9]+)?$", r"^\([0-9]+\)$"
+#: Patterns of whole values; ``\\z``, as ``$`` would accept a line end after them.
+NUMBER, NAME, DECIMAL, PAREN = r"\A[0-9]+\z", r"\A[A-Za-z0-9_.\-]+\z", r"\A[0-9]+(\.[0-9]+)?\z", r"\A\([0-9]+\)\z"
 #: A field in double quotes as a whole, or one without any; possessive, so that long fields cannot overflow the stack.
 _FIELD = r'(?:^|\t)("[^"]*+(?:""[^"]*+)*+"|[^"\t]*+)'
 

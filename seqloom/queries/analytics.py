@@ -29,8 +29,10 @@ def q(name: str, sql: str | None = None):
     return add
 
 
-one = F.lit(1)
-n_rows = F.count(one).alias("n")
+
+def rows_n():
+    return F.count(F.lit(1)).alias("n")
+
 
 # ---- annotation summary
 
@@ -54,7 +56,7 @@ q("agg_a4_masked_percent", f"WITH {_H}, z AS (SELECT genome, CAST(size_mb * 1000
 q("agg_a1_collect", "SELECT genome, list(te_name ORDER BY te_name) AS names FROM (SELECT DISTINCT genome, te_name FROM te_copies WHERE te_name IS NOT NULL) GROUP BY 1")(lambda t, s, d: t("te_copies").filter("te_name is not null").groupBy("genome").agg(F.array_sort(F.collect_set("te_name")).alias("names")))
 q("agg_a3_distinct_ids", "SELECT genome, count(DISTINCT hit_id) AS n FROM rm_out GROUP BY 1")(lambda t, s, d: t("rm_out").groupBy("genome").agg(F.count_distinct("hit_id").alias("n")))
 q("agg_a5_class_ratio", "SELECT te_class, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM te_copies), 6) AS ratio, count(DISTINCT genome) AS species FROM te_copies GROUP BY 1")(
-    lambda t, s, d: t("te_copies").groupBy("te_class").agg(n_rows, F.count_distinct("genome").alias("species")).select("te_class", "n", F.round(F.col("n") / t("te_copies").agg(F.count(one)).scalar(), 6).alias("ratio"), "species")
+    lambda t, s, d: t("te_copies").groupBy("te_class").agg(rows_n(), F.count_distinct("genome").alias("species")).select("te_class", "n", F.round(F.col("n") / t("te_copies").agg(F.count(F.lit(1))).scalar(), 6).alias("ratio"), "species")
 )
 
 
@@ -122,7 +124,7 @@ q("agg_a11_adjusted_p", "WITH x AS (SELECT ordinal, te_class, (score % 1000) / 1
 
 def _masks(t):
     names = sorted(r[0] for r in t("genomes").select("genome").limit(62).collect())  # a dimension of 24 rows
-    c = t("te_copies").filter("trim(te_name) <> ''").groupBy(F.trim("te_name").alias("family"), "genome").agg(n_rows)
+    c = t("te_copies").filter("trim(te_name) <> ''").groupBy(F.trim("te_name").alias("family"), "genome").agg(rows_n())
     return pan.presence(c, names), names
 
 
@@ -191,17 +193,17 @@ q("agg_a21_longest_copy", "SELECT te_name, copy_id, n FROM (SELECT trim(te_name)
     lambda t, s, d: t("te_copies").filter("trim(te_name) <> '' and te_end - te_start >= 100").groupBy(F.trim("te_name").alias("te_name")).agg(F.max_by(F.struct("copy_id", (F.col("te_end") - F.col("te_start")).alias("n")), F.struct(F.col("te_end") - F.col("te_start"), -F.col("ordinal"))).alias("x")).select("te_name", "x.*")
 )
 q("agg_a22_cluster_sizes", "WITH c AS (SELECT te_fam, count(*) AS n FROM te_copies GROUP BY 1) SELECT count(*) FILTER (n = 1) AS single_clusters, count(*) FILTER (n > 1) AS multi_clusters, CAST(sum(n) FILTER (n > 1) AS BIGINT) AS multi_members FROM c")(
-    lambda t, s, d: t("te_copies").groupBy("te_fam").agg(n_rows).agg(F.count(F.when(F.col("n") == 1, 1)).alias("single_clusters"), F.count(F.when(F.col("n") > 1, 1)).alias("multi_clusters"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("multi_members"))
+    lambda t, s, d: t("te_copies").groupBy("te_fam").agg(rows_n()).agg(F.count(F.when(F.col("n") == 1, 1)).alias("single_clusters"), F.count(F.when(F.col("n") > 1, 1)).alias("multi_clusters"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("multi_members"))
 )
 q("agg_a23_genome_totals", f"WITH {_S} SELECT genome, CAST(sum(length(q)) AS BIGINT) AS bases, CAST(sum(length(q) - length(replace(q, 'N', ''))) AS BIGINT) AS unknown FROM s GROUP BY 1")(
     lambda t, s, d: seqs(s, d).groupBy("genome").agg(F.sum(F.length("q")).alias("bases"), F.sum(F.length("q") - F.length(F.replace("q", F.lit("N"), F.lit("")))).alias("unknown"))
 )
-q("agg_a24_copy_histogram", "SELECT n AS copies, count(*) AS families FROM (SELECT te_name, count(*) AS n FROM te_copies GROUP BY 1) GROUP BY 1")(lambda t, s, d: t("te_copies").groupBy("te_name").agg(F.count(one).alias("copies")).groupBy("copies").agg(F.count(one).alias("families")))
+q("agg_a24_copy_histogram", "SELECT n AS copies, count(*) AS families FROM (SELECT te_name, count(*) AS n FROM te_copies GROUP BY 1) GROUP BY 1")(lambda t, s, d: t("te_copies").groupBy("te_name").agg(F.count(F.lit(1)).alias("copies")).groupBy("copies").agg(F.count(F.lit(1)).alias("families")))
 q("agg_a25_medians", "SELECT te_class, round(median(te_end - te_start), 2) AS median_length FROM te_copies GROUP BY 1")(lambda t, s, d: t("te_copies").groupBy("te_class").agg(F.round(F.median(F.col("te_end") - F.col("te_start")), 2).alias("median_length")))
 q("agg_a26_feature_counts", "WITH r AS (SELECT genome || ':' || regexp_extract(chrom, '([0-9]+)$', 1) AS c, te_start + 1 AS a, te_end AS b FROM te_copies WHERE te_start < te_end), f AS (SELECT DISTINCT ann_id, genome || ':' || regexp_extract(seq_name, '([0-9]+)$', 1) AS c, seq_begin AS a, seq_end AS b FROM rm_out) SELECT f.ann_id, count(*) AS n FROM f JOIN r ON r.c = f.c AND r.a <= f.b AND f.a <= r.b GROUP BY 1")(
     lambda t, s, d: iv.overlap_join(
         t("te_copies").filter("te_start < te_end").select(F.expr(_TEST["chrom"]).alias("c"), (F.col("te_start") + 1).alias("a"), F.col("te_end").alias("b")),
-        t("rm_out").select("ann_id", F.expr(_STD["chrom"]).alias("c"), F.col("seq_begin").alias("a2"), F.col("seq_end").alias("b2")).distinct(), ["c"], "a", "b", "a2", "b2").groupBy("ann_id").agg(n_rows)
+        t("rm_out").select("ann_id", F.expr(_STD["chrom"]).alias("c"), F.col("seq_begin").alias("a2"), F.col("seq_end").alias("b2")).distinct(), ["c"], "a", "b", "a2", "b2").groupBy("ann_id").agg(rows_n())
 )
 q("scan_s33_base_statistics", f"WITH {_S}, x AS (SELECT seq_id::VARCHAR AS name, length(q) AS bases, length(q) - length(replace(q, 'N', '')) AS unknown FROM s), u AS (SELECT * FROM x UNION ALL SELECT 'All', sum(bases), sum(unknown) FROM x) SELECT name, CAST(bases AS BIGINT) AS bases, CAST(unknown AS BIGINT) AS unknown, CASE WHEN bases > 0 THEN round(unknown::DOUBLE / bases, 6) END AS missing FROM u")(
     lambda t, s, d: (lambda x: x.unionByName(x.agg(F.lit("All").alias("name"), F.sum("bases").alias("bases"), F.sum("unknown").alias("unknown"))).select("name", "bases", "unknown", F.when(F.col("bases") > 0, F.round(F.col("unknown") / F.col("bases"), 6)).alias("missing")))(
@@ -220,10 +222,10 @@ q("win_w4_duplicate_names", "SELECT ordinal, CASE WHEN r = 1 THEN te_name ELSE t
 q("win_w5_first_by_priority", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 ELSE 1 END, event_id) AS r FROM events) WHERE r = 1")(lambda t, s, d: t("events").groupBy("user_id").agg(F.min_by("event_id", F.struct(F.when(F.col("event_type") == "purchase", 0).otherwise(1), "event_id")).alias("event_id")))
 q("win_w6_distinct_keep_all", "SELECT genome, te_name, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY genome, te_name ORDER BY ordinal) AS r FROM te_copies) WHERE r = 1")(lambda t, s, d: t("te_copies").groupBy("genome", "te_name").agg(F.min("ordinal").alias("ordinal")))
 q("win_w7_sliding_mean", "WITH m AS (SELECT event_id, user_id, ts, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS mean, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS n FROM events) SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM m WHERE n = 5 AND mean >= 50) WHERE r = 1")(
-    lambda t, s, d: (lambda w: t("events").select("user_id", "event_id", "ts", F.avg("value").over(w.rowsBetween(0, 4)).alias("m"), F.count(one).over(w.rowsBetween(0, 4)).alias("n")).filter("n = 5 and m >= 50").groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id")))(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    lambda t, s, d: (lambda w: t("events").select("user_id", "event_id", "ts", F.avg("value").over(w.rowsBetween(0, 4)).alias("m"), F.count(F.lit(1)).over(w.rowsBetween(0, 4)).alias("n")).filter("n = 5 and m >= 50").groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id")))(W.partitionBy("user_id").orderBy("ts", "event_id"))
 )
 q("win_w8_run_lengths", "WITH x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events) SELECT user_id, event_type, max(n) AS longest FROM (SELECT user_id, event_type, g, count(*) AS n FROM x GROUP BY 1, 2, 3) GROUP BY 1, 2")(
-    lambda t, s, d: t("events").withColumn("g", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))).groupBy("user_id", "event_type", "g").agg(n_rows).groupBy("user_id", "event_type").agg(F.max("n").alias("longest"))
+    lambda t, s, d: t("events").withColumn("g", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))).groupBy("user_id", "event_type", "g").agg(rows_n()).groupBy("user_id", "event_type").agg(F.max("n").alias("longest"))
 )
 q("win_w9_previous_row", "SELECT ordinal, seq_begin - lag(seq_end) OVER (PARTITION BY genome, seq_name ORDER BY ordinal) AS away FROM rm_out")(lambda t, s, d: t("rm_out").select("ordinal", (F.col("seq_begin") - F.lag("seq_end").over(W.partitionBy("genome", "seq_name").orderBy("ordinal"))).alias("away")))
 
@@ -297,7 +299,7 @@ def _placed_words(s, d, k=8):
     return seqs(s, d).filter(F.length("q") >= k).select("seq_id", F.posexplode(words("q", k)).alias("pos", "w")).withColumn("pos", F.col("pos") + 1)
 
 
-q("v1_word_table", f"{_W3} SELECT w, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 5")(lambda t, s, d: _placed_words(s, d).groupBy("w").agg(n_rows).filter("n >= 5"))
+q("v1_word_table", f"{_W3} SELECT w, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 5")(lambda t, s, d: _placed_words(s, d).groupBy("w").agg(rows_n()).filter("n >= 5"))
 
 
 @q("v2_self_distance", f"{_W3}, x AS (SELECT seq_id, pos, pos - lag(pos) OVER v AS b, lead(pos) OVER v - pos AS a FROM k WINDOW v AS (PARTITION BY seq_id, w ORDER BY pos)), y AS (SELECT seq_id, pos, CASE WHEN b BETWEEN 20 AND 2000 THEN b END AS b, CASE WHEN a BETWEEN 20 AND 2000 THEN a END AS a FROM x) SELECT seq_id, pos, least(a, b) AS score FROM y WHERE a IS NOT NULL OR b IS NOT NULL")
@@ -324,23 +326,23 @@ q("v14_local_maxima", "SELECT event_id FROM (SELECT event_id, value, lag(value)
     lambda t, s, d: (lambda w: t("events").select("event_id", "value", F.lag("value").over(w).alias("p"), F.lead("value").over(w).alias("n")))(W.partitionBy("user_id").orderBy("ts", "event_id")).filter("value > p and value > n").select("event_id")
 )
 q("v16_enrichment", f"{_W3}, c AS (SELECT w, count(*) AS n FROM k GROUP BY 1) SELECT w, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY left(w, 7)), 6) AS given_prefix FROM c")(
-    lambda t, s, d: (lambda c: c.select("w", "n", F.round(F.col("n") / F.sum("n").over(W.partitionBy(F.left("w", F.lit(7)))), 6).alias("given_prefix")))(_placed_words(s, d).groupBy("w").agg(n_rows))
+    lambda t, s, d: (lambda c: c.select("w", "n", F.round(F.col("n") / F.sum("n").over(W.partitionBy(F.left("w", F.lit(7)))), 6).alias("given_prefix")))(_placed_words(s, d).groupBy("w").agg(rows_n()))
 )
 q("v20_unclear_bases", "SELECT seq_id, translate(upper(chrseq), 'MYHRSKVDBW', 'CCCGGGGGGT') AS read FROM sequences")(lambda t, s, d: t("sequences").select("seq_id", F.translate(F.upper("chrseq"), "MYHRSKVDBW", "CCCGGGGGGT").alias("read")))
-q("v21_density", "SELECT genome, count(*) FILTER (strand = '+') AS plus, count(*) FILTER (strand IN ('-', 'C')) AS minus, count(*) AS n FROM te_copies GROUP BY 1")(lambda t, s, d: t("te_copies").groupBy("genome").agg(F.count(F.when(F.col("strand") == "+", 1)).alias("plus"), F.count(F.when(F.col("strand").isin("-", "C"), 1)).alias("minus"), n_rows))
+q("v21_density", "SELECT genome, count(*) FILTER (strand = '+') AS plus, count(*) FILTER (strand IN ('-', 'C')) AS minus, count(*) AS n FROM te_copies GROUP BY 1")(lambda t, s, d: t("te_copies").groupBy("genome").agg(F.count(F.when(F.col("strand") == "+", 1)).alias("plus"), F.count(F.when(F.col("strand").isin("-", "C"), 1)).alias("minus"), rows_n()))
 q("v22_fixed_cutting", f"WITH {_S} SELECT seq_id, unnest(range(0, greatest(1, (length(q) + 4999) // 5000))) AS part, length(substr(q, 1 + 5000 * unnest(range(0, greatest(1, (length(q) + 4999) // 5000))), 5000)) AS n FROM s")(
     lambda t, s, d: seqs(s, d).select("seq_id", "q", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length("q") / 5000)).cast("long") - 1)).alias("part")).select("seq_id", "part", F.length(F.substring("q", (1 + 5000 * F.col("part")).cast("int"), F.lit(5000))).cast("long").alias("n"))
 )
 q("v29_split_by_kind", "SELECT r.ordinal, CASE WHEN g.is_plant = 1 THEN 'plant' ELSE 'other' END AS part FROM rm_out r JOIN genomes g USING (genome)")(lambda t, s, d: t("rm_out").join(t("genomes").select("genome", "is_plant"), "genome").select("ordinal", F.when(F.col("is_plant") == 1, "plant").otherwise("other").alias("part")))
 q("v31_proportional_sizes", "WITH c AS (SELECT te_fam, count(*) AS n FROM te_copies WHERE te_fam IS NOT NULL GROUP BY 1) SELECT te_fam, greatest(1, CAST(floor(n * 1000.0 / (SELECT sum(n) FROM c)) AS BIGINT)) AS target FROM c")(
-    lambda t, s, d: (lambda c: c.select("te_fam", F.greatest(F.lit(1), F.floor(F.col("n") * 1000.0 / c.agg(F.sum("n")).scalar())).cast("long").alias("target")))(t("te_copies").filter("te_fam is not null").groupBy("te_fam").agg(n_rows))
+    lambda t, s, d: (lambda c: c.select("te_fam", F.greatest(F.lit(1), F.floor(F.col("n") * 1000.0 / c.agg(F.sum("n")).scalar())).cast("long").alias("target")))(t("te_copies").filter("te_fam is not null").groupBy("te_fam").agg(rows_n()))
 )
 q("v32_medians_by_method", "SELECT method, median(n) AS median_length FROM (SELECT 'rm' AS method, seq_end - seq_begin AS n FROM rm_out UNION ALL SELECT 'te', te_end - te_start FROM te_copies) GROUP BY 1")(lambda t, s, d: t("rm_out").select(F.lit("rm").alias("method"), (F.col("seq_end") - F.col("seq_begin")).alias("n")).union(t("te_copies").select(F.lit("te"), F.col("te_end") - F.col("te_start"))).groupBy("method").agg(F.median("n").alias("median_length")))
 q("v33_type_distribution", "SELECT l.te_class, count(*) AS copies, round(avg(c.te_end - c.te_start), 4) AS mean_length, round(median(c.score), 4) AS median_score FROM te_copies c JOIN te_library l ON l.te_name = c.te_name GROUP BY 1")(
-    lambda t, s, d: t("te_copies").join(t("te_library").select("te_name", F.col("te_class").alias("lc")), "te_name").groupBy(F.col("lc").alias("te_class")).agg(F.count(one).alias("copies"), F.round(F.avg(F.col("te_end") - F.col("te_start")), 4).alias("mean_length"), F.round(F.median("score"), 4).alias("median_score"))
+    lambda t, s, d: t("te_copies").join(t("te_library").select("te_name", F.col("te_class").alias("lc")), "te_name").groupBy(F.col("lc").alias("te_class")).agg(F.count(F.lit(1)).alias("copies"), F.round(F.avg(F.col("te_end") - F.col("te_start")), 4).alias("mean_length"), F.round(F.median("score"), 4).alias("median_score"))
 )
 q("v34_tool_metrics", f"WITH {_PAIRS}, m AS (SELECT string_split(truth, '/')[1] AS truth, string_split(predicted, '/')[1] AS predicted FROM p) SELECT truth, count(*) AS n, round(avg(CASE WHEN truth = predicted THEN 1 ELSE 0 END), 6) AS recall FROM m GROUP BY 1")(
-    lambda t, s, d: _labels(t).select(F.split("truth", "/")[0].alias("truth"), F.split("predicted", "/")[0].alias("predicted")).groupBy("truth").agg(n_rows, F.round(F.avg(F.when(F.col("truth") == F.col("predicted"), 1).otherwise(0)), 6).alias("recall"))
+    lambda t, s, d: _labels(t).select(F.split("truth", "/")[0].alias("truth"), F.split("predicted", "/")[0].alias("predicted")).groupBy("truth").agg(rows_n(), F.round(F.avg(F.when(F.col("truth") == F.col("predicted"), 1).otherwise(0)), 6).alias("recall"))
 )
 q("v36_payload_relabel", "SELECT ordinal, concat_ws(';', genome, chrom, te_start::VARCHAR, te_end::VARCHAR, 'relabelled', strand) AS payload FROM te_copies WHERE genome IS NOT NULL AND chrom IS NOT NULL AND strand IS NOT NULL")(
     lambda t, s, d: t("te_copies").filter("genome is not null and chrom is not null and strand is not null").select("ordinal", F.concat_ws(";", "genome", "chrom", F.col("te_start").cast("string"), F.col("te_end").cast("string"), F.coalesce("te_class", F.lit("")), "strand").alias("p")).select("ordinal", F.array_join(F.transform(F.split("p", ";"), lambda x, i: F.when(i == 4, F.lit("relabelled")).otherwise(x)), ";").alias("payload"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,46 +25,45 @@ def seqs(spark: SparkSession, d: str) -> DataFrame:
     return t.select("seq_id", "chrname", "genome", sq.cleaned("chrseq").alias("q"))
 
 
-def _on_seqs(name: str, sql: str, **cols: Column):
-    """A query that computes columns on every cleaned sequence."""
+def _on_seqs(name: str, sql: str, **cols: Callable[[], Column]):
+    """A query that computes columns on every cleaned sequence; they are made when it runs."""
 
     @query(name, f"WITH {_S} SELECT seq_id, {sql} FROM s")
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return seqs(spark, d).select("seq_id", *[c.alias(n) for n, c in cols.items()])
+        return seqs(spark, d).select("seq_id", *[c().alias(n) for n, c in cols.items()])
 
     run.__name__ = name
     return run
 
 
-q = F.col("q")
-_on_seqs("fn_f1_reverse_complement", _RC.format("q") + " AS rc", rc=sq.reverse_complement("q"))
-_on_seqs("fn_f2_only_bases", "regexp_replace(upper(q), '[^ACGT]', '', 'g') AS bases", bases=sq.only_bases("q"))
-_on_seqs("fn_f3_slice", "substr(q, 11, 30) AS part", part=sq.slice_closed("q", F.lit(11), F.lit(40)))
-_on_seqs("fn_f5_ends", "left(q, 5) || right(q, 5) AS tips", tips=sq.ends("q", 5))
+_on_seqs("fn_f1_reverse_complement", _RC.format("q") + " AS rc", rc=lambda: sq.reverse_complement("q"))
+_on_seqs("fn_f2_only_bases", "regexp_replace(upper(q), '[^ACGT]', '', 'g') AS bases", bases=lambda: sq.only_bases("q"))
+_on_seqs("fn_f3_slice", "substr(q, 11, 30) AS part", part=lambda: sq.slice_closed("q", F.lit(11), F.lit(40)))
+_on_seqs("fn_f5_ends", "left(q, 5) || right(q, 5) AS tips", tips=lambda: sq.ends("q", 5))
 _on_seqs(
     "fn_f10_one_hot_ends",
     "list_transform(range(0, 40), lambda i: CASE WHEN substr(left(q, 5) || right(q, 5), 1 + i // 4, 1) = substr('ATCG', 1 + i % 4, 1) THEN 1 ELSE 0 END) AS code",
-    code=sq.one_hot(sq.ends("q", 5), 10),
+    code=lambda: sq.one_hot(sq.ends("q", 5), 10),
 )
-_on_seqs("fn_f16_end_distance", "list_sum(list_transform(range(1, 1 + least(length(left(q, 20)), length(right(q, 18)))), lambda i: CASE WHEN substr(left(q, 20), i, 1) <> substr(right(q, 18), i, 1) THEN 1 ELSE 0 END)) + abs(length(left(q, 20)) - length(right(q, 18))) AS far", far=sq.edit_free_distance(F.left(q, F.lit(20)), F.right(q, F.lit(18))))
-_on_seqs("fn_f18_motif", "strpos(q, 'TTAA') - 1 AS short_at, coalesce(strpos(q, nullif(regexp_extract(q, '" + sq.motif_pattern("TGACATCA") + "'), '')), 0) - 1 AS long_at", short_at=sq.motif_position("q", "TTAA"), long_at=sq.motif_position("q", "TGACATCA"))
+_on_seqs("fn_f16_end_distance", "list_sum(list_transform(range(1, 1 + least(length(left(q, 20)), length(right(q, 18)))), lambda i: CASE WHEN substr(left(q, 20), i, 1) <> substr(right(q, 18), i, 1) THEN 1 ELSE 0 END)) + abs(length(left(q, 20)) - length(right(q, 18))) AS far", far=lambda: sq.edit_free_distance(F.left("q", F.lit(20)), F.right("q", F.lit(18))))
+_on_seqs("fn_f18_motif", "strpos(q, 'TTAA') - 1 AS short_at, coalesce(strpos(q, nullif(regexp_extract(q, '" + sq.motif_pattern("TGACATCA") + "'), '')), 0) - 1 AS long_at", short_at=lambda: sq.motif_position("q", "TTAA"), long_at=lambda: sq.motif_position("q", "TGACATCA"))
 _on_seqs(
     "fn_f24_poly_tails",
     "CASE WHEN contains(q, 'AAAAAA') THEN length(q) - strpos(reverse(q), 'AAAAAA') + 1 ELSE -1 END AS a_end, CASE WHEN contains(q, 'TTTTTT') THEN length(q) - strpos(reverse(q), 'TTTTTT') + 1 ELSE -1 END AS t_end",
-    a_end=sq.tail_run_end("q", "A"),
-    t_end=sq.tail_run_end("q", "T"),
+    a_end=lambda: sq.tail_run_end("q", "A"),
+    t_end=lambda: sq.tail_run_end("q", "T"),
 )
 _on_seqs(
     "fn_f25_near_poly_tail",
     "CASE WHEN length(q) < 6 THEN false ELSE list_bool_or(list_transform(range(greatest(0, length(q) - 11), length(q) - 5), lambda i: length(replace(substr(q, i + 1, 6), 'A', '')) <= 1 OR length(replace(substr(q, i + 1, 6), 'T', '')) <= 1)) END AS near_tail",
-    near_tail=sq.near_poly_tail("q"),
+    near_tail=lambda: sq.near_poly_tail("q"),
 )
-_on_seqs("fn_f29_at_rich", "CASE WHEN length(q) > 0 THEN round((length(q) - length(regexp_replace(q, '[AT]', '', 'g')))::DOUBLE / length(q), 6) END AS share, coalesce((length(q) - length(regexp_replace(q, '[AT]', '', 'g')))::DOUBLE / nullif(length(q), 0) > 0.8, false) AS rich", share=F.round(sq.at_share("q"), 6), rich=F.coalesce(sq.at_share("q") > 0.8, F.lit(False)))
-_on_seqs("fn_f30_unknown_runs", "contains(q, 'NNNNNNNNNN') AS has_run, regexp_full_match(q, 'N+') AS all_n", has_run=F.contains(q, F.lit("N" * 10)), all_n=q.rlike("^N+$"))
-_on_seqs("fn_f26_repeat_tail", "1", repeat_tail=sq.repeat_near_tail(F.right(q, F.lit(20))))
-_on_seqs("fn_f27_sine_tail", "1", sine_tail=sq.tail_like_sine("q"))
+_on_seqs("fn_f29_at_rich", "CASE WHEN length(q) > 0 THEN round((length(q) - length(regexp_replace(q, '[AT]', '', 'g')))::DOUBLE / length(q), 6) END AS share, coalesce((length(q) - length(regexp_replace(q, '[AT]', '', 'g')))::DOUBLE / nullif(length(q), 0) > 0.8, false) AS rich", share=lambda: F.round(sq.at_share("q"), 6), rich=lambda: F.coalesce(sq.at_share("q") > 0.8, F.lit(False)))
+_on_seqs("fn_f30_unknown_runs", "contains(q, 'NNNNNNNNNN') AS has_run, regexp_full_match(q, 'N+') AS all_n", has_run=lambda: F.contains("q", F.lit("N" * 10)), all_n=lambda: F.col("q").rlike("^N+$"))
+_on_seqs("fn_f26_repeat_tail", "1", repeat_tail=lambda: sq.repeat_near_tail(F.right("q", F.lit(20))))
+_on_seqs("fn_f27_sine_tail", "1", sine_tail=lambda: sq.tail_like_sine("q"))
 del SQL["fn_f26_repeat_tail"], SQL["fn_f27_sine_tail"]  # back-references: no SQL
-_on_seqs("v26_inverted_ends", f"CASE WHEN length(q) >= 5 THEN list_sum(list_transform(range(1, 6), lambda i: CASE WHEN substr(q, i, 1) <> substr({_RC.format('right(q, 5)')}, i, 1) THEN 1 ELSE 0 END)) <= 2 END AS inverted", inverted=F.when(F.length(q) >= 5, sq.mismatches(F.left(q, F.lit(5)), sq.reverse_complement(F.right(q, F.lit(5)))) <= 2))
+_on_seqs("v26_inverted_ends", f"CASE WHEN length(q) >= 5 THEN list_sum(list_transform(range(1, 6), lambda i: CASE WHEN substr(q, i, 1) <> substr({_RC.format('right(q, 5)')}, i, 1) THEN 1 ELSE 0 END)) <= 2 END AS inverted", inverted=lambda: F.when(F.length("q") >= 5, sq.mismatches(F.left("q", F.lit(5)), sq.reverse_complement(F.right("q", F.lit(5)))) <= 2))
 
 
 @query("fn_f4_flanks", f"""WITH {_S}, e AS (SELECT seq_id, q, 1 + seq_id % 300 AS a, 1 + seq_id % 300 + 150 AS b, CASE WHEN seq_id % 2 = 0 THEN '-' ELSE '+' END AS strand FROM s),
@@ -327,7 +328,7 @@ def flt_p7(spark, d):
 @query("flt_p8_clean_up", f"WITH {_S} SELECT seq_id FROM s WHERE length(q) >= 80 AND NOT regexp_full_match(q, 'N+') AND length(q) - length(replace(q, 'N', '')) < 0.2 * length(q)")
 def flt_p8(spark, d):
     n = F.length("q") - F.length(F.replace("q", F.lit("N"), F.lit("")))
-    return seqs(spark, d).filter((F.length("q") >= 80) & ~q.rlike("^N+$") & (n < 0.2 * F.length("q"))).select("seq_id")
+    return seqs(spark, d).filter((F.length("q") >= 80) & ~F.col("q").rlike("^N+$") & (n < 0.2 * F.length("q"))).select("seq_id")
 
 
 @query("flt_p9_copy_split", "SELECT te_name, count(*) AS n, CASE WHEN count(*) >= 5 THEN 'high' ELSE 'low' END AS side FROM te_copies WHERE te_name IS NOT NULL GROUP BY 1")
