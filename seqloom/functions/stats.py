@@ -62,18 +62,30 @@ def welch(groups: DataFrame, n1: str, m1: str, v1: str, n2: str, m2: str, v2: st
     return groups.withColumns({"t": t, "dof": dof})
 
 
+#: Ranges of p-values that are ranked on their own.
+P_RANGES = 4096
+
+
 def benjamini_hochberg(df: DataFrame, by: Sequence[str], p: str, name: str = "p_adjusted") -> DataFrame:
     """Adjusted p-values within ``by``: running minimum from the largest of ``p * n / rank``, at most 1; null stays null.
 
-    Equal p-values get equal results. Values are counted before they are ranked, so repeated
-    ones cost one row.
+    Equal p-values get equal results. Values are counted before they are ranked, and ranks and
+    minima are put together from those of value ranges and those within a range, so that no
+    group is sorted as a whole in one task. p-values lie between 0 and 1; rows with a null key get null.
     """
     c = df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_k"))
-    w = W.partitionBy(*by).orderBy(p)
-    c = c.withColumns({"_rank": F.sum("_k").over(w), "_n": F.sum("_k").over(W.partitionBy(*by))})
-    raw = F.col(p) * F.col("_n") / F.col("_rank")
-    adj = F.least(F.lit(1.0), F.min(raw).over(w.rowsBetween(0, W.unboundedFollowing)))
-    return df.join(c.select(*by, p, adj.alias(name)), [*by, p], "left")
+    c = c.withColumn("_b", F.floor(F.col(p) * P_RANGES).cast("int"))
+    ranges = c.groupBy(*by, "_b").agg(F.sum("_k").alias("_bk"))
+    w = W.partitionBy(*by).orderBy("_b")
+    ranges = ranges.withColumns({"_off": F.coalesce(F.sum("_bk").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_bk").over(W.partitionBy(*by))}).drop("_bk")
+    inner = W.partitionBy(*by, "_b")
+    c = c.join(ranges, [*by, "_b"]).withColumn("_raw", F.col(p) * F.col("_n") / (F.col("_off") + F.sum("_k").over(inner.orderBy(p))))
+    # running minimum from the largest value: downwards, as a frame that ends at the current row costs one pass
+    down = W.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
+    above = c.groupBy(*by, "_b").agg(F.min("_raw").alias("_m")).select(*by, "_b", F.min("_m").over(down).alias("_above"))
+    here = F.min("_raw").over(inner.orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0))
+    adj = c.withColumn("_here", here).join(above, [*by, "_b"]).select(*by, p, F.least(F.lit(1.0), F.col("_here"), F.coalesce("_above", F.lit(1.0))).alias(name))
+    return df.join(adj, [*by, p], "left")
 
 
 def fit_power(x: Sequence[float], y: Sequence[float]) -> tuple[float, float]:
