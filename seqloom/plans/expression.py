@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions.stats import benjamini_hochberg, t_p_value, welch
+from seqloom.session import materialize
 
 TYPES = ("Upstream", "Inside", "Downstream")
 BASE = "No_Insertion"
@@ -48,7 +49,8 @@ def differential(placed: DataFrame, p_most: float = 0.05, fold_least: float = 1.
     Significant types come first, then Upstream, Inside, Downstream; a gene whose first type has
     no fold or p-value is dropped, even if another type could be tested.
     """
-    t = tests(placed).withColumn("p", t_p_value(F.col("t"), F.col("dof")))
+    # one row per gene and type, read several times by the adjustment: written once
+    t = materialize(tests(placed).withColumn("p", t_p_value(F.col("t"), F.col("dof"))), "tests")
     t = benjamini_hochberg(t, ["position"], "p")
     sig = (F.abs("fold") > fold_least) & (F.col("p_adjusted") < p_most)
     t = t.withColumn("significant", F.coalesce(sig, F.lit(False)))
