@@ -15,7 +15,8 @@ def _c(c) -> Column:
 
 def cleaned(seq) -> Column:
     """Without white space, in upper case, unclear bases read as one base each."""
-    return F.translate(F.upper(F.regexp_replace(_c(seq), r"\s+", "")), UNCLEAR, READ_AS)
+    # letters without a counterpart are removed
+    return F.translate(F.upper(_c(seq)), UNCLEAR + " \t\n\x0b\f\r", READ_AS)
 
 
 def reverse_complement(seq) -> Column:
