@@ -13,10 +13,12 @@ exactly on the whole token sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import cleaned
@@ -41,6 +43,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _packed(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all words of ``k`` letters and of their reverse complements, by joining words of half the length."""
+    if k == 1:
+        return code, np.uint32(3) - code
+    a = k // 2
+    b = k - a
+    fa, ra = _packed(code, a)
+    fb, rb = (fa, ra) if a == b else _longer(fa, ra, code, a)
+    n = len(code) - k + 1
+    return (fa[:n] << np.uint32(2 * b)) | fb[a : a + n], (rb[a : a + n] << np.uint32(2 * a)) | ra[:n]
+
+
+def _longer(f: np.ndarray, r: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of ``k + 1`` letters from those of ``k``."""
+    n = len(code) - k
+    last = code[k : k + n]
+    return (f[:n] << np.uint32(2)) | last, ((np.uint32(3) - last) << np.uint32(2 * k)) | r[:n]
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """All words of texts lying one after another in ``data``: codes, and the text each is from.
 
@@ -51,11 +72,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     code = _CODE[data]
     bad = np.flatnonzero(code > 3)
     n = len(code) - k + 1
-    fwd, rev = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-    for j in range(k):
-        part = code[j : j + n].astype(np.uint32)
-        fwd = (fwd << np.uint32(2)) | (part & np.uint32(3))
-        rev |= (np.uint32(3) - (part & np.uint32(3))) << np.uint32(2 * j)
+    fwd, rev = _packed((code & 3).astype(np.uint32), k)
     keep = np.ones(n, bool)
     if len(bad):
         mark = np.zeros(len(code) + 1, np.int32)
@@ -69,6 +86,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return np.minimum(fwd, rev)[keep], owner[keep]
 
 
+@lru_cache(maxsize=4096)
 def _slot_map(t: int) -> np.ndarray:
     """From which slot an empty one borrows in the ``t``-th attempt, the same for all texts."""
     return (mix(np.arange(SLOTS, dtype=np.uint64) + np.uint64(t * SLOTS + 77)) % np.uint64(SLOTS)).astype(np.int64)
@@ -81,26 +99,22 @@ def first_tokens(words: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarr
     chosen by a fixed hash, which keeps the probability of agreement at the similarity.
     """
     h = mix(words)
-    slot = (h % np.uint64(SLOTS)).astype(np.int64)
+    slot = ((h >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)).astype(np.int64)
     low = np.full(n * SLOTS, _NONE, np.uint64)
-    np.minimum.at(low, owner * SLOTS + slot, mix(h))
+    np.minimum.at(low, owner * SLOTS + slot, h)
     low = low.reshape(n, SLOTS)
     own = low != _NONE
     some = own.any(axis=1)
-    todo = np.flatnonzero(some & ~own.all(axis=1))
+    row, col = np.nonzero(~own & some[:, None])
     t = 0
-    while len(todo):
-        src = _slot_map(t)
-        cur = low[todo]
-        take = (cur == _NONE) & own[todo][:, src]
-        cur[take] = low[todo][:, src][take]
-        low[todo] = cur
-        todo = todo[(cur == _NONE).any(axis=1)]
+    while len(row):
+        src = _slot_map(t)[col]
+        ok = own[row, src]
+        low[row[ok], col[ok]] = low[row[ok], src[ok]]
+        row, col = row[~ok], col[~ok]
         t += 1
         if t > 40 * SLOTS:  # never seen: a set of one token fills up in about 6 * SLOTS attempts
-            row = low[todo]
-            row[row == _NONE] = np.uint64(t)
-            low[todo] = row
+            low[row, col] = np.uint64(t)
             break
     return low, some
 
@@ -158,13 +172,11 @@ def _sketch(k: int):
                 else:
                     words, owner = words_of(data, off, k)
                 low, some = first_tokens(words, owner, b.num_rows)
-                uniq = np.unique((owner.astype(np.uint64) << np.uint64(2 * k)) | words)
-                n_tok = np.bincount((uniq >> np.uint64(2 * k)).astype(np.int64), minlength=b.num_rows)
                 keys = band_keys(low[some])
                 pick = pa.array(np.flatnonzero(some))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").take(pick), b.column("h1").take(pick), b.column("h2").take(pick), pa.array(n_tok[some].astype(np.int64)), bands], names=["id", "h1", "h2", "n_tokens", "bands"]
+                    [b.column("id").take(pick), b.column("h1").take(pick), b.column("h2").take(pick), bands], names=["id", "h1", "h2", "bands"]
                 )
 
     return run
@@ -206,22 +218,22 @@ def class_links(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.
     whole; other columns are ignored.
     """
     text = cleaned(text_col)
-    t = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).filter(F.length("text") >= k)
+    t = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).filter(F.col(text_col).isNotNull())
     back = F.reverse(F.translate("text", "ACGT", "TGCA"))
     canon = F.least("text", back)
     t = t.withColumns({"h1": F.xxhash64(canon), "h2": F.xxhash64(canon, F.lit(1), F.length(canon))})
 
-    sketched = t.select("id", "h1", "h2", "text").mapInArrow(_sketch(k), "id long, h1 long, h2 long, n_tokens long, bands array<long>")
-    classes = sketched.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n_tokens").alias("n_tokens"), F.first("bands").alias("bands"))
+    sketched = t.select("id", "h1", "h2", "text").mapInArrow(_sketch(k), "id long, h1 long, h2 long, bands array<long>")
+    classes = sketched.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     members = t.select("id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
 
-    keyed = classes.select("rep", "n_tokens", F.explode("bands").alias("key"))
-    a = keyed.select(F.col("rep").alias("a"), F.col("n_tokens").alias("n_a"), "key")
-    b = keyed.select(F.col("rep").alias("b"), F.col("n_tokens").alias("n_b"), "key")
-    # sizes further apart than the threshold cannot reach it
-    fits = (F.col("n_a") >= F.col("n_b") * F.lit(threshold)) & (F.col("n_b") >= F.col("n_a") * F.lit(threshold))
-    cand = a.join(b, "key").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    # most keys belong to one class only: those go before the join
+    keyed = classes.select("rep", F.explode("bands").alias("key"))
+    shared = keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("n > 1").select("rep", "key")
+    shared = materialize(shared, "shared")
+    a, b = shared.select(F.col("rep").alias("a"), "key"), shared.select(F.col("rep").alias("b"), "key")
+    cand = a.join(b, "key").filter("a < b").select("a", "b").distinct()
     cand = materialize(cand, "candidates")
 
     needed = cand.select(F.explode(F.array("a", "b")).alias("id")).distinct()
