@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("pipeline", "scalar", "intervals_q", "analytics", "families", "scans")
+_MODULES = ("pipeline", "scalar", "intervals_q", "analytics", "families", "scans", "composites")
 
 
 def _merged(name: str) -> dict:
