@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import intervals, rejects, skew
 from seqloom.queries.registry import registry
-from seqloom.session import table
+from seqloom.session import materialize, table
 
 QUERIES, SQL, query = registry()
 
@@ -170,7 +170,8 @@ ou2 AS (SELECT record_id, coalesce((len(f) = 15 OR len(f) = 16 AND f[16] = '*')
 
 
 def raw_parsed(spark: SparkSession, d: str) -> DataFrame:
-    return rejects.parse_lines(table(spark, d, "raw_records"))
+    """Lines cut into fields; written once, as values, their dictionary and structural faults each read them."""
+    return materialize(rejects.parse_lines(table(spark, d, "raw_records")).drop("line_text"), "parsed")
 
 
 @query(
