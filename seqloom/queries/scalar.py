@@ -45,7 +45,7 @@ _on_seqs(
     "list_transform(range(0, 40), lambda i: CASE WHEN substr(left(q, 5) || right(q, 5), 1 + i // 4, 1) = substr('ATCG', 1 + i % 4, 1) THEN 1 ELSE 0 END) AS code",
     code=lambda: sq.one_hot(sq.ends("q", 5), 10),
 )
-_on_seqs("fn_f16_end_distance", "list_sum(list_transform(range(1, 1 + least(length(left(q, 20)), length(right(q, 18)))), lambda i: CASE WHEN substr(left(q, 20), i, 1) <> substr(right(q, 18), i, 1) THEN 1 ELSE 0 END)) + abs(length(left(q, 20)) - length(right(q, 18))) AS far", far=lambda: sq.edit_free_distance(F.left("q", F.lit(20)), F.right("q", F.lit(18))))
+_on_seqs("fn_f16_end_distance", "CAST(list_sum(list_transform(range(1, 1 + least(length(left(q, 20)), length(right(q, 18)))), lambda i: CASE WHEN substr(left(q, 20), i, 1) <> substr(right(q, 18), i, 1) THEN 1 ELSE 0 END)) + abs(length(left(q, 20)) - length(right(q, 18))) AS BIGINT) AS far", far=lambda: sq.edit_free_distance(F.left("q", F.lit(20)), F.right("q", F.lit(18))))
 _on_seqs("fn_f18_motif", "strpos(q, 'TTAA') - 1 AS short_at, coalesce(strpos(q, nullif(regexp_extract(q, '" + sq.motif_pattern("TGACATCA") + "'), '')), 0) - 1 AS long_at", short_at=lambda: sq.motif_position("q", "TTAA"), long_at=lambda: sq.motif_position("q", "TGACATCA"))
 _on_seqs(
     "fn_f24_poly_tails",
