@@ -27,14 +27,20 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def ingest_once(df: DataFrame, id_col: str, arrived: str, patience: str = "120 days") -> DataFrame:
-    """Rows of a stream, each id once: later deliveries within ``patience`` of the latest arrival are dropped.
+def ingest_once(df: DataFrame, id_col: str) -> DataFrame:
+    """Rows of a stream, each id once: the first delivery of an id is kept, whatever its arrival time.
 
-    The state holds only ids within the watermark. Rows with a null arrival time are dropped.
+    There is no watermark, as files do not come in order of arrival times: the state holds every id, in
+    RocksDB on the executors' disks.
     """
-    s = _replayed(df.withColumn("_at", F.col(arrived).cast("timestamp")).filter("_at is not null").drop(arrived), "chunks")
-    s = s.withWatermark("_at", patience).dropDuplicatesWithinWatermark([id_col])
-    return run_to_end(s, "ingest").drop("_at")
+    spark = df.sparkSession
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return run_to_end(_replayed(df, "chunks").dropDuplicates([id_col]), "ingest")
+    finally:
+        spark.conf.set(key, before)
 
 
 def windowed_counts(df: DataFrame, ts: str, by: Sequence[str], width: str) -> DataFrame:

@@ -1,0 +1,16 @@
+"""Whole jobs where less was done before."""
+
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from seqloom.streaming import chunks
+
+
+def test_ingest_keeps_late_and_undated_rows(spark):
+    """Twelve files, three batches: arrival times fall from file to file, every seventh is null, each id comes twice."""
+    at = lambda i: None if i % 7 == 0 else datetime(2025, 1, 1) - timedelta(days=i)
+    rows = [(i % 600, "g", at(i)) for i in range(1200)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 12), "copy_id long, genome string, loaded_at timestamp")
+    got = [r[0] for r in chunks.ingest_once(df, "copy_id").select("copy_id").collect()]
+    assert sorted(got) == list(range(600))
