@@ -7,10 +7,13 @@ from itertools import combinations, islice
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Genomes that fit a mask of 64 bits.
+MOST_GENOMES = 62
+
 
 def presence(counts: DataFrame, genomes: list[str]) -> DataFrame:
     """``family`` and a bit mask of the genomes that have it; ``counts``: ``family, genome, n``. At most 62 genomes."""
-    if len(genomes) > 62:
+    if len(genomes) > MOST_GENOMES:
         raise ValueError("at most 62 genomes fit a mask")
     bit = F.element_at(F.create_map(*[x for i, g in enumerate(genomes) for x in (F.lit(g), F.lit(1 << i))]), F.col("genome"))
     return counts.filter((F.col("n") > 0) & F.col("genome").isin(*genomes)).groupBy("family").agg(F.bit_or(bit.cast("long")).alias("mask"))

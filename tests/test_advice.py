@@ -1,9 +1,13 @@
 """Whole jobs where less was done before."""
 
 from datetime import datetime, timedelta
+from itertools import combinations, islice
+from statistics import mean, stdev
 
-from pyspark.sql import functions as F
+import pytest
 
+from seqloom.functions import stats
+from seqloom.queries import all_queries
 from seqloom.streaming import chunks
 
 
@@ -14,3 +18,35 @@ def test_ingest_keeps_late_and_undated_rows(spark):
     df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 12), "copy_id long, genome string, loaded_at timestamp")
     got = [r[0] for r in chunks.ingest_once(df, "copy_id").select("copy_id").collect()]
     assert sorted(got) == list(range(600))
+
+
+def _genomes(spark, path, n):
+    """``n`` genomes; family ``i`` is in every genome from number ``i`` on, so that later genomes have more."""
+    names = [f"g{i:02d}" for i in range(n)]
+    spark.createDataFrame([(g,) for g in names], "genome string").write.parquet(f"{path}/genomes.parquet")
+    rows = [(f"f{i}", names[j]) for i in range(n) for j in range(i, n)]
+    spark.createDataFrame(rows, "te_name string, genome string").write.parquet(f"{path}/te_copies.parquet")
+    return str(path)
+
+
+def test_pan_curve_and_fits_take_a_thousand_subsets(spark, tmp_path):
+    d = _genomes(spark, tmp_path, 24)
+    want = {}
+    for k in range(1, 25):
+        subs = list(islice(combinations(range(24), k), 1000))
+        pan, core = [s[-1] + 1 for s in subs], [s[0] + 1 for s in subs]
+        want[k] = tuple(round(f(x), 2) if f is mean or len(x) > 1 else None for x in (pan, core) for f in (mean, stdev))
+    got = {r[0]: tuple(r)[1:] for r in all_queries()["pan_a13_curve"](spark, d).collect()}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=0.011), k
+    fit = all_queries()["pan_a14_fits"](spark, d).first()
+    x = sorted(got)
+    power, decay = stats.fit_power(x, [got[k][0] for k in x]), stats.fit_decay(x, [got[k][2] for k in x])
+    assert tuple(fit) == pytest.approx([round(v, 4) for v in (*power, *decay)])
+
+
+def test_pan_with_too_many_genomes_fails(spark, tmp_path):
+    d = _genomes(spark, tmp_path, 63)
+    with pytest.raises(ValueError, match="62"):
+        all_queries()["pan_a13_curve"](spark, d)
