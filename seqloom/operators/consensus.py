@@ -1,4 +1,4 @@
-"""Column-wise work on multiple alignments: ``family, row, seq`` with gapped rows of one length."""
+"""Column-wise work on multiple alignments: ``family, row, seq`` with gapped rows of one length, or of any if ``ragged``."""
 
 from __future__ import annotations
 
@@ -9,14 +9,28 @@ from pyspark.sql import functions as F
 from seqloom.operators.ordered import ordered_groups
 
 
-def columns(msa: DataFrame) -> DataFrame:
+def columns(msa: DataFrame, ragged: bool = False) -> DataFrame:
     """Composition: ``family, col, base, n, first_row``; columns count from 0.
 
     Counts are aggregated before the shuffle; a family of any number of rows ends up with at most a
-    few rows per column. Null rows are left out.
+    few rows per column. Null rows are left out. ``ragged``: rows may end early; they have gaps up to the
+    end of the family's longest row, which are counted from the lengths and never written out.
     """
     x = msa.filter("seq is not null and seq <> ''").select("family", "row", F.posexplode(F.split("seq", "")).alias("col", "base")).filter("base <> ''")
-    return x.groupBy("family", "col", "base").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row"))
+    comp = x.groupBy("family", "col", "base").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row"))
+    if not ragged:
+        return comp
+    return comp.unionByName(_ended(msa)).groupBy("family", "col", "base").agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row"))
+
+
+def _ended(msa: DataFrame) -> DataFrame:
+    """Gaps of the rows that end before a column: ``family, col, base, n, first_row``. One task holds a family's columns, not its rows."""
+    ends = msa.filter("seq is not null and seq <> ''").groupBy("family", F.length("seq").alias("col")).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row"))
+    width = ends.groupBy("family").agg(F.max("col").alias("width"))
+    cols = width.select("family", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
+    w = W.partitionBy("family").orderBy("col")
+    x = cols.join(ends, ["family", "col"], "left").withColumns({"n": F.sum("n").over(w), "first_row": F.min("first_row").over(w)})
+    return x.filter("n > 0").select("family", "col", F.lit("-").alias("base"), "n", "first_row")
 
 
 def _per_column(comp: DataFrame) -> DataFrame:
@@ -35,33 +49,37 @@ def _join_columns(x: DataFrame, base: str, name: str) -> DataFrame:
     return x.groupBy("family").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", base))), lambda s: s[base]), "").alias(name))
 
 
-def majority(msa: DataFrame) -> DataFrame:
+def majority(msa: DataFrame, ragged: bool = False) -> DataFrame:
     """Consensus: the most frequent letter of each column if it is in more than half of the rows; other columns vanish."""
-    x = _per_column(columns(msa))
+    x = _per_column(columns(msa, ragged))
     n = msa.filter("seq is not null and seq <> ''").groupBy("family").agg(F.count(F.lit(1)).alias("total"))
     x = x.join(n, "family").withColumn("out", F.when(F.col("letter.n") > F.floor(F.col("total") / 2), F.col("letter.base")).otherwise(""))
     return _join_columns(x, "out", "consensus")
 
 
-def boundary_consensus(msa: DataFrame) -> DataFrame:
+def boundary_consensus(msa: DataFrame, ragged: bool = False) -> DataFrame:
     """Consensus that keeps weak columns: the top symbol if it is in half of the rows (a gap vanishes), else the best letter."""
-    x = _per_column(columns(msa))
+    x = _per_column(columns(msa, ragged))
     n = msa.filter("seq is not null and seq <> ''").groupBy("family").agg(F.count(F.lit(1)).alias("total"))
     strong = F.col("top.n") >= F.floor(F.col("total") / 2)
     out = F.when(strong & (F.col("top.base") != "-"), F.col("top.base")).when(strong, "").otherwise(F.coalesce("letter.base", F.lit("")))
     return _join_columns(x.join(n, "family").withColumn("out", out), "out", "consensus")
 
 
-def drop_sparse(msa: DataFrame) -> DataFrame:
+def drop_sparse(msa: DataFrame, ragged: bool = False) -> DataFrame:
     """Rows without the columns in which over half of the rows have gaps: ``family, row, seq``."""
-    x = _per_column(columns(msa))
+    x = _per_column(columns(msa, ragged))
     n = msa.filter("seq is not null and seq <> ''").groupBy("family").agg(F.count(F.lit(1)).alias("total"))
-    keep = x.join(n, "family").filter(F.col("gaps") <= F.col("total") / 2).groupBy("family").agg(F.array_sort(F.collect_list("col")).alias("keep"))
+    keep = x.join(n, "family").filter(F.col("gaps") <= F.col("total") / 2)
+    run = F.col("col") - F.row_number().over(W.partitionBy("family").orderBy("col"))
+    keep = keep.select("family", "col", run.alias("run")).groupBy("family", "run").agg((F.min("col") + 1).cast("int").alias("a"), F.count(F.lit(1)).cast("int").alias("k"))
+    keep = keep.groupBy("family").agg(F.array_sort(F.collect_list(F.struct("a", "k"))).alias("keep"))
     j = msa.filter("seq is not null and seq <> ''").join(keep, "family", "left")
-    return j.select("family", "row", F.coalesce(F.array_join(F.transform("keep", lambda i: F.col("seq").substr((i + 1).cast("int"), F.lit(1))), ""), F.lit("")).alias("seq"))
+    part = lambda r: F.rpad(F.col("seq").substr(r["a"], r["k"]), r["k"], "-")
+    return j.select("family", "row", F.coalesce(F.array_join(F.transform("keep", part), ""), F.lit("")).alias("seq"))
 
 
-def homology_boundary(msa: DataFrame, width: int = 10) -> DataFrame:
+def homology_boundary(msa: DataFrame, width: int = 10, ragged: bool = False) -> DataFrame:
     """First column at which rows agree, by windows of ``width`` dense columns: ``family, boundary``.
 
     A column is dense if at most half of its rows are gaps; its homology is the share of the best
@@ -69,7 +87,7 @@ def homology_boundary(msa: DataFrame, width: int = 10) -> DataFrame:
     0.9 up to 10, else 0.85), the boundary is the first column that comes within 0.1 of it.
     """
     n = msa.filter("seq is not null and seq <> ''").groupBy("family").agg(F.count(F.lit(1)).alias("total"))
-    x = _per_column(columns(msa)).join(n, "family").filter(F.col("gaps") <= F.floor(F.col("total") / 2))
+    x = _per_column(columns(msa, ragged)).join(n, "family").filter(F.col("gaps") <= F.floor(F.col("total") / 2))
     x = x.withColumns({"h": F.coalesce("letter.n", F.lit(0)) / F.col("total"), "need": F.when(F.col("total") <= 5, 0.95).when(F.col("total") <= 10, 0.9).otherwise(0.85)})
     w = W.partitionBy("family").orderBy("col")
     ahead = w.rowsBetween(0, width - 1)
@@ -82,7 +100,7 @@ def pixels(msa: DataFrame) -> DataFrame:
     """Pixel values of an alignment: ``family, row, col, block, support, code``.
 
     block: 0 for a gap, else 100; support: whole percent of the column's letters that are this one;
-    code: G 100, C 75, A 50, T 25, gap 0.
+    code: G 100, C 75, A 50, T 25, gap 0. Cells after the end of a shorter row are 0 in all three and not listed.
     """
     comp = columns(msa)
     letters = comp.filter(F.col("base").isin("A", "C", "G", "T")).groupBy("family", "col").agg(F.sum("n").alias("letters"))

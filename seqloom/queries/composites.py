@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.operators import chains, greedy
 from seqloom.operators import consensus as cs
 from seqloom.operators import intervals as iv
-from seqloom.queries.families import _BEST, _COMP, msa
+from seqloom.queries.families import _BEST, _COMP, msa, whole_msa
 from seqloom.queries.intervals_q import _A, _B, _gap_share, _island_sql, annotations, copies, hits
 from seqloom.queries.registry import registry
 from seqloom.queries.scalar import _S, seqs
@@ -55,6 +55,12 @@ def c3(spark, d):
     return cs.majority(msa(spark, d)).groupBy("consensus").agg(F.count(F.lit(1)).alias("families"), F.min("family").alias("head"))
 
 
+@query("clu_c3_recluster_whole")
+def recluster_whole(spark, d):
+    """The same over whole rows."""
+    return cs.majority(whole_msa(spark, d), ragged=True).groupBy("consensus").agg(F.count(F.lit(1)).alias("families"), F.min("family").alias("head"))
+
+
 @query("clu_c6_unique_names")
 def c6(spark, d):
     """Names that hold a place first, among copies that overlap by 90 % both ways."""

@@ -56,11 +56,49 @@ def f43(spark, d):
     return cs.pixels(msa(spark, d))
 
 
+# the same over whole rows: shorter ones have gaps up to the end of the family's longest
+
+
+def whole_msa(spark, d):
+    t = seqs(spark, d).filter("genome is not null")
+    return t.select(F.col("genome").alias("family"), F.col("seq_id").alias("row"), _gapped("q").alias("seq"))
+
+
+def _gapped(q: str):
+    return F.when(F.col(q) == "", "-").otherwise(F.translate(q, "N", "-"))
+
+
+@query("agg_a18_composition_whole")
+def a18_whole(spark, d):
+    return cs.columns(whole_msa(spark, d), ragged=True)
+
+
+@query("agg_a19_majority_whole")
+def a19_whole(spark, d):
+    return cs.majority(whole_msa(spark, d), ragged=True)
+
+
+@query("agg_a20_boundary_consensus_whole")
+def a20_whole(spark, d):
+    return cs.boundary_consensus(whole_msa(spark, d), ragged=True)
+
+
+@query("re_r6_sparse_columns_whole")
+def r6_whole(spark, d):
+    return cs.drop_sparse(whole_msa(spark, d), ragged=True)
+
+
+@query("fn_f43_pixels_whole")
+def f43_whole(spark, d):
+    return cs.pixels(whole_msa(spark, d))
+
+
 @query("win_w7_homology_boundary")
 def w7(spark, d):
-    """Boundary of homology in alignments of copies of the library's hits: here of equal prefixes of near copies."""
-    t = seqs(spark, d).filter(F.length("q") >= 40).withColumn("family", F.left("q", F.lit(6)))
-    return cs.homology_boundary(t.select("family", F.col("seq_id").alias("row"), F.left("q", F.lit(40)).alias("seq")), 5)
+    """Boundary of homology in alignments of copies of the library's hits: here of whole near copies."""
+    family = c1(spark, d).select(F.col("name").cast("long").alias("seq_id"), F.col("cluster").alias("family"))
+    t = seqs(spark, d).join(family, "seq_id")
+    return cs.homology_boundary(t.select("family", F.col("seq_id").alias("row"), _gapped("q").alias("seq")), 5, ragged=True)
 
 
 # ---- clusters

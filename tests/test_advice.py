@@ -1,5 +1,7 @@
 """Whole jobs where less was done before."""
 
+import random
+from collections import Counter
 from datetime import datetime, timedelta
 from itertools import combinations, islice
 from statistics import mean, stdev
@@ -50,3 +52,60 @@ def test_pan_with_too_many_genomes_fails(spark, tmp_path):
     d = _genomes(spark, tmp_path, 63)
     with pytest.raises(ValueError, match="62"):
         all_queries()["pan_a13_curve"](spark, d)
+
+
+def _alignment(spark, path):
+    """Rows of very different lengths, some with gaps and one empty, written as sequences; returned padded."""
+    rng = random.Random(5)
+    rows = []
+    for g in ("a", "b"):
+        base = "".join(rng.choice("ACGT") for _ in range(150))
+        for n in (150, 130, 130, 90, 0, 70, 149):
+            rows.append((len(rows), g, "".join(c if rng.random() < 0.8 else rng.choice("ACGTN") for c in base[:n])))
+    t = spark.createDataFrame([(i, f"c{i}", g, q) for i, g, q in rows], "seq_id long, chrname string, genome string, chrseq string")
+    t.write.parquet(f"{path}/sequences.parquet")
+    return {g: {i: q.replace("N", "-").ljust(150, "-") for i, x, q in rows if x == g} for g in ("a", "b")}
+
+
+def test_alignments_of_whole_rows(spark, tmp_path):
+    families, d = _alignment(spark, tmp_path), str(tmp_path)
+    run = lambda name: all_queries()[name](spark, d).collect()
+    comp, majority, boundary, sparse, pixels = {}, {}, {}, {}, {}
+    for g, rows in families.items():
+        total, major, bound, keep = len(rows), "", "", []
+        for c in range(150):
+            n = Counter(s[c] for s in rows.values())
+            first = {b: min(i for i, s in rows.items() if s[c] == b) for b in n}
+            comp |= {(g, c, b): (n[b], first[b]) for b in n}
+            order = sorted(n, key=lambda b: (-n[b], first[b]))
+            letter = next((b for b in order if b != "-"), "")
+            major += letter if letter and n[letter] > total // 2 else ""
+            bound += order[0].replace("-", "") if n[order[0]] >= total // 2 else letter
+            if n["-"] <= total / 2:
+                keep.append(c)
+            letters = sum(k for b, k in n.items() if b != "-")
+            for i, s in rows.items():
+                b = s[c]
+                if b != "-":
+                    pixels[g, i, c] = (100, 100 * n[b] // letters, {"G": 100, "C": 75, "A": 50, "T": 25}[b])
+        majority[g], boundary[g] = major, bound
+        sparse |= {(g, i): "".join(s[c] for c in keep) for i, s in rows.items()}
+    assert len(majority["a"]) > 60
+    assert {(r.family, r.col, r.base): (r.n, r.first_row) for r in run("agg_a18_composition_whole")} == comp
+    assert {r.family: r.consensus for r in run("agg_a19_majority_whole")} == majority
+    assert {r.family: r.consensus for r in run("agg_a20_boundary_consensus_whole")} == boundary
+    assert {(r.family, r.row): r.seq for r in run("re_r6_sparse_columns_whole")} == sparse
+    assert {(r.family, r.row, r.col): (r.block, r.support, r.code) for r in run("fn_f43_pixels_whole") if r.block} == pixels
+    assert {(r.consensus, r.families, r.head) for r in run("clu_c3_recluster_whole")} == {(s, 1, g) for g, s in majority.items()}
+
+
+def test_homology_boundary_beyond_forty_columns(spark, tmp_path):
+    """Two near copies that agree from column 60 on only."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    same = word(300)
+    other = word(60).translate(str.maketrans("ACGT", "CGTA"))
+    rows = [(1, other + same), (2, other.translate(str.maketrans("ACGT", "CGTA")) + same + word(20))]
+    t = spark.createDataFrame([(i, f"c{i}", "g", q) for i, q in rows], "seq_id long, chrname string, genome string, chrseq string")
+    t.write.parquet(f"{tmp_path}/sequences.parquet")
+    assert [r.boundary for r in all_queries()["win_w7_homology_boundary"](spark, str(tmp_path)).collect()] == [60]
