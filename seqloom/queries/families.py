@@ -271,9 +271,10 @@ def v15(spark, d):
 
 @query("v17_alignment_scores")
 def v17(spark, d):
-    """Global and local score, longest common subsequence and substring of both ends of each sequence."""
+    """Global and local score, longest common subsequence and substring of both halves of each sequence; a middle letter goes to the right one."""
     t = seqs(spark, d).filter(F.length("q") > 0)
-    return t.select("seq_id", search.pair_scores(F.left("q", F.lit(60)), F.right("q", F.lit(60))).alias("x")).select("seq_id", "x.*")
+    half = F.floor(F.length("q") / 2).cast("int")
+    return t.select("seq_id", search.pair_scores(F.left("q", half), F.right("q", F.length("q") - half)).alias("x")).select("seq_id", "x.*")
 
 
 @query("v18_purine_tracts", f"WITH {_S} SELECT seq_id, nullif(regexp_extract(right(q, 200), '[AG]{{10,}}'), '') AS tract FROM s")

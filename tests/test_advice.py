@@ -109,3 +109,14 @@ def test_homology_boundary_beyond_forty_columns(spark, tmp_path):
     t = spark.createDataFrame([(i, f"c{i}", "g", q) for i, q in rows], "seq_id long, chrname string, genome string, chrseq string")
     t.write.parquet(f"{tmp_path}/sequences.parquet")
     assert [r.boundary for r in all_queries()["win_w7_homology_boundary"](spark, str(tmp_path)).collect()] == [60]
+
+
+def test_alignment_scores_reach_the_middle(spark, tmp_path):
+    """A repeat of 90 letters around the middle, far from both ends, and texts of one to three letters."""
+    same = "".join(random.Random(7).choice("ACGT") for _ in range(90))
+    rows = ["A" * 100 + same + same + "C" * 100, "A", "AC", "CAC"]
+    t = spark.createDataFrame([(i, f"c{i}", "g", q) for i, q in enumerate(rows)], "seq_id long, chrname string, genome string, chrseq string")
+    t.write.parquet(f"{tmp_path}/sequences.parquet")
+    got = {r.seq_id: tuple(r)[1:] for r in all_queries()["v17_alignment_scores"](spark, str(tmp_path)).collect()}
+    assert got[0][1] == got[0][3] == 90
+    assert {i: got[i] for i in (1, 2, 3)} == {1: (-1, 0, 0, 0), 2: (-1, 0, 0, 0), 3: (0, 1, 1, 1)}
