@@ -146,8 +146,8 @@ def _to_blocks(path: str, pattern: str):
         for b in batches:
             for i in range(b.num_rows):
                 parts = enc.blocks(b.column(1)[i].as_py(), PART)
-                key = b.column(0).slice(i, 1).take(pa.array([0] * len(parts), pa.int64()))
-                yield pa.RecordBatch.from_arrays([key, pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.string())], names=["id", "part", "text"])
+                keys = [b.column(k).slice(i, 1).take(pa.array([0] * len(parts), pa.int64())) for k in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.string())], names=["id", "row", "part", "text"])
 
     return run
 
@@ -158,8 +158,7 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, path: str | None =
     Null and empty texts have the empty list (0 tokens). Special tokens are never added, and
     their strings in a text are ordinary text. Texts of over ``LONG`` characters are cut at
     forced boundaries into parts that different tasks encode; the parts are put together in
-    order. Repeated ids are allowed below ``LONG``; above it, ids must be unique among the long
-    texts. An empty table gives an empty result; other columns are ignored. ``path`` and
+    order. Ids may repeat or be null. An empty table gives an empty result; other columns are ignored. ``path`` and
     ``pattern`` name another byte-level vocabulary in rank format.
     """
     path, pattern = _settings(path, pattern)
@@ -168,10 +167,13 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, path: str | None =
     t = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     long = F.coalesce(F.length("text") > LONG, F.lit(False))
     short = t.filter(~long).mapInArrow(_to_ids(path, pattern, count_only), f"id {kind}, {out}")
-    parts = t.filter(long).mapInArrow(_to_blocks(path, pattern), f"id {kind}, part long, text string").repartition("id", "part")
-    parts = parts.mapInArrow(_to_ids(path, pattern, count_only), f"id {kind}, part long, {out}")
+    # the key of a row, as ids may repeat or be null; made in the scan's stage, before any shuffle
+    rows = t.filter(long).select("id", "text", F.monotonically_increasing_id().alias("row"))
+    parts = rows.mapInArrow(_to_blocks(path, pattern), f"id {kind}, row long, part long, text string").repartition("row", "part")
+    parts = parts.mapInArrow(_to_ids(path, pattern, count_only), f"id {kind}, row long, part long, {out}")
+    first = F.first("id").alias("id")
     if count_only:
-        joined = parts.groupBy("id").agg(F.sum("n_tokens").alias("n_tokens"))
+        joined = parts.groupBy("row").agg(first, F.sum("n_tokens").alias("n_tokens")).drop("row")
     else:
-        joined = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p")).select("id", F.flatten("p.ids").alias("ids"))
+        joined = parts.groupBy("row").agg(first, F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p")).select("id", F.flatten("p.ids").alias("ids"))
     return short.unionByName(joined)
