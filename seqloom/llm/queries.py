@@ -114,11 +114,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents of which more than half is repeated keywords, links or product tags."""
-    got = stuffing.stuffing(table(spark, d, "documents"), "doc_id", "text")
+    got = stuffing.stuffing(table(spark, d, "documents"), "doc_id", "text", "lang")
     return got.filter("spam_share > 0.5").select(F.col("id").alias("doc_id"))
 
 
 @query
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """What each document is made of."""
-    return stuffing.stuffing(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return stuffing.stuffing(table(spark, d, "documents"), "doc_id", "text", "lang").withColumnRenamed("id", "doc_id")
