@@ -9,7 +9,6 @@ from statistics import mean, stdev
 import pytest
 
 from seqloom.functions import stats
-from seqloom.llm import tokens
 from seqloom.queries import all_queries
 from seqloom.streaming import chunks
 
@@ -121,12 +120,3 @@ def test_alignment_scores_reach_the_middle(spark, tmp_path):
     got = {r.seq_id: tuple(r)[1:] for r in all_queries()["v17_alignment_scores"](spark, str(tmp_path)).collect()}
     assert got[0][1] == got[0][3] == 90
     assert {i: got[i] for i in (1, 2, 3)} == {1: (-1, 0, 0, 0), 2: (-1, 0, 0, 0), 3: (0, 1, 1, 1)}
-
-
-def test_long_texts_with_repeated_and_null_ids(spark):
-    texts = ["word x\n" * 40_000, "other y\n" * 40_000]
-    df = spark.createDataFrame([(i, t) for i in (7, None) for t in texts], "doc_id long, text string")
-    n = [len(tokens.encoder(*tokens._settings(None, None)).encode(t)) for t in texts]
-    for count_only in (False, True):
-        got = tokens.encode_corpus(df, "doc_id", "text", count_only=count_only).collect()
-        assert sorted((r.id is None, r[1] if count_only else len(r[1])) for r in got) == sorted((x, k) for x in (False, True) for k in n)
