@@ -1,17 +1,23 @@
 """Encoding with a public byte-level BPE by forced-boundary splitting.
 
 A byte pair that lies inside no token of the vocabulary can never be joined by a merge, so a text
-may be cut there without changing its ids, provided that the pre-tokenising pattern has a border
-there as well. A character that is no white space, followed by ASCII white space, always is such
-a border of the pattern; the byte pair is looked up in the vocabulary. The fragments between
-these cuts (mostly one word with the white space before it) are encoded on their own and the ids
-are put together; a fragment seen before is looked up instead.
+may be cut there without changing its ids, provided that the parts are pre-tokenised as the whole
+is. All such pairs are used that lie between two characters
+
+* of which the second is ASCII white space and the first is none: always a border of the pattern; or
+* of which neither is white space or an apostrophe: the pattern then groups characters by their class
+  (letters, digits, others), and a run of one class may be cut anywhere (contractions and the
+  look-ahead after white space are kept out). This holds for the public pattern; under another one,
+  only the first kind of cut is made.
+
+The fragments between these cuts are encoded on their own and the ids are put together; a fragment
+seen before is looked up instead. A run of characters all of whose pairs occur in tokens, as a long
+sequence of A, C, G and T, has no certain cut and stays whole.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SPACE = b"\t\n\x0b\x0c\r "
+#: White space of the pattern, and control characters that only Python takes for it.
+_BLANK = np.array(sorted({*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}), np.uint32)
 #: Fragments kept per worker; beyond it the memory is cleared, which changes no result.
 MEMORY = 200_000
 #: Texts longer than this are cut up first and their parts encoded by different tasks.
@@ -28,6 +36,12 @@ LONG = 1 << 18
 PART = 1 << 16
 
 
+def public_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -47,25 +61,33 @@ class Encoder:
         for token in ranks:
             x = np.frombuffer(token, np.uint8)
             self.inside[x[:-1], x[1:]] = True
-        #: For each ASCII white space the last bytes of other characters that may be joined to it.
-        self.loose = {chr(s): {a for a in range(256) if self.inside[a, s] and not (a < 128 and chr(a).isspace())} for s in _SPACE}
-        self.ascii_forced = not any(a < 128 for x in self.loose.values() for a in x)
+        self.inner = pattern == public_pattern()
+        #: For ASCII characters: may a text be cut between them?
+        a, b = np.repeat(np.arange(128, dtype=np.uint32), 128), np.tile(np.arange(128, dtype=np.uint32), 128)
+        self.ascii_cut = self._cuts(a, b).reshape(128, 128)
         self.known: dict[str, list[int]] = {}
 
+    def _cuts(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """May a text be cut between the characters ``a`` and ``b`` (code points)?"""
+        free = ~self.inside[_last_byte(a), _first_byte(b)]
+        blank_a, blank_b = np.isin(a, _BLANK), np.isin(b, _BLANK)
+        spaced = ~blank_a & np.isin(b, np.frombuffer(_SPACE, np.uint8))
+        if not self.inner:
+            return free & spaced
+        return free & (spaced | ~(blank_a | blank_b | (a == 0x27) | (b == 0x27)))
+
     def pieces(self, text: str) -> list[str]:
         """Fragments whose ids, put together, are the ids of the text."""
-        found = _FRAGMENT.findall(text)
-        if self.ascii_forced and text.isascii() and not _ODD.search(text):
-            return found
-        # where the cut is not certain, a fragment is joined to the one before: if it begins with
-        # white space other than ASCII, or if some token holds the byte pair
-        out: list[str] = []
-        for x in found:
-            if out and ((free := self.loose.get(x[0])) is None or (free and _last_byte(out[-1][-1]) in free)):
-                out[-1] += x
-            else:
-                out.append(x)
-        return out
+        if not text:
+            return []
+        if text.isascii():
+            x = np.frombuffer(text.encode(), np.uint8)
+            at = np.flatnonzero(self.ascii_cut[x[:-1], x[1:]])
+        else:
+            x = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            at = np.flatnonzero(self._cuts(x[:-1], x[1:]))
+        ends = (at + 1).tolist()
+        return [text[i:j] for i, j in zip([0, *ends], [*ends, len(text)])]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids without special tokens; null and empty texts have none."""
@@ -98,15 +120,14 @@ class Encoder:
         return out
 
 
-#: White space and what follows it up to the next white space.
-_FRAGMENT = re.compile(r"\s*\S+|\s+")
-#: What Python, but not the pre-tokenising pattern, takes for white space.
-_ODD = re.compile("[\x1c-\x1f]")
+def _last_byte(c: np.ndarray) -> np.ndarray:
+    """Last byte of characters in UTF-8."""
+    return np.where(c < 0x80, c, (c & 0x3F) | 0x80).astype(np.intp)
 
 
-def _last_byte(c: str) -> int:
-    o = ord(c)
-    return o if o < 128 else (o & 0x3F) | 0x80
+def _first_byte(c: np.ndarray) -> np.ndarray:
+    """First byte of characters in UTF-8."""
+    return np.select([c < 0x80, c < 0x800, c < 0x10000], [c, 0xC0 | (c >> 6), 0xE0 | (c >> 12)], 0xF0 | (c >> 18)).astype(np.intp)
 
 
 @lru_cache(maxsize=4)
@@ -115,11 +136,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 
 def _settings(path: str | None, pattern: str | None) -> tuple[str, str]:
-    if path and pattern:
-        return path, pattern
-    import public_tokenizers
-
-    return path or default_path(), pattern or public_tokenizers.PATTERN
+    return path or default_path(), pattern or public_pattern()
 
 
 def _to_ids(path: str, pattern: str, count_only: bool):

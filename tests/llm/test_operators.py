@@ -187,6 +187,39 @@ def test_fragments_do_not_change_ids(enc, s):
     assert [i for b in enc.blocks(s, 3) for i in enc.plain.encode_ordinary(b)] == enc.plain.encode_ordinary(s)
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.characters(min_codepoint=33, max_codepoint=0x2FFF, exclude_categories=["Cs"]) | st.sampled_from("'s#tqzxj#jq'"), max_size=60))
+def test_cuts_within_words_do_not_change_ids(enc, s):
+    assert enc.encode(s) == enc.plain.encode_ordinary(s)
+    assert "".join(enc.pieces(s)) == s
+    assert [i for b in enc.blocks(s, 3) for i in enc.plain.encode_ordinary(b)] == enc.plain.encode_ordinary(s)
+
+
+def test_every_free_byte_pair_cuts(enc):
+    """Printable characters without any space: as many fragments as free pairs; a sequence whose pairs all occur in tokens stays whole."""
+    r = random.Random(8)
+    s = "".join(chr(r.randint(33, 126)) for _ in range(20_000))
+    free = sum(not enc.inside[ord(a), ord(b)] for a, b in zip(s, s[1:]) if "'" not in (a, b))
+    assert len(enc.pieces(s)) == free + 1 > 10_000
+    assert enc.encode(s) == enc.plain.encode_ordinary(s)
+    assert len(enc.blocks(s, 1000)) >= 15
+    assert enc.pieces("ACGT" * 1000) == ["ACGT" * 1000]
+
+
+def test_tokens_come_from_merges(enc):
+    """A fragment that is a token as a whole gets the ids that merging its bytes would give; else cuts could change them."""
+    ranks = enc.plain._mergeable_ranks
+    r = random.Random(1)
+    for token in r.sample(sorted(ranks), 5000):
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 30))
+            if parts[best] + parts[best + 1] not in ranks:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        assert parts == [token]
+
+
 def test_a_vocabulary_that_joins_spaces(tmp_path):
     import base64
 
@@ -207,6 +240,15 @@ def test_encoding_a_table(spark, enc, monkeypatch):
     assert tokens.encode_corpus(df.limit(0), "doc_id", "text").collect() == []
 
 
+def test_long_texts_with_repeated_and_null_ids(spark):
+    texts = ["word x\n" * 40_000, "other y\n" * 40_000]
+    df = spark.createDataFrame([(i, t) for i in (7, None) for t in texts], "doc_id long, text string")
+    n = [len(tokens.encoder(*tokens._settings(None, None)).encode(t)) for t in texts]
+    for count_only in (False, True):
+        got = tokens.encode_corpus(df, "doc_id", "text", count_only=count_only).collect()
+        assert sorted((r.id is None, r[1] if count_only else len(r[1])) for r in got) == sorted((x, k) for x in (False, True) for k in n)
+
+
 # ---- mixing
 
 
