@@ -4,7 +4,9 @@ Tokens are the distinct words of ``k`` letters of a text. A global order of the
 order; the prefix of a text under an order is its first token. Two texts of similarity ``J`` share
 that prefix with probability ``J`` under each order. The orders are taken in groups of ``ROWS``:
 candidates must share the prefix under all orders of a group (the filters are intersected), in at
-least one of ``BANDS`` groups. With 96 groups of 3 a pair of similarity 0.5 is missed with
+least one of ``BANDS`` groups. With prefixes of one token this is banded minhash: the prefix that is
+exact for a similarity of 0.5 is half of a text under any order, and unrelated texts share words of
+that half by chance. With 96 groups of 3 a pair of similarity 0.5 is missed with
 probability (1 - 0.5**3)**96 = 2.7e-6, one of 0.6 with 6e-11, while unrelated texts, which share
 a few tokens in a thousand by chance, practically never become candidates. Candidates are verified
 exactly on the whole token sets.
@@ -159,6 +161,20 @@ def _slices(off: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def set_hashes(words: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the set of tokens of each text, whatever their order and repetition."""
+    pair = np.sort((owner.astype(np.uint64) << np.uint64(32)) | words.astype(np.uint64))
+    pair = pair[np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])]
+    owner = (pair >> np.uint64(32)).astype(np.int64)
+    h = mix(pair & np.uint64(0xFFFFFFFF))
+    out = []
+    for x in (h, mix(h ^ np.uint64(0x5851F42D4C957F2D))):
+        total = np.zeros(n, np.uint64)
+        np.add.at(total, owner, x)
+        out.append(mix(total).view(np.int64))
+    return out[0], out[1]
+
+
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -175,9 +191,8 @@ def _sketch(k: int):
                 keys = band_keys(low[some])
                 pick = pa.array(np.flatnonzero(some))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id").take(pick), b.column("h1").take(pick), b.column("h2").take(pick), bands], names=["id", "h1", "h2", "bands"]
-                )
+                h1, h2 = (pa.array(h[some]) for h in set_hashes(words, owner, b.num_rows))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pick), h1, h2, bands], names=["id", "h1", "h2", "bands"])
 
     return run
 
@@ -206,35 +221,43 @@ def _verify(k: int, threshold: float):
     return run
 
 
+#: Classes that share a key and are compared in one task; more are split into blocks.
+BLOCK = 256
+
+
+def key_pairs(keyed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs ``a < b`` of classes ``rep`` that share a ``key``, each pair once.
+
+    A key of many classes is cut into blocks by a hash of the class, and each pair of blocks is a group of
+    its own, so that no task meets more than ``block`` times ``block`` pairs of one key.
+    """
+    n = F.count(F.lit(1)).over(W.partitionBy("key"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    shared = keyed.withColumn("n", n).filter("n > 1")
+    shared = materialize(shared.select("rep", "key", blocks.alias("m"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("at")), "shared")
+    low = shared.select(F.col("rep").alias("x"), "key", F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("m") - 1)).alias("j"))
+    high = shared.select(F.col("rep").alias("y"), "key", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"))
+    met = low.join(high, ["key", "i", "j"]).filter("i < j or x < y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def class_links(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.5, k: int = 11) -> tuple[DataFrame, DataFrame]:
-    """Links between classes of equal sequences, and the membership of the records.
+    """Links between classes of sequences of one word set, and the membership of the records.
 
     ``(links: a, b, similarity; members: id, rep)`` with ``a < b`` representatives (the smallest id
-    of a class). A class holds the records with the same cleaned sequence on either strand, so
-    copies cost one row each, however many there are; only representatives are compared.
+    of a class). A class holds the records whose words are the same set, whose similarity is 1 by definition:
+    copies on either strand, but also repeats of one unit of different lengths. Copies cost one row each,
+    however many there are; only representatives are compared.
 
     Defined cases: null and empty texts and texts without a valid word are in no class; ids are
     taken to be unique longs; an empty table gives empty results; texts of any length are used
     whole; other columns are ignored.
     """
-    text = cleaned(text_col)
-    t = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).filter(F.col(text_col).isNotNull())
-    back = F.reverse(F.translate("text", "ACGT", "TGCA"))
-    canon = F.least("text", back)
-    t = t.withColumns({"h1": F.xxhash64(canon), "h2": F.xxhash64(canon, F.lit(1), F.length(canon))})
-
-    sketched = t.select("id", "h1", "h2", "text").mapInArrow(_sketch(k), "id long, h1 long, h2 long, bands array<long>")
+    t = df.select(F.col(id_col).cast("long").alias("id"), cleaned(text_col).alias("text")).filter(F.col(text_col).isNotNull())
+    sketched = materialize(t.mapInArrow(_sketch(k), "id long, h1 long, h2 long, bands array<long>"), "sketches")
     classes = sketched.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    classes = materialize(classes, "classes")
-    members = t.select("id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
-
-    # most keys belong to one class only: those go before the join
-    keyed = classes.select("rep", F.explode("bands").alias("key"))
-    shared = keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("n > 1").select("rep", "key")
-    shared = materialize(shared, "shared")
-    a, b = shared.select(F.col("rep").alias("a"), "key"), shared.select(F.col("rep").alias("b"), "key")
-    cand = a.join(b, "key").filter("a < b").select("a", "b").distinct()
-    cand = materialize(cand, "candidates")
+    members = sketched.select("id", "h1", "h2").join(sketched.groupBy("h1", "h2").agg(F.min("id").alias("rep")), ["h1", "h2"]).select("id", "rep")
+    cand = materialize(key_pairs(classes.select("rep", F.explode("bands").alias("key"))), "candidates")
 
     needed = cand.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = t.select("id", "text").join(needed, "id", "left_semi")

@@ -140,6 +140,33 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(g[i].group_id <= i and g[i].rep <= i for i in g)
 
 
+def test_one_word_set_is_one_class(spark):
+    """Runs of A of 5,000 lengths, on both strands: one class, no candidate."""
+    df = spark.range(5000).select(F.col("id").alias("seq_id"), F.expr("repeat(if(id % 2 = 0, 'A', 'T'), cast(id + 11 as int))").alias("chrseq"))
+    links, members = neardup.class_links(df, "seq_id", "chrseq")
+    assert links.count() == 0
+    assert {tuple(x) for x in members.groupBy("rep").count().collect()} == {(0, 5000)}
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_hot_keys_give_every_pair_once(spark, block):
+    r = random.Random(block)
+    rows = [(i, k) for k in range(6) for i in r.sample(range(80), [1, 2, 5, 30, 40, 60][k])]
+    got = [tuple(x) for x in neardup.key_pairs(spark.createDataFrame(rows, "rep long, key long"), block).collect()]
+    of = {}
+    for i, k in rows:
+        of.setdefault(k, []).append(i)
+    want = {(a, b) for v in of.values() for a in v for b in v if a < b}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_set_hashes_ignore_order_and_repetition():
+    import numpy as np
+
+    a, b = neardup.set_hashes(np.array([5, 9, 5, 9, 5, 7], np.uint32), np.array([0, 0, 0, 1, 1, 2]), 4)
+    assert a[0] == a[1] and b[0] == b[1] and len(set(a.tolist())) == 3 and len(set(b.tolist())) == 3
+
+
 def test_near_duplicates_empty_and_long(spark):
     df = spark.createDataFrame([], "seq_id long, chrseq string")
     links, members = neardup.class_links(df, "seq_id", "chrseq")
