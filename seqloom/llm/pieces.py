@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SCHEMA = "id long, n_chars long, boundaries array<long>, cuts array<long>, natural array<boolean>"
+_PLAN = "struct<cuts:array<bigint>,natural:array<boolean>,kept:array<bigint>>"
 
 
 def natural_boundaries(text: str, pattern: re.Pattern) -> list[tuple[int, int]]:
@@ -18,8 +17,8 @@ def natural_boundaries(text: str, pattern: re.Pattern) -> list[tuple[int, int]]:
     return [(m.end(), m.end() - m.start()) for m in pattern.finditer(text) if m.start() > 0 and m.end() < len(text)]
 
 
-def bisect_cuts(n: int, bounds: list[tuple[int, int]], limit: int, overlap: int) -> list[tuple[int, bool]]:
-    """Offsets at which a text of ``n`` characters is cut, in order, and whether each is natural.
+def bisect_cuts(n: int, bounds: list[tuple[int, int]], limit: int, overlap: int) -> tuple[list[tuple[int, bool]], list[int]]:
+    """Where a text of ``n`` characters is cut, in order, with whether each cut is natural; and the boundaries left whole inside the pieces.
 
     A stretch longer than ``limit - overlap`` is cut at its strongest boundary (longest run; of
     equal ones the nearest to the midpoint, then the first) in its middle half; without one
@@ -28,10 +27,11 @@ def bisect_cuts(n: int, bounds: list[tuple[int, int]], limit: int, overlap: int)
     """
     room = limit - overlap
     at = [b[0] for b in bounds]
-    cuts, todo = [], [(0, n)]
+    cuts, kept, todo = [], [], [(0, n)]
     while todo:
         lo, hi = todo.pop()
         if hi - lo <= room:
+            kept += at[bisect_right(at, lo) : bisect_left(at, hi)]
             continue
         mid, best = (lo + hi) // 2, None
         quarter = (hi - lo) // 4
@@ -41,63 +41,63 @@ def bisect_cuts(n: int, bounds: list[tuple[int, int]], limit: int, overlap: int)
                 best = min(near, key=lambda x: (-x[1], abs(x[0] - mid), x[0]))[0]
                 break
         cut = mid if best is None else best
-        cuts.append((cut, best is not None))
+        i = bisect_left(at, cut)
+        cuts.append((cut, i < len(at) and at[i] == cut))
         todo += [(lo, cut), (cut, hi)]
-    return sorted(cuts)
+    return sorted(cuts), sorted(kept)
 
 
-def _splitter(limit: int, overlap: int, boundary: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _planner(limit: int, overlap: int, boundary: str):
+    def plan(texts: pd.Series) -> pd.DataFrame:
         pattern = re.compile(boundary)
-        for b in batches:
-            out: dict = {k: [] for k in ("id", "n_chars", "boundaries", "cuts", "natural")}
-            for i, text in zip(b.column(0).to_pylist(), b.column(1)):
-                text = text.as_py()
-                bounds = natural_boundaries(text, pattern)
-                cuts = bisect_cuts(len(text), bounds, limit, overlap)
-                for k, v in zip(out, (i, len(text), [x[0] for x in bounds], [c for c, _ in cuts], [x for _, x in cuts])):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["id"], pa.int64()), pa.array(out["n_chars"], pa.int64()), pa.array(out["boundaries"], pa.list_(pa.int64())), pa.array(out["cuts"], pa.list_(pa.int64())), pa.array(out["natural"], pa.list_(pa.bool_()))],
-                names=list(out),
-            )
-
-    return run
-
-
-def split_plan(df: DataFrame, id_col: str, text_col: str, limit: int = 8000, overlap: int = 200, boundary: str = "N{10,}") -> DataFrame:
-    """Where the oversized texts (over ``limit`` characters) are cut: one row per oversized text.
-
-    ``id, n_chars, boundaries`` (all natural ones), ``cuts, natural``; offsets count from 0. Only
-    oversized texts leave the JVM, and only offsets come back. Null and empty texts, and those
-    within the limit, give no row; an empty table gives an empty result. Ids are taken to be
-    unique; of a repeated id each row gives its own plan. Other columns are ignored.
+        rows = []
+        for text in texts:
+            cuts, kept = bisect_cuts(len(text), natural_boundaries(text, pattern), limit, overlap)
+            rows.append(([c for c, _ in cuts], [x for _, x in cuts], kept))
+        return pd.DataFrame(rows, columns=["cuts", "natural", "kept"])
+
+    return plan
+
+
+def split_plan(df: DataFrame, text_col: str, limit: int = 8000, overlap: int = 200, boundary: str = "N{10,}") -> DataFrame:
+    """The rows of oversized texts (over ``limit`` characters) with a column ``split_plan``: where they are cut.
+
+    ``cuts`` and whether each is ``natural``, and the natural boundaries that are ``kept`` inside pieces;
+    offsets count from 0. Only oversized texts leave the JVM, and only offsets come back; a row's text
+    is read once and never shuffled. Null and empty texts, and those within the limit, give no row; an
+    empty table gives an empty result; other columns stay, but for one of that name.
     """
     if overlap < 0 or limit < 2 * overlap + 2:
         raise ValueError("limit must exceed twice the overlap")
-    big = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > limit)
-    return big.mapInArrow(_splitter(limit, overlap, boundary), _SCHEMA)
+    plan = F.pandas_udf(_planner(limit, overlap, boundary), _PLAN)
+    return df.filter(F.length(text_col) > limit).withColumn("split_plan", plan(F.col(text_col)))
+
 
+def found_boundaries(plan: DataFrame, id_col: str) -> DataFrame:
+    """``id, boundary_pos``: 1-based position after each natural boundary, 0 for a text without any.
 
-def found_boundaries(plan: DataFrame) -> DataFrame:
-    """``id, boundary_pos``: 1-based position after each natural boundary, 0 for a text without any."""
-    after = F.when(F.size("boundaries") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.transform("boundaries", lambda x: x + 1))
-    return plan.select("id", F.explode(after).alias("boundary_pos"))
+    The boundaries are those that the bisection cut at and those that it left inside pieces.
+    """
+    x = F.col("split_plan")
+    natural = F.transform(F.filter(F.arrays_zip(x["cuts"].alias("at"), x["natural"].alias("natural")), lambda c: c["natural"]), lambda c: c["at"])
+    found = F.concat(natural, x["kept"])
+    after = F.when(F.size(found) == 0, F.array(F.lit(0).cast("long"))).otherwise(F.transform(found, lambda v: v + 1))
+    return plan.select(F.col(id_col).alias("id"), F.explode(after).alias("boundary_pos"))
 
 
-def pieces(plan: DataFrame, df: DataFrame, id_col: str, text_col: str, overlap: int = 200) -> DataFrame:
-    """Pieces of the oversized texts: ``id, piece_no, piece_start, piece_end, starts_at_boundary, piece``.
+def pieces(plan: DataFrame, id_col: str, text_col: str, overlap: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pieces of the oversized texts: ``id, piece_no, piece_start, piece_end, starts_at_boundary, piece`` and the columns ``keep``.
 
     Positions are 1-based and closed. Each piece but the first begins ``overlap`` characters
-    before its cut, so that consecutive pieces share exactly these; no piece exceeds the limit.
+    before its cut, so that consecutive pieces share exactly these; no piece exceeds the limit. Of a
+    repeated id each row gives its own pieces.
     """
+    x, text = F.col("split_plan"), F.col(text_col)
     cut_row = F.struct(F.lit(0).cast("long").alias("at"), F.lit(True).alias("natural"))
-    rows = F.concat(F.array(cut_row), F.arrays_zip(F.col("cuts").alias("at"), F.col("natural").alias("natural")))
-    p = plan.withColumn("rows", rows).select("id", "n_chars", "cuts", F.posexplode("rows").alias("piece_no", "row"))
-    end = F.coalesce(F.get("cuts", F.col("piece_no")), F.col("n_chars"))
-    start = F.when(F.col("piece_no") == 0, F.lit(1)).otherwise(F.col("row.at") - overlap + 1).cast("long")
-    p = p.select("id", "piece_no", start.alias("piece_start"), end.alias("piece_end"), F.col("row.natural").alias("starts_at_boundary"))
-    text = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
-    got = p.join(text, "id")
+    rows = F.concat(F.array(cut_row), F.arrays_zip(x["cuts"].alias("at"), x["natural"].alias("natural")))
+    p = plan.select(F.col(id_col).alias("_id"), text.alias("_text"), x["cuts"].alias("_cuts"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.posexplode(rows).alias("piece_no", "_row"))
+    end = F.coalesce(F.get("_cuts", F.col("piece_no")), F.length("_text").cast("long"))
+    start = F.when(F.col("piece_no") == 0, F.lit(1)).otherwise(F.col("_row.at") - overlap + 1).cast("long")
     cut = F.col("_text").substr(F.col("piece_start").cast("int"), (F.col("piece_end") - F.col("piece_start") + 1).cast("int"))
-    return got.select("id", "piece_no", "piece_start", "piece_end", "starts_at_boundary", cut.alias("piece"))
+    p = p.withColumns({"piece_start": start, "piece_end": end})
+    return p.select(F.col("_id").alias("id"), "piece_no", "piece_start", "piece_end", F.col("_row.natural").alias("starts_at_boundary"), cut.alias("piece"), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])

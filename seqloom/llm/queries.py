@@ -47,16 +47,15 @@ def _sequences(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Natural boundaries of the oversized sequences."""
-    plan = pieces.split_plan(_sequences(spark, d), "seq_id", "seq", LIMIT, OVERLAP)
-    return pieces.found_boundaries(plan).withColumnRenamed("id", "seq_id")
+    plan = pieces.split_plan(_sequences(spark, d), "seq", LIMIT, OVERLAP)
+    return pieces.found_boundaries(plan, "seq_id").withColumnRenamed("id", "seq_id")
 
 
 @query
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of at most 8,000 bases, 200 of them shared with the piece before."""
-    t = _sequences(spark, d)
-    got = pieces.pieces(pieces.split_plan(t, "seq_id", "seq", LIMIT, OVERLAP), t, "seq_id", "seq", OVERLAP)
-    return got.withColumnRenamed("id", "seq_id").join(t.select("seq_id", "chrname"), "seq_id")
+    plan = pieces.split_plan(_sequences(spark, d), "seq", LIMIT, OVERLAP)
+    return pieces.pieces(plan, "seq_id", "seq", OVERLAP, ("chrname",)).withColumnRenamed("id", "seq_id")
 
 
 @query

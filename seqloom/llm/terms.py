@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 _PARTIAL = "field string, term string, n_records long, n_homes long, first_home string, last_home string, part int"
-_OUT = pa.schema([("field", pa.string()), ("term", pa.string()), ("n_records", pa.int64()), ("n_homes", pa.int64()), ("first_home", pa.string()), ("last_home", pa.string()), ("part", pa.int32())])
+_NAMES = ["field", "term", "n_records", "n_homes", "first_home", "last_home", "part"]
 
 
 def _differs(t: pa.RecordBatch, names: list[str]) -> pa.Array:
@@ -27,52 +28,38 @@ def _differs(t: pa.RecordBatch, names: list[str]) -> pa.Array:
 
 
 def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by field, term, home, record; one partial row per run of a term."""
-    import numpy as np
+    """Rows come sorted by field, term, home, record; one partial row per run of a term and batch, all as arrays.
 
+    A run that goes on in the next batch gives another row, with the home that it goes on with; such rows
+    are put together like those of a run that passes a partition border.
+    """
     part = TaskContext.get().partitionId()
-    held: dict | None = None  # run that may go on in the next batch
     last: pa.RecordBatch | None = None  # last row of the batch before
-
-    def flush(runs: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{k: v for k, v in r.items()} | {"part": part} for r in runs], schema=_OUT)
-
     for b in batches:
         if not b.num_rows:
             continue
         joined = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0] if last is not None else b
-        lead = 1 if last is not None else 0
         if joined.num_rows > 1:
             term = np.asarray(_differs(joined, ["field", "term"]))
             home = term | np.asarray(_differs(joined, ["home"]))
             rec = home | np.asarray(_differs(joined, ["record"]))
         else:
             term = home = rec = np.zeros(0, bool)
-        if not lead:  # the first row of all begins a run of everything
+        if last is None:  # the first row of all begins a run of everything
             term, home, rec = (np.r_[True, x] for x in (term, home, rec))
+        starts = np.unique(np.r_[0, np.flatnonzero(term)])
+        ends = np.r_[starts[1:], b.num_rows]
         known = np.asarray(pc.is_valid(b.column("home")))
-        cuts = np.flatnonzero(term)
-        bounds = np.r_[0, cuts[cuts > 0], b.num_rows]
-        starts, ends = bounds[:-1], bounds[1:]
         n_rec = np.add.reduceat(rec.astype(np.int64), starts)
         n_home = np.add.reduceat((home & known).astype(np.int64), starts)
-        fields, terms = b.column("field").take(pa.array(starts)).to_pylist(), b.column("term").take(pa.array(starts)).to_pylist()
-        firsts, lasts = b.column("home").take(pa.array(starts)).to_pylist(), b.column("home").take(pa.array(ends - 1)).to_pylist()
-        runs = []
-        for i in range(len(starts)):
-            if i == 0 and held is not None and not term[0]:
-                held["n_records"] += int(n_rec[0])
-                held["n_homes"] += int(n_home[0])
-                held["last_home"] = lasts[0]
-                continue
-            if held is not None:
-                runs.append(held)
-            held = {"field": fields[i], "term": terms[i], "n_records": int(n_rec[i]), "n_homes": int(n_home[i]), "first_home": firsts[i], "last_home": lasts[i]}
-        if runs:
-            yield flush(runs)
+        first, final = pa.array(starts), pa.array(ends - 1)
+        # a home that goes on from the batch before is counted there: its row must not be taken for a new meeting
+        begins = b.column("home").take(first)
+        if not home[0]:
+            begins = pa.concat_arrays([pa.nulls(1, begins.type), begins.slice(1)])
+        cols = [b.column("field").take(first), b.column("term").take(first), pa.array(n_rec), pa.array(n_home), begins, b.column("home").take(final), pa.array(np.full(len(starts), part, np.int32))]
+        yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
         last = b.slice(b.num_rows - 1, 1)
-    if held is not None:
-        yield flush([held])
 
 
 def term_frequencies(df: DataFrame, fields: Mapping[str, Column], record: str, home: str) -> DataFrame:
@@ -98,6 +85,8 @@ def term_frequencies(df: DataFrame, fields: Mapping[str, Column], record: str, h
     pairs = pairs.select("p.field", "p.term", "home", "record").filter("term is not null")
     order = ["field", "term", "home", "record"]
     partial = pairs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan_runs, _PARTIAL)
+    # rows of a term within a partition meet without a gap: their outer homes are the least and the largest
+    partial = partial.groupBy("field", "term", "part").agg(F.sum("n_records").alias("n_records"), F.sum("n_homes").alias("n_homes"), F.min("first_home").alias("first_home"), F.max("last_home").alias("last_home"))
     w = W.partitionBy("field", "term").orderBy("part")
     met = partial.withColumn("again", F.coalesce((F.lag("last_home").over(w) == F.col("first_home")).cast("long"), F.lit(0)))
     return met.groupBy("field", "term").agg(F.sum("n_records").alias("n_records"), (F.sum("n_homes") - F.sum("again")).alias("n_homes"))

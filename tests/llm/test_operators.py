@@ -75,11 +75,12 @@ def test_pieces_cover_the_text(spark, seed):
         texts.append(s)
     texts += ["N" * 500, "A" * 90 + "N" * 300 + "C" * 90, None]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, seq string").withColumn("cuts", F.lit("clash"))
-    plan = pieces.split_plan(df, "id", "seq", 100, 10)
+    plan = pieces.split_plan(df, "seq", 100, 10)
     got = {}
-    for x in pieces.pieces(plan, df, "id", "seq", 10).orderBy("id", "piece_no").collect():
+    for x in pieces.pieces(plan, "id", "seq", 10, ("cuts",)).orderBy("id", "piece_no").collect():
         got.setdefault(x.id, []).append(x)
     assert set(got) == {i for i, s in enumerate(texts) if s and len(s) > 100}
+    assert all(p.cuts == "clash" for ps in got.values() for p in ps)
     for i, ps in got.items():
         s = texts[i]
         assert all(len(p.piece) <= 100 and p.piece == s[p.piece_start - 1 : p.piece_end] for p in ps)
@@ -88,7 +89,7 @@ def test_pieces_cover_the_text(spark, seed):
     import re
 
     found = {}
-    for x in pieces.found_boundaries(plan).collect():
+    for x in pieces.found_boundaries(plan, "id").collect():
         found.setdefault(x.id, set()).add(x.boundary_pos)
     for i in got:
         want = {m.end() + 1 for m in re.finditer("N{10,}", texts[i]) if m.start() and m.end() < len(texts[i])}
@@ -96,10 +97,37 @@ def test_pieces_cover_the_text(spark, seed):
 
 
 def test_cut_prefers_the_strongest_boundary():
-    assert pieces.bisect_cuts(160, [(60, 12), (80, 10), (100, 12)], 100, 10) == [(60, True), (100, True)] or pieces.bisect_cuts(160, [(60, 12), (80, 10), (100, 12)], 100, 10)[0] == (60, True)
-    assert pieces.bisect_cuts(160, [], 100, 10) == [(80, False)]
-    assert pieces.bisect_cuts(160, [(30, 50)], 100, 10)[0] == (30, True)  # none in the middle half
-    assert pieces.bisect_cuts(90, [(40, 99)], 100, 10) == []
+    cuts = lambda *a: pieces.bisect_cuts(*a, 100, 10)
+    assert cuts(160, [(60, 12), (80, 10), (100, 12)]) == ([(60, True), (100, True)], [80])  # a tie: the first; then its right part
+    assert cuts(160, []) == ([(80, False)], [])
+    assert cuts(160, [(30, 50)])[0][0] == (30, True)  # none in the middle half
+    assert cuts(90, [(40, 99)]) == ([], [40])
+
+
+def brute_cuts(n, bounds, limit, overlap):
+    """The rule, recursively and over all boundaries at every step."""
+
+    def part(lo, hi):
+        if hi - lo <= limit - overlap:
+            return []
+        mid = (lo + hi) // 2
+        inner = [b for b in bounds if lo + (hi - lo) // 4 <= b[0] <= hi - (hi - lo) // 4 and b[0] > lo + overlap]
+        wide = [b for b in bounds if lo + overlap < b[0] < hi - overlap]
+        best = sorted(inner or wide, key=lambda b: (-b[1], abs(b[0] - mid), b[0]))
+        cut = best[0][0] if best else mid
+        return part(lo, cut) + [cut] + part(cut, hi)
+
+    return part(0, n)
+
+
+def test_cuts_against_recursion():
+    r = random.Random(4)
+    for _ in range(300):
+        n = r.randint(50, 2000)
+        bounds = sorted({x: r.randint(10, 14) for x in r.sample(range(11, n), min(n - 11, r.randint(0, 25)))}.items())
+        cuts, kept = pieces.bisect_cuts(n, bounds, 100, 10)
+        assert [c for c, _ in cuts] == brute_cuts(n, bounds, 100, 10)
+        assert sorted([c for c, x in cuts if x] + kept) == [b for b, _ in bounds]
 
 
 # ---- near-duplicates
