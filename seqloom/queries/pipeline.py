@@ -190,7 +190,8 @@ def p6_reasons(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "p6_te_rows",
     _P6_SQL
-    + """ SELECT record_id, f[1] AS chrom, try_cast(f[2] AS BIGINT) AS te_start, try_cast(f[3] AS BIGINT) AS te_end, f[4] AS strand, f[5] AS te_name, f[6] AS te_fam, f[7] AS te_class, try_cast(f[8] AS BIGINT) AS score FROM te3 WHERE ok""",
+    + """ SELECT record_id, f[1] AS chrom, try_cast(f[2] AS BIGINT) AS te_start, try_cast(f[3] AS BIGINT) AS te_end, f[4] AS strand, f[5] AS te_name, f[6] AS te_fam, f[7] AS te_class, try_cast(f[8] AS BIGINT) AS score,
+ nullif(array_to_string(list_filter([CASE WHEN try_cast(f[2] AS BIGINT) IS NULL THEN 'te_start=' || f[2] END, CASE WHEN try_cast(f[3] AS BIGINT) IS NULL THEN 'te_end=' || f[3] END, CASE WHEN f[8] <> '.' AND try_cast(f[8] AS BIGINT) IS NULL THEN 'score=' || f[8] END], lambda x: x IS NOT NULL), ';'), '') AS too_large FROM te3 WHERE ok""",
 )
 def p6_te_rows(spark: SparkSession, d: str) -> DataFrame:
     p = raw_parsed(spark, d)
@@ -203,7 +204,10 @@ def p6_te_rows(spark: SparkSession, d: str) -> DataFrame:
     + """, o AS (SELECT record_id, f, list_transform(f, lambda x: try_cast(replace(replace(x, '(', ''), ')', '') AS BIGINT)) AS n FROM ou2 WHERE ok)
 SELECT record_id, n[1] AS sw_score, n[6] AS seq_begin, n[7] AS seq_end, n[15] AS hit_id, CAST(f[2] AS DOUBLE) AS pct_div, CAST(f[3] AS DOUBLE) AS pct_del, CAST(f[4] AS DOUBLE) AS pct_ins,
  f[5] AS seq_name, f[9] AS strand, f[10] AS ele, f[11] AS ele_class, n[8] AS left_bp, CASE WHEN f[9] = '+' THEN n[12] ELSE n[14] END AS rep_begin, n[13] AS rep_end,
- CASE WHEN f[9] = '+' THEN n[14] ELSE n[12] END AS rep_left, len(f) = 16 AS overlapped FROM o""",
+ CASE WHEN f[9] = '+' THEN n[14] ELSE n[12] END AS rep_left, len(f) = 16 AS overlapped,
+ nullif(array_to_string(list_filter([CASE WHEN n[1] IS NULL THEN 'sw_score=' || f[1] END, CASE WHEN n[6] IS NULL THEN 'seq_begin=' || f[6] END, CASE WHEN n[7] IS NULL THEN 'seq_end=' || f[7] END, CASE WHEN n[15] IS NULL THEN 'hit_id=' || f[15] END, CASE WHEN n[8] IS NULL THEN 'left_bp=' || replace(replace(f[8], '(', ''), ')', '') END,
+  CASE WHEN f[9] = '+' AND n[12] IS NULL THEN 'rep_begin=' || f[12] WHEN f[9] <> '+' AND n[14] IS NULL THEN 'rep_begin=' || f[14] END, CASE WHEN n[13] IS NULL THEN 'rep_end=' || f[13] END,
+  CASE WHEN f[9] = '+' AND n[14] IS NULL THEN 'rep_left=' || replace(replace(f[14], '(', ''), ')', '') WHEN f[9] <> '+' AND n[12] IS NULL THEN 'rep_left=' || replace(replace(f[12], '(', ''), ')', '') END], lambda x: x IS NOT NULL), ';'), '') AS too_large FROM o""",
 )
 def p6_out_rows(spark: SparkSession, d: str) -> DataFrame:
     p = raw_parsed(spark, d)

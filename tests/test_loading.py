@@ -22,9 +22,14 @@ def test_rejects(spark):
     bad = {r.record_id: r.reasons for r in rejects.rejects(p).collect()}
     want = {i for i, (f, x) in enumerate(rows) if x in BAD_TE + BAD_OUT or f in (None, "csv")}
     assert set(bad) == want and all(bad.values())
+    why = {x: bad[i] for i, (_, x) in enumerate(rows) if i in bad}
+    assert why["c\t20\t20\t+\tn\tf\tc\t5"] == ["start is not before end"]
+    assert why["c\t+1\t2\t+\tn\tf\tc\t5"] == ["coordinate is not a number"]  # what cannot be compared is not out of order
+    assert why[HEAD + "- e c (2) 5 1 7"] == ["strand is not + or C"] and why[HEAD + "+ e c (2) 5 1 7"] == ["repeat positions do not fit the strand"]
     te = rejects.typed_te(p, rejects.rejects(p)).orderBy("record_id").collect()
     assert [r.te_name for r in te] == ["n", "n x", 'a\tb "q"', "n", "n"]
     assert te[4].te_start is None and te[0].te_start == 1  # too large for a long, yet valid
+    assert te[4].too_large == f"te_start={'9' * 30};te_end=1{'0' * 30}" and te[0].too_large is None and te[1].score is None and te[1].too_large is None
     out = rejects.typed_out(p, rejects.rejects(p)).orderBy("record_id").collect()
     assert [(r.rep_begin, r.rep_end, r.rep_left, r.overlapped) for r in out] == [(1, 5, 2, False), (1, 5, 2, True), (1, 5, 2, False)]
 
