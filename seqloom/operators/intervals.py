@@ -119,10 +119,42 @@ def merged(df: DataFrame, keys: Sequence[str], start: str, end: str, touch: int
     return periods_and_gaps(df, keys, start, end, touch, **kw).filter("kind = 'period'").drop("kind")
 
 
-def covered_bases(df: DataFrame, keys: Sequence[str], start: str, end: str, by: Sequence[str] | None = None) -> DataFrame:
-    """Distinct positions covered, summed over ``by`` (default: per entity): ``by, covered``."""
+def _per_bucket(df: DataFrame, keep: Sequence[str], start: str, end: str, width: int) -> DataFrame:
+    """Intervals cut at the borders of buckets of ``width`` positions: ``keep, _bkt, _s, _e``; one row with nulls if a coordinate is null."""
+    s, e = F.col(start), F.col(end)
+    bkt = F.explode_outer(F.sequence(F.floor(s / width), F.floor(e / width)))
+    x = df.select(*keep, s.alias("_s0"), e.alias("_e0"), bkt.alias("_bkt"))
+    return x.select(*keep, "_bkt", F.greatest("_s0", F.col("_bkt") * width).alias("_s"), F.least("_e0", F.col("_bkt") * width + (width - 1)).alias("_e"), (F.col("_bkt") == F.floor(F.col("_s0") / width)).alias("_first"))
+
+
+def covered_bases(df: DataFrame, keys: Sequence[str], start: str, end: str, by: Sequence[str] | None = None, count: str | None = None, width: int = BUCKET_WIDTH) -> DataFrame:
+    """Distinct positions covered, summed over ``by`` (default: per entity): ``by, covered``, and the rows as ``count`` if named.
+
+    Cover adds up over stretches of the axis, so intervals are cut at the borders of buckets and each bucket of
+    an entity is worked on alone: no prefix over buckets is needed. Of the intervals that begin at one position
+    only the longest is shuffled; a bucket holds ``width`` rows at most, however many intervals there are.
+
+    Defined cases: ``start > end`` is exchanged; rows with a null key or coordinate cover nothing but count
+    under their ``by``, null included (without ``count`` they give no row); repeated rows cover once.
+    """
     by = list(keys if by is None else by)
-    return merged(df, keys, start, end).groupBy(*by).agg(F.sum(F.col("span_end") - F.col("span_start") + 1).alias("covered"))
+    s, e = F.col(start).cast("long"), F.col(end).cast("long")
+    known = s.isNotNull() & e.isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    keep = list(dict.fromkeys([*keys, *by]))
+    names = {k: f"_k{i}" for i, k in enumerate(keep)}
+    t = df.select(*[F.col(k).alias(n) for k, n in names.items()], F.when(known, F.least(s, e)).alias("_a"), F.when(known, F.greatest(s, e)).alias("_b"))
+    if count is None:
+        t = t.filter("_a is not null")
+    ks = list(names.values())
+    cut = _per_bucket(t, ks, "_a", "_b", width)
+    longest = cut.groupBy(*ks, "_bkt", "_s").agg(F.max("_e").alias("_e"), F.sum(F.coalesce(F.col("_first"), F.lit(True)).cast("long")).alias("_n"))
+    before = W.partitionBy(*ks, "_bkt").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    adds = F.greatest(F.lit(0).cast("long"), F.col("_e") - F.greatest(F.coalesce(F.max("_e").over(before), F.col("_s") - 1), F.col("_s") - 1))
+    x = longest.select(*[F.col(names[k]).alias(f"_b{i}") for i, k in enumerate(by)], "_n", F.when(F.col("_s").isNotNull(), adds).alias("_c"))
+    g = x.groupBy(*[f"_b{i}" for i in range(len(by))]).agg(F.sum("_c").alias("covered"), F.sum("_n").alias("_n"))
+    return g.select(*[F.col(f"_b{i}").alias(k) for i, k in enumerate(by)], F.coalesce("covered", F.lit(0)).cast("long").alias("covered"), *([F.col("_n").alias(count)] if count else []))
 
 
 def overlap_len(s1, e1, s2, e2) -> Column:
@@ -149,7 +181,7 @@ def overlap_join(
     min_overlap: int = 0,
     how: str = "inner",
 ) -> DataFrame:
-    """Pairs of closed intervals of one entity that share more than ``min_overlap`` of ``end - start``.
+    """Pairs of closed intervals of one entity that touch, and share ``min_overlap`` or more of ``end - start``.
 
     A theta join would be a Cartesian product; each interval is written into every bin that it
     touches instead, the bins are joined by equality and a pair is kept only in the first bin
@@ -171,10 +203,11 @@ def overlap_join(
             r = r.withColumnRenamed(k, v)
             cond = cond & (F.col(k) == F.col(v))
         return ll.join(r, cond & hit & (F.col(lb) == first_bin)).drop(lb, rb, *ren.values())
-    row = "_row"
-    tagged = left.withColumn(row, F.struct(*left.columns))
-    pairs = overlap_join(tagged, right, keys, l_start, l_end, r_start, r_end, width, min_overlap).select(row).distinct()
-    return tagged.join(pairs, tagged[row].eqNullSafe(pairs[row]), how).drop(row)
+    # semi and anti: rows are told apart by a key of their coordinates, which is all that decides
+    r_side = right.select(*keys, r_start, r_end).distinct()
+    places = left.select(*keys, l_start, l_end).distinct()
+    hits = overlap_join(places, r_side, keys, l_start, l_end, r_start, r_end, width, min_overlap).select(*keys, l_start, l_end).distinct()
+    return left.join(hits, [*keys, l_start, l_end], how).select(*left.columns)
 
 
 def running_masked(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, end: str, name: str = "bp") -> DataFrame:
@@ -189,31 +222,29 @@ def running_masked(df: DataFrame, keys: Sequence[str], order: Sequence[str], sta
     return out.withColumn(name, bp.cast("long")).drop("_prev")
 
 
-def confusion_bases(truth: DataFrame, test: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+def confusion_bases(truth: DataFrame, test: DataFrame, keys: Sequence[str], start: str, end: str, width: int = BUCKET_WIDTH) -> DataFrame:
     """Bases in both, in ``truth`` only and in ``test`` only, per entity: ``keys, tp, fn, fp``.
 
-    Merged periods carry +1/-1 depth changes of both sides; the stretch up to the next change
-    is counted under the state that holds in it.
+    Each side gives depth changes of +1 and -1; the stretch up to the next change is counted under the
+    state that holds in it. Intervals are cut at bucket borders first, as these counts add up over stretches of
+    the axis, and changes at one position are added up before the shuffle.
     """
-    ks = list(keys)
+    ks = [f"_k{i}" for i in range(len(keys))]
 
-    def ends(df: DataFrame, a: int, b: int) -> DataFrame:
-        m = merged(df, ks, start, end)
+    def changes(df: DataFrame, a: int, b: int) -> DataFrame:
+        cut = _per_bucket(_clean(df, keys, start, end), ks, "_s", "_e", width)
         ev = lambda p, sign: F.struct(p.alias("pos"), F.lit(a * sign).alias("a"), F.lit(b * sign).alias("b"))
-        return m.select(*ks, F.explode(F.array(ev(F.col("span_start"), 1), ev(F.col("span_end") + 1, -1))).alias("x")).select(*ks, "x.*")
+        return cut.select(*ks, "_bkt", F.explode(F.array(ev(F.col("_s"), 1), ev(F.col("_e") + 1, -1))).alias("x")).select(*ks, "_bkt", "x.*")
 
-    ev = ends(truth, 1, 0).unionByName(ends(test, 0, 1)).groupBy(*ks, "pos").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = W.partitionBy(*ks).orderBy("pos")
-    st = ev.select(
-        *ks,
-        F.sum("a").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("a"),
-        F.sum("b").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("b"),
-        (F.lead("pos").over(w) - F.col("pos")).alias("n"),
-    )
+    ev = changes(truth, 1, 0).unionByName(changes(test, 0, 1)).groupBy(*ks, "_bkt", "pos").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    w = W.partitionBy(*ks, "_bkt").orderBy("pos")
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    st = ev.select(*ks, F.sum("a").over(so_far).alias("a"), F.sum("b").over(so_far).alias("b"), (F.lead("pos").over(w) - F.col("pos")).alias("n"))
     z = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias
-    return st.groupBy(*ks).agg(
+    g = st.groupBy(*ks).agg(
         z((F.col("a") > 0) & (F.col("b") > 0))("tp"), z((F.col("a") > 0) & (F.col("b") == 0))("fn"), z((F.col("a") == 0) & (F.col("b") > 0))("fp")
     )
+    return g.select(*[F.col(k).alias(n) for k, n in zip(ks, keys)], "tp", "fn", "fp")
 
 
 def distance(a_start, a_end, b_start, b_end) -> Column:

@@ -6,18 +6,21 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def deliver_once(df: DataFrame, record_id: str, order: Sequence[str] = ()) -> DataFrame:
-    """One row per ``record_id``: the first by ``order``. Rows with a null id are dropped.
+    """One row per ``record_id``: the first by ``order`` (by the other columns without one). Rows with a null id are dropped.
 
-    Ids are spread evenly whatever the keys are, so this shuffle has no hot partition.
+    Ids are spread evenly whatever the keys are, so this shuffle has no hot partition. It is one shuffle
+    and one sort; columns that are not used afterwards are not shuffled.
     """
     rest = [c for c in df.columns if c != record_id]
-    key = F.struct(*order) if order else F.struct(*rest)
-    got = df.filter(F.col(record_id).isNotNull()).groupBy(record_id).agg(F.min_by(F.struct(*rest), key).alias("_r"))
-    return got.select(record_id, "_r.*")
+    w = W.partitionBy(record_id).orderBy(*(order or rest))
+    # not row_number() = 1: its limit would sort the rows once more before the shuffle, for few repeated ids
+    first = F.lag(F.lit(1)).over(w).isNull()
+    return df.filter(F.col(record_id).isNotNull()).withColumn("_first", first).filter("_first").drop("_first")
 
 
 def compact_state(df: DataFrame, keys: Mapping[str, Column], measures: Mapping[str, Column], count: str) -> DataFrame:
@@ -61,7 +64,12 @@ def eager_join_totals(
     return j.select(key, *[v.alias(k) for k, v in n.items()])
 
 
-def key_share_at_least(states: DataFrame, count: str, percent: int) -> DataFrame:
-    """States whose count is at least ``percent`` of the total over all states, null keys included."""
-    total = states.agg(F.coalesce(F.sum(count), F.lit(0)).alias("t"))
-    return states.filter(F.col(count) * 100 >= total.scalar() * percent)
+def key_share_at_least(states: DataFrame, group: str, key: str, count: str, percent: int) -> DataFrame:
+    """Keys of each group whose count is at least ``percent`` of the group's total, null keys included in the total: ``group, key``.
+
+    The totals are a roll-up of the compact states, not of the rows.
+    """
+    r = states.groupBy(group).agg(F.sum(count).alias("_t"))
+    t = states.select(F.col(group).alias("_g"), F.col(key).alias("_k"), F.col(count).alias("_n"))
+    got = t.join(r, t["_g"] == r[group]).filter(F.col("_n") * 100 >= F.col("_t") * percent)
+    return got.filter("_k is not null").select(group, F.col("_k").alias(key))

@@ -102,12 +102,11 @@ SELECT 'ele' AS field_name, key_name FROM rm WHERE key_name IS NOT NULL GROUP BY
 UNION ALL SELECT 'te_name', key_name FROM te WHERE key_name IS NOT NULL GROUP BY key_name HAVING count(*) * 100 >= (SELECT count(*) FROM te)""",
 )
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Names that hold at least 1 % of the records of either table, from the joined compact states."""
-    rm, te = p4_states(spark, d)
-    joined = skew.join_states(rm, te, ["key_name"])
-    ele = skew.key_share_at_least(joined, "n_ann", 1).select(F.lit("ele").alias("field_name"), "key_name")
-    name = skew.key_share_at_least(joined, "n_copies", 1).select(F.lit("te_name").alias("field_name"), "key_name")
-    return ele.unionByName(name).filter("key_name is not null")
+    """Names that hold at least 1 % of the records of either table, from compact states that are written once and rolled up."""
+    key = {"key_name": F.col("key_name")}
+    rm = skew.compact_state(rm_annotations(spark, d), key, {}, "n").select(F.lit("ele").alias("field_name"), "key_name", "n")
+    te = skew.compact_state(te_copies(spark, d), key, {}, "n").select(F.lit("te_name").alias("field_name"), "key_name", "n")
+    return skew.key_share_at_least(materialize(rm.unionByName(te), "states"), "field_name", "key_name", "n", 1)
 
 
 def _covered_sql(t: str) -> str:
@@ -124,13 +123,11 @@ SELECT 'ele' AS field_name, n.key_name, n.n AS n_records, CAST(coalesce(c.covere
 UNION ALL SELECT 'te_name', n.key_name, n.n, CAST(coalesce(c.covered, 0) AS BIGINT) FROM ten n LEFT JOIN tec c USING (key_name)""",
 )
 def p4_name_cover(spark: SparkSession, d: str) -> DataFrame:
-    """Records and distinct covered bases of each name. Hot names are spread over sequences and position buckets."""
+    """Records and distinct covered bases of each name, in one pass. Hot names are spread over sequences and position buckets."""
     parts = []
     for field, t in (("ele", rm_annotations(spark, d)), ("te_name", te_copies(spark, d))):
-        t = t.filter("key_name is not null")
-        n = skew.compact_state(t, {"key_name": F.col("key_name")}, {}, "n_records")
-        c = intervals.covered_bases(t, ["key_name", "genome", "seq"], "b", "e", by=["key_name"])
-        parts.append(n.join(c, "key_name", "left").select(F.lit(field).alias("field_name"), "key_name", "n_records", F.coalesce("covered", F.lit(0)).cast("long").alias("covered_bases")))
+        c = intervals.covered_bases(t.filter("key_name is not null"), ["key_name", "genome", "seq"], "b", "e", ["key_name"], "n_records")
+        parts.append(c.select(F.lit(field).alias("field_name"), "key_name", "n_records", F.col("covered").alias("covered_bases")))
     return parts[0].unionByName(parts[1])
 
 

@@ -66,12 +66,31 @@ def test_overlap_join_against_all_pairs(spark):
     assert {x[0] for x in semi} == {i for i, _ in want} and {x[0] for x in anti} == {x[1] for x in a} - {i for i, _ in want}
 
 
-def test_confusion_counts_bases(spark):
+@pytest.mark.parametrize("width", [7, 1 << 16])
+def test_cover_against_sets(spark, width):
+    r = random.Random(width)
+    rows = [(r.choice("ab"), r.choice(["x", "y", None]), r.choice([None, *range(1, 90)]), r.choice([None, *range(1, 90)])) for _ in range(120)] + [("hot", "x", 5, 60)] * 40
+    df = spark.createDataFrame(rows, "name string, seq string, s long, e long").withColumn("_bkt", F.lit("clash"))
+    want = {}
+    for n, q, s, e in rows:
+        c = want.setdefault(n, [0, set()])
+        c[0] += 1
+        if None not in (q, s, e):
+            c[1] |= {(q, p) for p in range(min(s, e), max(s, e) + 1)}
+    got = {x["name"]: (x.n, x.covered) for x in iv.covered_bases(df, ["name", "seq"], "s", "e", ["name"], "n", width).collect()}
+    assert got == {k: (n, len(c)) for k, (n, c) in want.items()}
+    alone = {(x["name"], x.seq): x.covered for x in iv.covered_bases(df, ["name", "seq"], "s", "e", width=width).collect()}
+    assert alone == {(k, q): len({p for z, p in c if z == q}) for k, (_, c) in want.items() for q in {z for z, _ in c}}
+    assert iv.covered_bases(df.limit(0), ["name", "seq"], "s", "e").collect() == []
+
+
+@pytest.mark.parametrize("width", [8, 1 << 16])
+def test_confusion_counts_bases(spark, width):
     r = random.Random(9)
     a = [("x", s, s + r.randint(0, 20)) for s in r.sample(range(200), 15)]
     b = [("x", s, s + r.randint(0, 20)) for s in r.sample(range(200), 15)]
     on = lambda t: {p for _, s, e in t for p in range(s, e + 1)}
-    got = iv.confusion_bases(spark.createDataFrame(a, "k string, s long, e long"), spark.createDataFrame(b, "k string, s long, e long"), ["k"], "s", "e").collect()[0]
+    got = iv.confusion_bases(spark.createDataFrame(a, "k string, s long, e long"), spark.createDataFrame(b, "k string, s long, e long"), ["k"], "s", "e", width).collect()[0]
     assert (got.tp, got.fn, got.fp) == (len(on(a) & on(b)), len(on(a) - on(b)), len(on(b) - on(a)))
 
 

@@ -50,7 +50,9 @@ def test_states_equal_the_join(spark):
     assert got == want
     full = {r.k: (r.n_a, r.n_b) for r in skew.join_states(sa, sb, ["k"]).collect()}
     assert full == {"x": (2, 1), "y": (1, None), "z": (None, 1), None: (1, 1), "hot": (50, 40)}
-    assert {r.k for r in skew.key_share_at_least(sa, "n_a", 5).collect()} == {"hot"}
+    both = sa.select(F.lit("a").alias("side"), "k", F.col("n_a").alias("n")).union(sb.select(F.lit("b"), "k", "n_b"))
+    assert {tuple(r) for r in skew.key_share_at_least(both, "side", "k", "n", 5).collect()} == {("a", "hot"), ("b", "hot")}
+    assert {tuple(r) for r in skew.key_share_at_least(both, "side", "k", "n", 2).collect()} == {("a", "hot"), ("b", "hot"), ("a", "x"), ("b", "x"), ("b", "z")}
 
 
 def test_deliver_once_takes_the_first(spark):
