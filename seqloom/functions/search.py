@@ -58,38 +58,36 @@ def _fuzzy_ends(pattern: pd.Series, text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["first_start", "last_end", "n"])
 
 
-def _near_word(word: str, text: str) -> int:
-    """First position of ``word`` in ``text``; with eight letters or more one of them may be another base."""
-    if len(word) < 8:
-        return text.find(word)
-    for j in range(len(text) - len(word) + 1):
-        wrong = [t for w, t in zip(word, text[j:]) if w != t]
-        if not wrong or (len(wrong) == 1 and wrong[0] in "ACGT"):
-            return j
-    return -1
+def _blurred(word: str) -> list[str]:
+    """A word of eight letters or more with each of its letters left open in turn; a shorter one has none."""
+    return [f"{word[:j]}.{word[j + 1 :]}" for j in range(len(word))] if len(word) >= 8 else []
 
 
 def confident_site(seq: str, start: int, end: int, reach: int = 20) -> tuple[str | None, int]:
     """Duplicated site outside the 1-based closed element ``start..end``, and its distance to it.
 
-    Words of 15 to 2 letters of the left flank are looked for in the right flank; the nearest pair,
-    then the longest, wins. The first occurrence in the right flank counts.
+    Words of 2 to 15 letters of both flanks are matched by length; from eight letters on, one letter of the
+    right one may be another base. The pair with the least distance to the element wins, then the longest,
+    then the one whose left copy lies nearest. Words with N, and repeats of a word further off, do not count.
     """
-    left_from = max(0, start - 1 - reach)
-    left, right = seq[left_from : start - 1], seq[end : end + reach]
-    best = None
-    for k in range(15, 1, -1):
-        for i in range(len(left) - k, -1, -1):
+    left, right = seq[max(0, start - 1 - reach) : start - 1], seq[end : end + reach]
+    pairs = []
+    for k in range(2, 16):
+        first: dict[str, int] = {}  # where a word, or a word with one letter open, comes first on the right
+        for p in range(len(right) - k, -1, -1):
+            word = right[p : p + k]
+            first[word] = p
+            first.update((x, p) for x, c in zip(_blurred(word), word) if c in "ACGT")
+        for i in range(len(left) - k + 1):
             word = left[i : i + k]
-            after = left_from + i + k
-            if "N" in word or after > len(seq) - 1:
-                continue
-            hit = _near_word(word, right)
-            if hit >= 0:
-                far = abs(after - (start - 1)) + hit
-                if best is None or (far, -k) < best[:2]:
-                    best = (far, -k, word)
-    return (best[2], best[0]) if best else (None, -1)
+            hits = [first[x] for x in (word, *_blurred(word)) if x in first]
+            if hits and "N" not in word:
+                away = len(left) - i - k
+                pairs.append((away + min(hits), -k, away, word))
+    if not pairs:
+        return None, -1
+    far, _, _, word = min(pairs)
+    return word, far
 
 
 def _confident_sites(seq: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
@@ -98,17 +96,21 @@ def _confident_sites(seq: pd.Series, start: pd.Series, end: pd.Series) -> pd.Dat
 
 
 def longest_tail_repeat(seq: str, width: int = 20, times: int = 2, low: int = 2, high: int = 6) -> tuple[str | None, int]:
-    """Longest tandem repeat in the last ``width`` letters: unit and 0-based end; shorter units first, later starts first."""
+    """Longest tandem repeat in the last ``width`` letters: its unit and its 0-based end.
+
+    Of repeats of one length the shorter unit counts, then the one that ends last.
+    """
     tail = seq[-width:]
-    best: tuple[int, str | None, int] = (0, None, -1)
+    best: tuple[int, int, int] = (0, 0, 0)  # length, unit (negative), end
     for unit in range(low, high + 1):
-        for a in range(len(tail) - unit * times, -1, -1):
-            n = 1
-            while tail[a + n * unit : a + (n + 1) * unit] == tail[a : a + unit]:
-                n += 1
-            if n >= times and n * unit > best[0]:
-                best = (n * unit, tail[a : a + unit], len(seq) - len(tail) + a + n * unit)
-    return best[1], best[2]
+        same = 0  # letters in a row, going back, that equal the one a unit later
+        for i in range(len(tail) - unit - 1, -1, -1):
+            same = same + 1 if tail[i] == tail[i + unit] else 0
+            n = 1 + same // unit
+            if n >= times:
+                best = max(best, (n * unit, -unit, i + n * unit))
+    n, unit, end = best
+    return (tail[end - n : end - n - unit], len(seq) - len(tail) + end) if n else (None, -1)
 
 
 def _longest_tail_repeats(seq: pd.Series) -> pd.DataFrame:

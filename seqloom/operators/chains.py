@@ -18,29 +18,27 @@ def extend(hits: list[tuple[int, int, int, int]], gap: float, forward: bool, all
     tried from the newest to the oldest, until one lies ``gap`` or more behind on the subject; a
     chain grows if the hit starts less than the gap behind its end on the query and ends further on
     both. Every chain that fits grows, or only the newest (``all_compatible=False``); a hit that fits
-    none begins a chain.
+    none begins a chain. On the reverse strand a chain keeps the query start of its first hit.
     """
     q_gap = gap if q_gap is None else q_gap
-    sign = 1 if forward else -1
-    chains: list[list[int]] = []
-    for qs, qe, ss, se in sorted(hits, key=lambda h: (sign * h[2], sign * h[3], h[0], h[1])):
-        grown = False
-        for c in reversed(chains):
-            if sign * (ss - c[3]) >= gap:
+    # the reverse strand is the forward one with mirrored subject positions
+    turn = 1 if forward else -1
+    todo = sorted((turn * ss, turn * se, qs, qe) for qs, qe, ss, se in hits)
+    made: list[list[int]] = []  # query start and end, subject start and end, hits
+    for ss, se, qs, qe in todo:
+        fitting = []
+        for c in made[::-1]:
+            if ss - c[3] >= gap:
                 break
-            if qs - c[1] < q_gap and qe > c[1] and sign * (se - c[3]) > 0:
-                if forward:
-                    c[0], c[2] = min(c[0], qs), min(c[2], ss)
-                else:
-                    c[2] = max(c[2], ss)
-                c[1], c[3] = qe, se
-                c[4] += 1
-                grown = True
+            if c[1] < qe and c[3] < se and qs - c[1] < q_gap:
+                fitting.append(c)
                 if not all_compatible:
                     break
-        if not grown:
-            chains.append([qs, qe, ss, se, 1])
-    return chains
+        for c in fitting:
+            c[:] = [min(c[0], qs) if forward else c[0], qe, min(c[2], ss), se, c[4] + 1]
+        if not fitting:
+            made.append([qs, qe, ss, se, 1])
+    return [[a, b, turn * c, turn * d, n] for a, b, c, d, n in made]
 
 
 def chain_hits(hits: DataFrame, gap: str, all_compatible: bool = True, q_share: float = 1.0) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from seqloom.operators.running import running
+
 #: Positions per bucket of the distributed ranking. A bucket of an entity holds at most
 #: this many distinct positions, which bounds the rows that one window sorts.
 BUCKET_WIDTH = 1 << 16
@@ -210,14 +212,13 @@ def overlap_join(
     return left.join(hits, [*keys, l_start, l_end], how).select(*left.columns)
 
 
-def running_masked(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, end: str, name: str = "bp") -> DataFrame:
+def running_masked(df: DataFrame, keys: Sequence[str], order: str, start: str, end: str, name: str = "bp") -> DataFrame:
     """Bases that each row adds to those before it in the given order (closed ends, starts from 1).
 
     ``end - start + 1``, less what lies at or before the largest end so far; 0 for a contained row.
+    The largest end so far comes from buckets of the order, so no task sorts all rows of an entity.
     """
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    prev = F.coalesce(F.max(end).over(w), F.lit(0))
-    out = df.withColumn("_prev", prev)
+    out = running(df, keys, order, {"_prev": ("max", F.col(end))}).withColumn("_prev", F.coalesce("_prev", F.lit(0)))
     bp = F.when(F.col(start) > F.col("_prev"), F.col(end) - F.col(start) + 1).when(F.col(end) <= F.col("_prev"), F.lit(0)).otherwise(F.col(end) - F.col("_prev"))
     return out.withColumn(name, bp.cast("long")).drop("_prev")
 

@@ -22,8 +22,10 @@ def hits(rm: DataFrame, low: float = 0, high: float = 40) -> DataFrame:
     cls = F.nullif(F.replace(F.trim("ele_class"), F.lit("?"), F.lit("")), F.lit(""))
     parts = F.split(cls, "/")
     t = t.withColumns({"type": F.coalesce(F.get(parts, F.lit(0)), F.lit("Unspecified")), "subtype": F.coalesce(F.get(parts, F.lit(1)), F.lit("Unspecified")), "element": F.trim("ele")})
-    t = running_masked(t, ["genome", "seq_name"], ["ordinal"], "seq_begin", "seq_end")
-    before = F.lag("element").over(W.partitionBy("genome", "seq_name", "hit_id").orderBy("ordinal"))
+    t = running_masked(t, ["genome", "seq_name"], "ordinal", "seq_begin", "seq_end")
+    # rows without an id are always new: each is a group of its own
+    group = F.struct("hit_id", F.when(F.col("hit_id").isNull(), F.col("ordinal")).alias("own"))
+    before = F.lag("element").over(W.partitionBy("genome", "seq_name", group).orderBy("ordinal"))
     return t.withColumn("is_new", F.when(F.col("hit_id").isNull() | before.isNull() | ~before.eqNullSafe(F.col("element")), 1).otherwise(0))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import stats
 from seqloom.operators import intervals as iv
+from seqloom.operators.running import numbered, running
 from seqloom.plans import annotation, evaluation, expression, pan
 from seqloom.queries.registry import registry
 from seqloom.queries.scalar import _S, seqs
@@ -213,9 +214,9 @@ q("scan_s33_base_statistics", f"WITH {_S}, x AS (SELECT seq_id::VARCHAR AS name,
 
 # ---- ordered operators
 
-q("win_w1_running_end", "SELECT ordinal, max(seq_end) OVER (PARTITION BY genome, seq_name ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS top FROM rm_out")(lambda t, s, d: t("rm_out").select("ordinal", F.max("seq_end").over(W.partitionBy("genome", "seq_name").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)).alias("top")))
-q("win_w2_carry_forward", "SELECT ordinal, last_value(hit_id IGNORE NULLS) OVER (PARTITION BY genome, seq_name ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS carried FROM rm_out")(lambda t, s, d: t("rm_out").select("ordinal", F.last("hit_id", ignorenulls=True).over(W.partitionBy("genome", "seq_name").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)).alias("carried")))
-q("win_w3_running_index", "SELECT seq_id, row_number() OVER (PARTITION BY genome ORDER BY ordinal) - 1 AS idx FROM sequences")(lambda t, s, d: t("sequences").select("seq_id", (F.row_number().over(W.partitionBy("genome").orderBy("ordinal")) - 1).alias("idx")))
+q("win_w1_running_end", "SELECT ordinal, max(seq_end) OVER (PARTITION BY genome, seq_name ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS top FROM rm_out")(lambda t, s, d: running(_placed_rows(t), ["genome", "seq_name"], "ordinal", {"p": ("max", F.col("seq_end"))}).select("ordinal", F.greatest("p", "seq_end").alias("top")))
+q("win_w2_carry_forward", "SELECT ordinal, last_value(hit_id IGNORE NULLS) OVER (PARTITION BY genome, seq_name ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS carried FROM rm_out")(lambda t, s, d: running(_placed_rows(t), ["genome", "seq_name"], "ordinal", {"p": ("last", F.col("hit_id"))}).select("ordinal", F.coalesce("hit_id", "p").alias("carried")))
+q("win_w3_running_index", "SELECT seq_id, row_number() OVER (PARTITION BY genome ORDER BY ordinal) - 1 AS idx FROM sequences")(lambda t, s, d: numbered(t("sequences").select("seq_id", "genome", "ordinal"), ["genome"], "ordinal", "idx").select("seq_id", "idx"))
 q("win_w4_duplicate_names", "SELECT ordinal, CASE WHEN r = 1 THEN te_name ELSE te_name || '_dup' || (r - 1) END AS instance FROM (SELECT ordinal, te_name, row_number() OVER (PARTITION BY te_name ORDER BY ordinal) AS r FROM te_copies WHERE te_name IS NOT NULL)")(
     lambda t, s, d: _instances(t("te_copies").filter("te_name is not null")).select("ordinal", "instance")
 )
@@ -227,13 +228,16 @@ q("win_w7_sliding_mean", "WITH m AS (SELECT event_id, user_id, ts, avg(value) OV
 q("win_w8_run_lengths", "WITH x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events) SELECT user_id, event_type, max(n) AS longest FROM (SELECT user_id, event_type, g, count(*) AS n FROM x GROUP BY 1, 2, 3) GROUP BY 1, 2")(
     lambda t, s, d: t("events").withColumn("g", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))).groupBy("user_id", "event_type", "g").agg(rows_n()).groupBy("user_id", "event_type").agg(F.max("n").alias("longest"))
 )
-q("win_w9_previous_row", "SELECT ordinal, seq_begin - lag(seq_end) OVER (PARTITION BY genome, seq_name ORDER BY ordinal) AS away FROM rm_out")(lambda t, s, d: t("rm_out").select("ordinal", (F.col("seq_begin") - F.lag("seq_end").over(W.partitionBy("genome", "seq_name").orderBy("ordinal"))).alias("away")))
+q("win_w9_previous_row", "SELECT ordinal, seq_begin - lag(seq_end) OVER (PARTITION BY genome, seq_name ORDER BY ordinal) AS away FROM rm_out")(lambda t, s, d: running(_placed_rows(t), ["genome", "seq_name"], "ordinal", {"p": ("last", F.struct("seq_end"))}).select("ordinal", (F.col("seq_begin") - F.col("p.seq_end")).alias("away")))
+
+
+def _placed_rows(t):
+    return t("rm_out").select("genome", "seq_name", "ordinal", "seq_begin", "seq_end", "hit_id")
 
 
 def _instances(t):
-    w = W.partitionBy("te_name").orderBy("ordinal")
-    r = F.row_number().over(w) - 1
-    return t.withColumn("_r", r).withColumn("instance", F.when(F.col("_r") == 0, F.col("te_name")).otherwise(F.concat("te_name", F.lit("_dup"), F.col("_r").cast("string")))).drop("_r")
+    t = numbered(t.select("ordinal", "te_name"), ["te_name"], "ordinal", "r")
+    return t.withColumn("instance", F.when(F.col("r") == 0, F.col("te_name")).otherwise(F.concat("te_name", F.lit("_dup"), F.col("r").cast("string"))))
 
 
 # ---- sort, top-k, samples
@@ -244,7 +248,19 @@ for _name, _k in (("top_t3_per_group", 11), ("top_t4_stop_at_hundred", 100), ("t
     q(_name, f"SELECT te_name, ordinal, n FROM (SELECT te_name, ordinal, te_end - te_start AS n, row_number() OVER (PARTITION BY te_name ORDER BY te_end - te_start DESC NULLS LAST, ordinal) AS r FROM te_copies) WHERE r <= {_k}")(
         lambda t, s, d, k=_k: t("te_copies").select("te_name", "ordinal", (F.col("te_end") - F.col("te_start")).alias("n")).withColumn("r", F.row_number().over(W.partitionBy("te_name").orderBy(F.desc_nulls_last("n"), "ordinal"))).filter(F.col("r") <= k).drop("r")
     )
-q("top_t6_largest_and_sample")(lambda t, s, d: t("te_copies").withColumn("r", F.row_number().over(W.partitionBy("te_name").orderBy(F.desc(F.col("te_end") - F.col("te_start")), "ordinal"))).withColumn("h", F.row_number().over(W.partitionBy("te_name", F.col("r") <= 5).orderBy(F.xxhash64("ordinal")))).filter("r <= 5 or h <= 5").select("te_name", "ordinal"))
+
+@q("top_t6_largest_and_sample")
+def t6(t, spark, d):
+    """The five longest copies of each family, and five by a fixed hash of the others; each limit is applied before the shuffle."""
+    x = t("te_copies").select("te_name", "ordinal", (F.col("te_end") - F.col("te_start")).alias("n"))
+    rank = lambda *o: F.row_number().over(W.partitionBy("te_name").orderBy(*o))
+    long = x.withColumn("r", rank(F.desc_nulls_last("n"), "ordinal")).filter("r <= 5").select("te_name", "ordinal")
+    # five of the others are among the first ten by hash of all, as five at most are taken away
+    some = x.withColumn("r", rank(F.xxhash64("ordinal"), "ordinal")).filter("r <= 10").select("te_name", "ordinal")
+    rest = some.join(long.select("ordinal"), "ordinal", "left_anti").withColumn("r", rank(F.xxhash64("ordinal"), "ordinal")).filter("r <= 5")
+    return long.unionByName(rest.select("te_name", "ordinal"))
+
+
 q("top_t7_downsample")(lambda t, s, d: t("te_copies").orderBy(F.xxhash64("ordinal", F.lit(42)), "ordinal").limit(500).select("ordinal"))
 q("top_t8_two_rankings", "SELECT copy_id FROM (SELECT copy_id FROM te_copies ORDER BY score DESC NULLS LAST, copy_id LIMIT 5) UNION SELECT copy_id FROM (SELECT copy_id FROM te_copies ORDER BY te_end - te_start DESC NULLS LAST, copy_id LIMIT 5)")(
     lambda t, s, d: t("te_copies").orderBy(F.desc_nulls_last("score"), "copy_id").limit(5).select("copy_id").union(t("te_copies").orderBy(F.desc_nulls_last(F.col("te_end") - F.col("te_start")), "copy_id").limit(5).select("copy_id")).distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import chains, greedy
 from seqloom.operators import intervals as iv
+from seqloom.operators.running import following, numbered
 from seqloom.queries.registry import registry
 from seqloom.session import table
 
@@ -111,12 +112,13 @@ def j8(spark, d):
     return p.select("gene", "ann_id", iv.side("a_start", "a_end", "g_start", "g_end", "strand").alias("place"), iv.distance("a_start", "a_end", "g_start", "g_end").alias("distance"))
 
 
-@query("join_j9_adjacent_pairs", f"WITH {_L}, n AS (SELECT *, lead(ltr_id) OVER w AS next_id, lead(s) OVER w - e AS away FROM l WINDOW w AS (PARTITION BY chrom ORDER BY s, e, ltr_id)) SELECT ltr_id, next_id, away FROM n WHERE away BETWEEN 0 AND 500")
+@query("join_j9_adjacent_pairs", f"WITH {_L}, n AS (SELECT *, lead(ltr_id) OVER w AS next_id, lead(s) OVER w - e AS away FROM l WINDOW w AS (PARTITION BY chrom ORDER BY s, e, ltr_id)) SELECT ltr_id, next_id, away, chrom || ':' || s || '-LTR' AS ltr_name, chrom || ':' || s || '-INT' AS internal_name FROM n WHERE away BETWEEN 0 AND 9")
 def j9(spark, d):
-    """Neighbouring elements that lie at most 500 bases apart."""
-    w = W.partitionBy("chrom").orderBy("s", "e", "id")
-    n = elements(spark, d).withColumns({"next_id": F.lead("id").over(w), "away": F.lead("s").over(w) - F.col("e")})
-    return n.filter("away between 0 and 500").select(F.col("id").alias("ltr_id"), "next_id", "away")
+    """Neighbouring elements with a gap under 10, named as the terminal and the internal part of one element."""
+    t = following(elements(spark, d), ["chrom"], "s", F.struct("id", "s"), "next", ["e", "id"])
+    n = t.select("chrom", "s", F.col("id").alias("ltr_id"), F.col("next.id").alias("next_id"), (F.col("next.s") - F.col("e")).alias("away")).filter("away between 0 and 9")
+    place = F.concat("chrom", F.lit(":"), F.col("s").cast("string"))
+    return n.select("ltr_id", "next_id", "away", F.concat(place, F.lit("-LTR")).alias("ltr_name"), F.concat(place, F.lit("-INT")).alias("internal_name"))
 
 
 def _plain_join(name, sql, f):
@@ -201,7 +203,7 @@ def i3(spark, d):
 @query("iv_i4_masked_bases", "WITH r AS (SELECT ordinal, genome, seq_name, seq_begin AS s, seq_end AS e, max(seq_end) OVER (PARTITION BY genome, seq_name ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM rm_out WHERE pct_div BETWEEN 0 AND 40) SELECT ordinal, CAST(CASE WHEN s > coalesce(pe, 0) THEN e - s + 1 WHEN e <= coalesce(pe, 0) THEN 0 ELSE e - coalesce(pe, 0) END AS BIGINT) AS bp FROM r")
 def i4(spark, d):
     t = table(spark, d, "rm_out").filter("pct_div between 0 and 40").select("ordinal", "genome", "seq_name", "seq_begin", "seq_end")
-    return iv.running_masked(t, ["genome", "seq_name"], ["ordinal"], "seq_begin", "seq_end").select("ordinal", "bp")
+    return iv.running_masked(t, ["genome", "seq_name"], "ordinal", "seq_begin", "seq_end").select("ordinal", "bp")
 
 
 @query("iv_i5_subtract", f"""WITH s AS (SELECT seq_id, translate(upper(regexp_replace(chrseq, '\\s', '', 'g')), 'MYHRSKVDBW', 'CCCGGGGGGT') AS q FROM sequences WHERE chrseq IS NOT NULL),
@@ -285,10 +287,18 @@ def v10(spark, d):
     return e.join(j6(spark, d).groupBy(F.col("inner_id").alias("ltr_id")).agg(F.count_distinct("outer_id").alias("depth")), "ltr_id", "left").fillna(0, ["depth"])
 
 
-@query("v25_regions", f"WITH {_L} SELECT chrom, count(*) AS n, list(s ORDER BY s, e, ltr_id) AS starts FROM l GROUP BY 1")
+@query("v25_regions", f"WITH {_L} SELECT chrom, row_number() OVER (PARTITION BY chrom ORDER BY s, e, ltr_id) - 1 AS region_no, ltr_id, s AS region_start, e AS region_end FROM l")
 def v25(spark, d):
-    g = elements(spark, d).groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("s", "e", "id"))).alias("x"))
-    return g.select("chrom", "n", F.col("x.s").alias("starts"))
+    """Regions of each chromosome in order of position, one row each: a list per chromosome would not fit a row."""
+    g = numbered(elements(spark, d), ["chrom"], "s", "region_no", ["e", "id"])
+    return g.select("chrom", "region_no", F.col("id").alias("ltr_id"), F.col("s").alias("region_start"), F.col("e").alias("region_end"))
+
+
+@query("v25_regions_by_name", f"WITH {_A} SELECT ele, row_number() OVER (PARTITION BY ele ORDER BY a_start, a_end, ann_id, chrom) - 1 AS region_no, ann_id, chrom, a_start AS region_start, a_end AS region_end FROM a WHERE ele <> ''")
+def v25_names(spark, d):
+    """Regions of each name; a name that holds a tenth of all rows is spread over stretches of the axis."""
+    g = numbered(annotations(spark, d).filter("ele <> ''"), ["ele"], "a_start", "region_no", ["a_end", "ann_id", "chrom"])
+    return g.select("ele", "region_no", "ann_id", "chrom", F.col("a_start").alias("region_start"), F.col("a_end").alias("region_end"))
 
 
 # ---- chains of hits

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import search
 from seqloom.functions import sequence as sq
+from seqloom.operators.running import numbered
 from seqloom.queries.registry import registry
 from seqloom.session import table
 
@@ -218,8 +219,8 @@ def fn_f32(spark, d):
 
 @query("fn_f33_rename", "SELECT seq_id, 'contig_' || (row_number() OVER (PARTITION BY genome ORDER BY ordinal) - 1) AS new_name FROM sequences")
 def fn_f33(spark, d):
-    w = W.partitionBy("genome").orderBy("ordinal")
-    return table(spark, d, "sequences").select("seq_id", F.concat(F.lit("contig_"), (F.row_number().over(w) - 1).cast("string")).alias("new_name"))
+    t = numbered(table(spark, d, "sequences").select("seq_id", "genome", "ordinal"), ["genome"], "ordinal", "n")
+    return t.select("seq_id", F.concat(F.lit("contig_"), F.col("n").cast("string")).alias("new_name"))
 
 
 @query("fn_f34_rename_map", "WITH m AS (SELECT DISTINCT genome, chrname FROM sequences WHERE chrname IS NOT NULL AND genome IS NOT NULL), n AS (SELECT *, 'chr_' || (row_number() OVER (PARTITION BY genome ORDER BY chrname) - 1) AS new_name FROM m) SELECT s.seq_id, n.new_name FROM sequences s LEFT JOIN n ON n.genome = s.genome AND n.chrname = s.chrname")

@@ -32,6 +32,32 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _tables_dir(spark: SparkSession) -> str:
+    """Subfolder of this application; it is removed with all its tables when the program ends, or by ``drop_tables``."""
+    path = f"{shared_dir(spark)}/seqloom-{spark.sparkContext.applicationId}"
+    if getattr(spark, "_seqloom_tables", None) != path:
+        spark._seqloom_tables = path
+        atexit.register(drop_tables, spark)
+    return path
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Remove the tables that this application wrote to the shared folder. Results that still read them are lost."""
+    path = getattr(spark, "_seqloom_tables", None)
+    if path is None or spark.sparkContext._jsc is None:
+        return
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the JVM may have ended before
+        pass
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared folder and read it back.
 
@@ -39,7 +65,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     scans of it are column-pruned.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

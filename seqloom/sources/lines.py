@@ -6,21 +6,30 @@ Readers take a path or a table of lines (``value, ordinal``), so that they also
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.session import shared_dir
+from seqloom.operators.running import numbered
+from seqloom.session import scratch  # noqa: F401
 
 
 def read_lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """Lines with their order: ``value, file, ordinal``. Large files are split between tasks."""
+    """Lines with their order: ``value, file, ordinal``. Large files are split between tasks.
+
+    Ordinals ascend by file name, then by place in the file, and are unique over all files.
+    """
     r = spark.read.option("lineSep", separator) if separator else spark.read
-    t = r.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
+    raw = r.text(path)
+    t = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
     # within a task ids ascend; blocks of one file ascend with their start
-    return t.select("value", "file", (F.col("block") * F.lit(1 << 20) + F.pmod(F.col("m"), F.lit(1 << 33))).alias("ordinal"))
+    if len(raw.inputFiles()) < 2:
+        return t.select("value", "file", (F.col("block") * F.lit(1 << 20) + F.pmod(F.col("m"), F.lit(1 << 33))).alias("ordinal"))
+    # one row per block: how many lines come before it, and the first id in it
+    per = t.groupBy(F.col("file").alias("f"), F.col("block").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("f", "b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("f", "b", (before - F.col("first")).alias("shift"))
+    return t.join(per, (t["file"] == per["f"]) & (t["block"] == per["b"])).select("value", "file", (F.col("m") + F.col("shift")).alias("ordinal"))
 
 
 def write_lines(lines: DataFrame, path: str, compression: str | None = None) -> str:
@@ -30,10 +39,6 @@ def write_lines(lines: DataFrame, path: str, compression: str | None = None) ->
     return path
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # ---- FASTA
 
 
@@ -183,12 +188,9 @@ def te_gtf(t: DataFrame, name: str = "seqloom") -> DataFrame:
     The n-th further copy of a name gets the suffix ``_dup<n>`` in file order. A family of Other or
     Unknown is named like the element; question marks go.
     """
-    from pyspark.sql import functions as F
-
     strand = F.when(F.col("strand") == "C", "-").otherwise(F.col("strand"))
     x = t.withColumn("strand", strand).filter(f"not coalesce(te_fam rlike '({NO_ELEMENT})', false)").filter("strand in ('+', '-') and te_name is not null")
-    r = F.row_number().over(W.partitionBy("te_name").orderBy("ordinal")) - 1
-    x = x.withColumn("r", r)
+    x = numbered(x, ["te_name"], "ordinal", "r")
     fam = F.regexp_replace("te_fam", r"\?", "")
     inst = F.when(F.col("r") == 0, F.col("te_name")).otherwise(F.concat("te_name", F.lit("_dup"), F.col("r").cast("string")))
     score = F.when(F.col("score").isNull() | (F.col("score") < 0), F.lit(".")).otherwise(F.col("score").cast("string"))
