@@ -5,27 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.operators import chains, greedy
+from seqloom.operators import chains, nearby
 from seqloom.operators import consensus as cs
 from seqloom.operators import intervals as iv
-from seqloom.queries.families import _BEST, _COMP, msa, whole_msa
+from seqloom.queries.families import c1, identity_clusters
 from seqloom.queries.intervals_q import _A, _B, _gap_share, _island_sql, annotations, copies, hits
 from seqloom.queries.registry import registry
 from seqloom.queries.scalar import _S, seqs
+from seqloom.session import materialize
 from seqloom.sources import lines as ln
 
 QUERIES, SQL, query = registry()
 
 
-@query("join_j5_redundant_names", f"WITH {_B}, c AS (SELECT copy_id, chrom, b_start AS s, b_end AS e, te_name FROM b WHERE te_name <> '') SELECT x.copy_id AS a, y.copy_id AS b FROM c x JOIN c y ON x.chrom = y.chrom AND x.copy_id < y.copy_id AND x.te_name <> y.te_name AND x.s <= y.e AND y.s <= x.e WHERE x.e > x.s AND y.e > y.s AND least(x.e, y.e) - greatest(x.s, y.s) >= 0.5 * (x.e - x.s) AND least(x.e, y.e) - greatest(x.s, y.s) >= 0.5 * (y.e - y.s)")
+@query("join_j5_redundant_names", f"WITH {_B}, c AS (SELECT copy_id, chrom, b_start AS s, b_end AS e, te_name FROM b WHERE te_name <> '') SELECT x.copy_id AS a, y.copy_id AS b FROM c x JOIN c y ON x.chrom = y.chrom AND x.copy_id < y.copy_id AND x.te_name <> y.te_name AND x.s <= y.e AND y.s <= x.e WHERE x.e > x.s AND y.e > y.s AND least(x.e, y.e) - greatest(x.s, y.s) >= 0.98 * (x.e - x.s) AND least(x.e, y.e) - greatest(x.s, y.s) >= 0.98 * (y.e - y.s)")
 def j5(spark, d):
-    """Copies under different names at one place: overlap of half the length both ways."""
+    """Copies under different names at one place: overlap of 98 % of the length both ways."""
+    return _same_place(spark, d, 0.98).filter("n1 <> n2").select("a", "b")
+
+
+def _same_place(spark, d, share):
     c = copies(spark, d).filter("te_name <> ''")
     x = c.select("chrom", F.col("copy_id").alias("a"), F.col("b_start").alias("s1"), F.col("b_end").alias("e1"), F.col("te_name").alias("n1"))
     y = c.select("chrom", F.col("copy_id").alias("b"), F.col("b_start").alias("s2"), F.col("b_end").alias("e2"), F.col("te_name").alias("n2"))
-    p = iv.overlap_join(x, y, ["chrom"], "s1", "e1", "s2", "e2").filter("a < b and n1 <> n2 and e1 > s1 and e2 > s2")
+    p = iv.overlap_join(x, y, ["chrom"], "s1", "e1", "s2", "e2").filter("a < b and e1 > s1 and e2 > s2")
     ov = iv.overlap_len("s1", "e1", "s2", "e2")
-    return p.filter((ov >= 0.5 * (F.col("e1") - F.col("s1"))) & (ov >= 0.5 * (F.col("e2") - F.col("s2")))).select("a", "b")
+    return p.filter((ov >= share * (F.col("e1") - F.col("s1"))) & (ov >= share * (F.col("e2") - F.col("s2"))))
+
+
+@query("join_j5_kept_copies")
+def j5_kept(spark, d):
+    """Copies in order of id, without those at the place of a kept copy of another name."""
+    ids = copies(spark, d).filter("te_name <> ''").select(F.col("copy_id").alias("node")).distinct()
+    return nearby.greedy_kept(ids.withColumn("ord", F.col("node")), j5(spark, d)).select(F.col("node").alias("copy_id"))
 
 
 @query("chain_g4_from_blast")
@@ -49,29 +61,27 @@ def g7(spark, d):
     return best.select("query", "x.subject", F.greatest(F.lit(1), F.col("x.s") - 50).alias("coarse_start"), (F.col("x.e") + 50).alias("coarse_end"))
 
 
-@query("clu_c3_recluster", f"WITH {_COMP}, {_BEST}, c AS (SELECT family, coalesce(string_agg(CASE WHEN letter_n > total // 2 THEN letter ELSE '' END, '' ORDER BY col), '') AS consensus FROM b JOIN tot USING (family) GROUP BY 1) SELECT consensus, count(*) AS families, min(family) AS head FROM c GROUP BY 1")
+@query("clu_c3_recluster")
 def c3(spark, d):
-    """Consensus of each cluster, then clusters of equal consensus."""
-    return cs.majority(msa(spark, d)).groupBy("consensus").agg(F.count(F.lit(1)).alias("families"), F.min("family").alias("head"))
-
-
-@query("clu_c3_recluster_whole")
-def recluster_whole(spark, d):
-    """The same over whole rows."""
-    return cs.majority(whole_msa(spark, d), ragged=True).groupBy("consensus").agg(F.count(F.lit(1)).alias("families"), F.min("family").alias("head"))
+    """Clusters of near copies, their consensus over whole rows, then clusters of the consensus: ``cluster, members, consensus_len, merged``."""
+    family = c1(spark, d).select(F.col("name").cast("long").alias("seq_id"), F.col("cluster").cast("long").alias("family"))
+    t = materialize(seqs(spark, d).join(family, "seq_id"), "clusters")
+    # a cluster of one is its own consensus
+    n = t.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    many = t.join(n.filter("members > 1").select("family"), "family").select("family", F.col("seq_id").alias("row"), F.translate("q", "N", "-").alias("seq"))
+    cons = cs.majority(many, ragged=True).unionByName(t.join(n.filter("members = 1").select("family"), "family").select("family", F.col("q").alias("consensus")))
+    cons = materialize(cons, "consensus")
+    again = identity_clusters(cons.select(F.col("family").alias("seq_id"), F.col("consensus").alias("q"))).select(F.col("name").cast("long").alias("family"), F.col("cluster").cast("long").alias("merged"))
+    out = n.join(cons, "family").join(again, "family", "left")
+    return out.select(F.col("family").alias("cluster"), "members", F.length("consensus").alias("consensus_len"), F.coalesce("merged", "family").alias("merged"))
 
 
 @query("clu_c6_unique_names")
 def c6(spark, d):
-    """Names that hold a place first, among copies that overlap by 90 % both ways."""
-    kept = greedy.keep_first_overlapping(copies(spark, d).filter("te_name <> ''"), ["chrom"], "copy_id", "b_start", "b_end", 0.9)
-    return kept.select("te_name").distinct()
-
-
-@query("clu_c7_by_flanks", f"WITH {_S} SELECT min(seq_id) AS seq_id, count(*) AS n FROM s WHERE length(q) >= 40 GROUP BY left(q, 20), right(q, 20)")
-def c7(spark, d):
-    """One sequence of those with the same flanks."""
-    return seqs(spark, d).filter(F.length("q") >= 40).groupBy(F.left("q", F.lit(20)).alias("l"), F.right("q", F.lit(20)).alias("r")).agg(F.min("seq_id").alias("seq_id"), F.count(F.lit(1)).alias("n")).select("seq_id", "n")
+    """Names in order of their first copy, without those that share a place (90 % both ways) with a kept name."""
+    names = copies(spark, d).filter("te_name <> ''").groupBy(F.col("te_name").alias("node")).agg(F.min("copy_id").alias("ord"))
+    same = _same_place(spark, d, 0.9).filter("n1 <> n2").select(F.col("n1").alias("a"), F.col("n2").alias("b")).distinct()
+    return nearby.greedy_kept(names, same).select(F.col("node").alias("te_name"))
 
 
 @query("v11_merge_sorted", f"WITH {_A}, u AS (SELECT chrom, a_start AS s, a_end AS e FROM a), " + _island_sql("u", "chrom", "s > pe", "SELECT chrom, span_start, span_end FROM p"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import search
 from seqloom.functions import sequence as sq
 from seqloom.operators import consensus as cs
+from seqloom.operators import chains, nearby
 from seqloom.operators import intervals as iv
 from seqloom.operators.ordered import ordered_groups
 from seqloom.queries.intervals_q import _L, elements, hits
@@ -17,82 +18,48 @@ from seqloom.session import table
 
 QUERIES, SQL, query = registry()
 
-# alignments: the first 60 columns of the sequences of a genome, unknown bases as gaps
-_MSA = f"{_S}, msa AS (SELECT genome AS family, seq_id AS row, rpad(translate(left(q, 60), 'N', '-'), 60, '-') AS seq FROM s WHERE genome IS NOT NULL)"
-_COMP = f"{_MSA}, e AS (SELECT family, row, unnest(range(0, 60)) AS col, unnest(string_split(seq, '')) AS base FROM msa), comp AS (SELECT family, col, base, count(*) AS n, min(row) AS first_row FROM e GROUP BY 1, 2, 3), tot AS (SELECT family, count(*) AS total FROM msa GROUP BY 1)"
-_TOP = "CASE WHEN {0} THEN base END ORDER BY {0} DESC, n DESC, first_row"
+# alignments: the whole sequences of a genome, unknown bases as gaps; shorter rows have gaps up to the end of the longest
+_MSA = f"{_S}, raw AS (SELECT genome AS family, seq_id AS row, CASE WHEN q = '' THEN '-' ELSE translate(q, 'N', '-') END AS x FROM s WHERE genome IS NOT NULL), msa AS (SELECT family, row, length(x) AS n, rpad(x, CAST(max(length(x)) OVER (PARTITION BY family) AS INTEGER), '-') AS seq FROM raw)"
+_CELLS = f"{_MSA}, e AS (SELECT family, row, n, unnest(range(0, length(seq))) AS col, unnest(string_split(seq, '')) AS base FROM msa)"
+_COMP = f"{_CELLS}, comp AS (SELECT family, col, base, count(*) AS n, min(row) AS first_row FROM e GROUP BY 1, 2, 3), tot AS (SELECT family, count(*) AS total FROM msa GROUP BY 1)"
+_BEST = "b AS (SELECT family, col, (list(base ORDER BY n DESC, first_row))[1] AS top, (list(n ORDER BY n DESC, first_row))[1] AS top_n, (list(base ORDER BY n DESC, first_row) FILTER (base <> '-'))[1] AS letter, coalesce((list(n ORDER BY n DESC, first_row) FILTER (base <> '-'))[1], 0) AS letter_n, coalesce(sum(n) FILTER (base = '-'), 0) AS gaps FROM comp GROUP BY 1, 2)"
 
 
 def msa(spark, d):
     t = seqs(spark, d).filter("genome is not null")
-    return t.select(F.col("genome").alias("family"), F.col("seq_id").alias("row"), F.rpad(F.translate(F.left("q", F.lit(60)), "N", "-"), 60, "-").alias("seq"))
+    return t.select(F.col("genome").alias("family"), F.col("seq_id").alias("row"), _gapped("q").alias("seq"))
 
 
-@query("agg_a18_composition", f"WITH {_COMP} SELECT * FROM comp")
-def a18(spark, d):
-    return cs.columns(msa(spark, d))
+def _gapped(q: str):
+    return F.when(F.col(q) == "", "-").otherwise(F.translate(q, "N", "-"))
 
 
-_BEST = "b AS (SELECT family, col, (list(base ORDER BY n DESC, first_row))[1] AS top, (list(n ORDER BY n DESC, first_row))[1] AS top_n, (list(base ORDER BY n DESC, first_row) FILTER (base <> '-'))[1] AS letter, coalesce((list(n ORDER BY n DESC, first_row) FILTER (base <> '-'))[1], 0) AS letter_n, coalesce(sum(n) FILTER (base = '-'), 0) AS gaps FROM comp GROUP BY 1, 2)"
+@query("agg_a18_composition", f"WITH {_COMP} SELECT * FROM comp")
+def a18(spark, d):
+    return cs.columns(msa(spark, d), ragged=True)
 
 
 @query("agg_a19_majority", f"WITH {_COMP}, {_BEST} SELECT family, coalesce(string_agg(CASE WHEN letter_n > total // 2 THEN letter ELSE '' END, '' ORDER BY col), '') AS consensus FROM b JOIN tot USING (family) GROUP BY 1")
 def a19(spark, d):
-    return cs.majority(msa(spark, d))
+    return cs.majority(msa(spark, d), ragged=True)
 
 
 @query("agg_a20_boundary_consensus", f"WITH {_COMP}, {_BEST} SELECT family, string_agg(CASE WHEN top_n >= total // 2 THEN CASE WHEN top = '-' THEN '' ELSE top END ELSE coalesce(letter, '') END, '' ORDER BY col) AS consensus FROM b JOIN tot USING (family) GROUP BY 1")
 def a20(spark, d):
-    return cs.boundary_consensus(msa(spark, d))
+    return cs.boundary_consensus(msa(spark, d), ragged=True)
 
 
-@query("re_r6_sparse_columns", f"WITH {_COMP}, {_BEST}, k AS (SELECT family, col FROM b JOIN tot USING (family) WHERE gaps <= total / 2) SELECT m.family, m.row, coalesce(string_agg(substr(m.seq, CAST(k.col + 1 AS INTEGER), 1), '' ORDER BY k.col), '') AS seq FROM msa m LEFT JOIN k USING (family) GROUP BY 1, 2")
+@query("re_r6_sparse_columns", f"WITH {_COMP}, {_BEST}, k AS (SELECT family, col FROM b JOIN tot USING (family) WHERE gaps <= total / 2), x AS (SELECT e.family, e.row, string_agg(e.base, '' ORDER BY e.col) AS seq FROM e JOIN k USING (family, col) GROUP BY 1, 2) SELECT m.family, m.row, coalesce(x.seq, '') AS seq FROM msa m LEFT JOIN x ON x.family = m.family AND x.row = m.row")
 def r6(spark, d):
-    return cs.drop_sparse(msa(spark, d))
+    return cs.drop_sparse(msa(spark, d), ragged=True)
 
 
-@query("fn_f43_pixels", f"WITH {_COMP}, l AS (SELECT family, col, sum(n) AS letters FROM comp WHERE base IN ('A', 'C', 'G', 'T') GROUP BY 1, 2) SELECT e.family, e.row, e.col, CASE WHEN e.base = '-' THEN 0 ELSE 100 END AS block, CAST(CASE WHEN e.base = '-' THEN 0 WHEN letters > 0 THEN floor(100 * c.n / letters) ELSE 0 END AS INTEGER) AS support, CASE e.base WHEN 'G' THEN 100 WHEN 'C' THEN 75 WHEN 'A' THEN 50 WHEN 'T' THEN 25 ELSE 0 END AS code FROM e JOIN comp c USING (family, col, base) LEFT JOIN l USING (family, col)")
+@query("fn_f43_pixels", f"WITH {_COMP}, l AS (SELECT family, col, sum(n) AS letters FROM comp WHERE base IN ('A', 'C', 'G', 'T') GROUP BY 1, 2), u AS (SELECT e.family, e.col, e.base, count(*) AS n FROM e WHERE e.col < e.n GROUP BY 1, 2, 3) SELECT e.family, e.row, e.col, CASE WHEN e.base = '-' THEN 0 ELSE 100 END AS block, CAST(CASE WHEN e.base = '-' THEN 0 WHEN letters > 0 THEN floor(100 * u.n / letters) ELSE 0 END AS INTEGER) AS support, CASE e.base WHEN 'G' THEN 100 WHEN 'C' THEN 75 WHEN 'A' THEN 50 WHEN 'T' THEN 25 ELSE 0 END AS code FROM e JOIN u USING (family, col, base) LEFT JOIN l USING (family, col) WHERE e.col < e.n")
 def f43(spark, d):
+    """Cells of the rows; those after the end of a row, all 0, are not listed."""
     return cs.pixels(msa(spark, d))
 
 
-# the same over whole rows: shorter ones have gaps up to the end of the family's longest
-
-
-def whole_msa(spark, d):
-    t = seqs(spark, d).filter("genome is not null")
-    return t.select(F.col("genome").alias("family"), F.col("seq_id").alias("row"), _gapped("q").alias("seq"))
-
-
-def _gapped(q: str):
-    return F.when(F.col(q) == "", "-").otherwise(F.translate(q, "N", "-"))
-
-
-@query("agg_a18_composition_whole")
-def a18_whole(spark, d):
-    return cs.columns(whole_msa(spark, d), ragged=True)
-
-
-@query("agg_a19_majority_whole")
-def a19_whole(spark, d):
-    return cs.majority(whole_msa(spark, d), ragged=True)
-
-
-@query("agg_a20_boundary_consensus_whole")
-def a20_whole(spark, d):
-    return cs.boundary_consensus(whole_msa(spark, d), ragged=True)
-
-
-@query("re_r6_sparse_columns_whole")
-def r6_whole(spark, d):
-    return cs.drop_sparse(whole_msa(spark, d), ragged=True)
-
-
-@query("fn_f43_pixels_whole")
-def f43_whole(spark, d):
-    return cs.pixels(whole_msa(spark, d))
-
-
 @query("win_w7_homology_boundary")
 def w7(spark, d):
     """Boundary of homology in alignments of copies of the library's hits: here of whole near copies."""
@@ -104,24 +71,68 @@ def w7(spark, d):
 # ---- clusters
 
 
+def library_hits(spark, d):
+    """Hits of library entries on each other, from annotations that share bases: ``query, subject`` with both coordinate pairs."""
+    h = hits(spark, d).withColumns({"lo": F.least("s_start", "s_end"), "hi": F.greatest("s_start", "s_end"), "plus": F.col("s_start") <= F.col("s_end")})
+    side = lambda n: h.select(F.col("subject").alias("place"), *[F.col(c).alias(f"{c}{n}") for c in ("ann_id", "query", "q_start", "q_end", "q_len", "lo", "hi", "plus")])
+    p = iv.overlap_join(side(1), side(2), ["place"], "lo1", "hi1", "lo2", "hi2").filter("query1 <> query2")
+    a, b = F.greatest("lo1", "lo2"), F.least("hi1", "hi2")
+
+    def within(n: int, x):
+        """Position in the entry of a place, along the entry's own strand; within its stretch even where lengths differ."""
+        far = F.when(F.col(f"plus{n}"), x - F.col(f"lo{n}")).otherwise(F.col(f"hi{n}") - x)
+        return F.least(F.col(f"q_start{n}") + far, F.col(f"q_end{n}")).cast("long")
+
+    q1, q2, s1, s2 = within(1, a), within(1, b), within(2, a), within(2, b)
+    swap = q1 > q2  # the query runs forwards; the subject turns with it
+    return p.select(F.col("query1").alias("query"), F.col("query2").alias("subject"), F.when(swap, q2).otherwise(q1).alias("q_start"), F.when(swap, q1).otherwise(q2).alias("q_end"), F.when(swap, s2).otherwise(s1).alias("s_start"), F.when(swap, s1).otherwise(s2).alias("s_end"), F.col("q_len1").alias("q_len"), F.col("q_len2").alias("s_len")).distinct()
+
+
+def longest_chains(h):
+    """Longest chain of each pair of entries: ``query, subject, q_len, s_len``, the stretches it covers on both."""
+    c = chains.chain_hits(h.withColumn("gap", F.floor(F.col("q_len") * 0.2).cast("long")), "gap")
+    q, s = F.col("q_end") - F.col("q_start") + 1, F.abs(F.col("s_end") - F.col("s_start")) + 1
+    return c.groupBy("query", "subject").agg(F.max_by(F.struct(q.alias("q_len"), s.alias("s_len")), F.struct(q, s)).alias("x")).select("query", "subject", "x.*")
+
+
 @query("clu_c2_first_come")
 def c2(spark, d):
-    """Greedy clusters of library entries that lie on the same sequences close together, by shared cover."""
+    """Greedy clusters of library entries in library order: chained hits that cover 80 % of either entry."""
     lib = table(spark, d, "te_library").select(F.col("te_name").alias("name"), F.col("cons_len").alias("len"), "ordinal").filter("len is not null")
-    h = hits(spark, d).withColumns({"a": F.least("s_start", "s_end"), "b": F.greatest("s_start", "s_end")})
-    x = h.select("subject", F.col("query").alias("q1"), F.col("a").alias("a1"), F.col("b").alias("b1"))
-    y = h.select("subject", F.col("query").alias("q2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    p = iv.overlap_join(x, y, ["subject"], "a1", "b1", "a2", "b2").filter("q1 <> q2")
-    ov = F.max(iv.overlap_len("a1", "b1", "a2", "b2"))
-    spans = p.groupBy(F.col("q1").alias("query"), F.col("q2").alias("subject")).agg(ov.alias("q_len"), ov.alias("s_len"))
-    return cs.first_come_clusters(lib, spans, 0.05)
+    return cs.first_come_clusters(lib, longest_chains(library_hits(spark, d)), 0.8)
+
+
+def flank_frames(spark, d, width: int = 20):
+    """Both ends of each sequence, side by side: ``seq_id, genome, frame``."""
+    t = seqs(spark, d).filter(F.length("q") >= 2 * width)
+    return t.select("seq_id", "genome", F.concat(F.left("q", F.lit(width)), F.right("q", F.lit(width))).alias("frame"))
 
 
 @query("clu_c4_components")
 def c4(spark, d):
-    """Connected components of overlapping elements (distance clustering with one member enough)."""
-    p = iv.overlap_join(elements(spark, d, "i_"), elements(spark, d, "o_"), ["chrom"], "i_s", "i_e", "o_s", "o_e").filter("i_id < o_id")
-    return cs.components(p.select(F.col("i_id").alias("a"), F.col("o_id").alias("b"))).select(F.col("node").alias("ltr_id"), F.col("component").alias("cluster"))
+    """Density clusters with one member enough: components of end frames of 40 letters with at most four mismatches."""
+    return nearby.hamming_clusters(flank_frames(spark, d), [], "seq_id", "frame", 4)
+
+
+@query("clu_c7_by_flanks")
+def c7(spark, d):
+    """Sequences in order, without those whose ends differ from a kept one's in at most four letters of 40."""
+    t = flank_frames(spark, d)
+    first = t.groupBy("frame").agg(F.min("seq_id").alias("node"))
+    return nearby.greedy_kept(first.select("node", F.col("node").alias("ord")), nearby.hamming_pairs(first, [], "node", "frame", 4)).select(F.col("node").alias("seq_id"))
+
+
+@query("clu_c8_flank_share")
+def c8(spark, d):
+    """Share of a family's rows whose window on either side is in a cluster of two or more; below 0.9 on both sides the ends are its own."""
+    t = seqs(spark, d).filter("length(q) >= 40 and genome is not null")
+    out = None
+    for name, w in (("left_share", F.left("q", F.lit(20))), ("right_share", F.right("q", F.lit(20)))):
+        x = t.select("genome", "seq_id", w.alias("w"))
+        c = x.join(nearby.hamming_clusters(x, ["genome"], "seq_id", "w", 2), "seq_id").groupBy("genome", "cluster").agg(F.count(F.lit(1)).alias("n"))
+        c = c.groupBy("genome").agg(F.round(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)) / F.sum("n"), 6).alias(name))
+        out = c if out is None else out.join(c, "genome")
+    return out.withColumn("own_ends", (F.col("left_share") < 0.9) & (F.col("right_share") < 0.9))
 
 
 _CONT = "greatest(0, least(a.e, b.e) - greatest(a.s, b.s)) >= 0.95 * (a.e - a.s)"
@@ -137,14 +148,6 @@ def c5(spark, d):
     return e.select("i_id").distinct().join(p.select("i_id").distinct(), "i_id", "left_anti").select(F.col("i_id").alias("ltr_id"))
 
 
-@query("clu_c8_flank_share", "WITH c AS (SELECT genome, te_name, count(*) AS n FROM te_copies WHERE genome IS NOT NULL AND te_name IS NOT NULL GROUP BY 1, 2) SELECT genome, round(sum(n) FILTER (n > 1)::DOUBLE / sum(n), 6) AS multi_share, coalesce(sum(n) FILTER (n > 1), 0)::DOUBLE / sum(n) >= 0.9 AS homologous FROM c GROUP BY 1")
-def c8(spark, d):
-    """Share of members in clusters of two or more."""
-    c = table(spark, d, "te_copies").filter("genome is not null and te_name is not null").groupBy("genome", "te_name").agg(F.count(F.lit(1)).alias("n"))
-    m = F.sum(F.when(F.col("n") > 1, F.col("n"))) / F.sum("n")
-    return c.groupBy("genome").agg(F.round(m, 6).alias("multi_share"), (F.coalesce(m, F.lit(0)) >= 0.9).alias("homologous"))
-
-
 @query("clu_c10_majority_label", "WITH c AS (SELECT te_name, te_class, count(*) AS n FROM te_copies WHERE te_name IS NOT NULL AND te_class IS NOT NULL GROUP BY 1, 2), b AS (SELECT te_name, (list(te_class ORDER BY n DESC, te_class))[1] AS label FROM c GROUP BY 1) SELECT ordinal, label FROM te_copies JOIN b USING (te_name)")
 def c10(spark, d):
     """Each copy with the most frequent class of its family; ties by name. The family's state is joined back."""
@@ -157,21 +160,24 @@ def c10(spark, d):
 _SEED = "k AS (SELECT DISTINCT seq_id, w FROM (SELECT seq_id, unnest(list_transform(range(1, greatest(1, length(q) - 14)), lambda i: substr(q, i, 16))) AS w FROM s) WHERE NOT contains(w, 'N'))"
 
 
-@query("join_j21_seed_pairs", f"WITH {_S}, {_SEED} SELECT a.seq_id AS x, b.seq_id AS y, count(*) AS seeds FROM k a JOIN k b ON a.w = b.w AND a.seq_id < b.seq_id GROUP BY 1, 2 HAVING count(*) >= 10")
-def j21(spark, d):
-    """Pairs of sequences that share ten words of 16 letters or more; words in one sequence only are dropped first."""
-    k = seqs(spark, d).select("seq_id", F.explode(F.array_distinct(sq.words("q", 16))).alias("w")).filter(~F.contains("w", F.lit("N")))
+def seed_pairs(t):
+    """Pairs of the sequences ``seq_id, q`` that share ten words of 16 letters or more; words in one sequence only are dropped first."""
+    k = t.select("seq_id", F.explode(F.array_distinct(sq.words("q", 16))).alias("w")).filter(~F.contains("w", F.lit("N")))
     many = k.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w")
     k = k.join(many, "w")
     a, b = k.select(F.col("seq_id").alias("x"), "w"), k.select(F.col("seq_id").alias("y"), "w")
     return a.join(b, "w").filter("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("seeds")).filter("seeds >= 10")
 
 
-@query("clu_c1_identity_clusters")
-def c1(spark, d):
-    """Longest-first greedy clusters of sequences joined by shared seeds that cover most of the shorter one."""
-    n = seqs(spark, d).filter(F.length("q") >= 80).select("seq_id", F.length("q").alias("len"))
-    p = j21(spark, d)
+@query("join_j21_seed_pairs", f"WITH {_S}, {_SEED} SELECT a.seq_id AS x, b.seq_id AS y, count(*) AS seeds FROM k a JOIN k b ON a.w = b.w AND a.seq_id < b.seq_id GROUP BY 1, 2 HAVING count(*) >= 10")
+def j21(spark, d):
+    return seed_pairs(seqs(spark, d))
+
+
+def identity_clusters(t):
+    """Longest-first greedy clusters of the sequences ``seq_id, q`` joined by shared seeds that cover half of the shorter one or more."""
+    n = t.filter(F.length("q") >= 80).select("seq_id", F.length("q").alias("len"))
+    p = seed_pairs(t)
     both = p.select(F.col("x").alias("a"), F.col("y").alias("b"), "seeds").union(p.select("y", "x", "seeds"))
     name = lambda c: F.col(c).cast("string")
     spans = both.select(name("a").alias("query"), name("b").alias("subject"), F.lit(0).alias("q_len"), (F.col("seeds") + 15).alias("s_len"))
@@ -179,10 +185,19 @@ def c1(spark, d):
     return cs.first_come_clusters(order, spans, 0.5)
 
 
-@query("clu_c9_contained_names", f"WITH {_L} SELECT DISTINCT b.ltr_id AS outer_id FROM l a JOIN l b ON a.chrom = b.chrom AND a.ltr_id <> b.ltr_id AND a.s <= b.e AND b.s <= a.e WHERE a.e > a.s AND {_CONT}")
+@query("clu_c1_identity_clusters")
+def c1(spark, d):
+    return identity_clusters(seqs(spark, d))
+
+
+@query("clu_c9_contained_names")
 def c9(spark, d):
-    p = iv.overlap_join(elements(spark, d, "i_"), elements(spark, d, "o_"), ["chrom"], "i_s", "i_e", "o_s", "o_e").filter("i_id <> o_id and i_e > i_s")
-    return p.filter(iv.overlap_len("i_s", "i_e", "o_s", "o_e") >= 0.95 * (F.col("i_e") - F.col("i_s"))).select(F.col("o_id").alias("outer_id")).distinct()
+    """Entries of DNA elements that a chain places within an entry of the LTR class, or the other way round, by 95 %."""
+    lib = table(spark, d, "te_library").filter("cons_len is not null").select(F.col("te_name").alias("name"), F.split("te_class", "/")[0].alias("kind"), "cons_len")
+    side = lambda n: lib.select(F.col("name").alias(n), F.col("kind").alias(f"{n}_kind"), F.col("cons_len").alias(f"{n}_total"))
+    p = longest_chains(library_hits(spark, d)).join(side("query"), "query").join(side("subject"), "subject").filter("query_kind = 'DNA' and subject_kind = 'LTR'")
+    inside = (F.col("q_len") >= 0.95 * F.col("query_total")) | (F.col("s_len") >= 0.95 * F.col("subject_total"))
+    return p.filter(inside).select(F.col("query").alias("inner_name"), F.col("subject").alias("outer_name")).distinct()
 
 
 # ---- detectors

@@ -91,12 +91,11 @@ def test_alignments_of_whole_rows(spark, tmp_path):
         majority[g], boundary[g] = major, bound
         sparse |= {(g, i): "".join(s[c] for c in keep) for i, s in rows.items()}
     assert len(majority["a"]) > 60
-    assert {(r.family, r.col, r.base): (r.n, r.first_row) for r in run("agg_a18_composition_whole")} == comp
-    assert {r.family: r.consensus for r in run("agg_a19_majority_whole")} == majority
-    assert {r.family: r.consensus for r in run("agg_a20_boundary_consensus_whole")} == boundary
-    assert {(r.family, r.row): r.seq for r in run("re_r6_sparse_columns_whole")} == sparse
-    assert {(r.family, r.row, r.col): (r.block, r.support, r.code) for r in run("fn_f43_pixels_whole") if r.block} == pixels
-    assert {(r.consensus, r.families, r.head) for r in run("clu_c3_recluster_whole")} == {(s, 1, g) for g, s in majority.items()}
+    assert {(r.family, r.col, r.base): (r.n, r.first_row) for r in run("agg_a18_composition")} == comp
+    assert {r.family: r.consensus for r in run("agg_a19_majority")} == majority
+    assert {r.family: r.consensus for r in run("agg_a20_boundary_consensus")} == boundary
+    assert {(r.family, r.row): r.seq for r in run("re_r6_sparse_columns")} == sparse
+    assert {(r.family, r.row, r.col): (r.block, r.support, r.code) for r in run("fn_f43_pixels") if r.block} == pixels
 
 
 def test_homology_boundary_beyond_forty_columns(spark, tmp_path):
