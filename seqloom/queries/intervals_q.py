@@ -93,10 +93,10 @@ def j6(spark, d):
     return p.filter("o_s < i_s and i_e < o_e").select(F.col("i_id").alias("inner_id"), F.col("o_id").alias("outer_id")).distinct()
 
 
-@query("join_j7_validated_copies", f"WITH {_A}, {_B} SELECT copy_id FROM b WHERE EXISTS (SELECT 1 FROM a WHERE {_SAME} AND {_OV} >= 0.5 * (b_end - b_start))")
+@query("join_j7_validated_copies", f"WITH {_A}, {_B} SELECT copy_id FROM b WHERE EXISTS (SELECT 1 FROM a WHERE {_SAME} AND {_OV} >= 0.95 * (b_end - b_start))")
 def j7(spark, d):
     p = iv.overlap_join(copies(spark, d), annotations(spark, d), ["chrom"], "b_start", "b_end", "a_start", "a_end")
-    return p.filter(iv.overlap_len("a_start", "a_end", "b_start", "b_end") >= 0.5 * (F.col("b_end") - F.col("b_start"))).select("copy_id").distinct()
+    return p.filter(iv.overlap_len("a_start", "a_end", "b_start", "b_end") >= 0.95 * (F.col("b_end") - F.col("b_start"))).select("copy_id").distinct()
 
 
 @query("join_j8_gene_proximity", f"""WITH {_A}, g AS (SELECT ltr_id AS gene, chrom2 AS chrom, s AS g_start, e AS g_end, strand FROM (SELECT DISTINCT ltr_id, genome || ':' || regexp_extract(trim(chr), '([0-9]+)$', 1) AS chrom2, least(element_start, element_end) AS s, greatest(element_start, element_end) AS e, coalesce(strand, '?') AS strand FROM ltr_intact WHERE trim(chr) <> '' AND genome IS NOT NULL AND element_start >= 1 AND element_end >= 1))
@@ -144,22 +144,28 @@ def j17(spark, d):
     return t.join(known.select(F.col("te_fam").alias("f")), F.col("te_fam").eqNullSafe(F.col("f")), "left_semi").select("ordinal", "te_fam")
 
 
-@query("join_j19_semi_by_place", "SELECT DISTINCT ann_id FROM rm_out r WHERE EXISTS (SELECT 1 FROM te_copies c WHERE c.genome = r.genome AND c.te_end - c.te_start = r.seq_end - r.seq_begin)")
+@query("join_j19_semi_by_place", f"WITH {_A}, {_B}, n AS (SELECT chrom, a_start, a_end FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {_SAME} AND a_end > a_start AND b_end > b_start AND {_OV} >= 0.5 * (a_end - a_start) AND {_OV} >= 0.5 * (b_end - b_start))) SELECT ordinal FROM rm_out r WHERE (genome || ':' || regexp_extract(seq_name, '([0-9]+)$', 1), seq_begin, seq_end) IN (SELECT chrom, a_start, a_end FROM n)")
 def j19(spark, d):
-    r = table(spark, d, "rm_out").select("ann_id", "genome", (F.col("seq_end") - F.col("seq_begin")).alias("n"))
-    return r.join(table(spark, d, "te_copies").select("genome", (F.col("te_end") - F.col("te_start")).alias("n")).distinct(), ["genome", "n"], "left_semi").select("ann_id").distinct()
+    """Annotation lines, as delivered, at the places that no copy confirms by half of the length both ways."""
+    a, b = annotations(spark, d), copies(spark, d)
+    ov = iv.overlap_len("a_start", "a_end", "b_start", "b_end")
+    la, lb = F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start")
+    met = iv.overlap_join(a, b, ["chrom"], "a_start", "a_end", "b_start", "b_end").filter((la > 0) & (lb > 0) & (ov >= 0.5 * la) & (ov >= 0.5 * lb))
+    missed = a.join(met.select("ann_id", "chrom", "a_start", "a_end").distinct(), ["ann_id", "chrom", "a_start", "a_end"], "left_anti").select("chrom", "a_start", "a_end")
+    r = table(spark, d, "rm_out").select("ordinal", _axis("seq_name").alias("chrom"), F.col("seq_begin").alias("a_start"), F.col("seq_end").alias("a_end"))
+    return r.join(missed, ["chrom", "a_start", "a_end"], "left_semi").select("ordinal")
 
 
 _C2 = "TRY_CAST(regexp_replace({0}, '[()]', '', 'g') AS BIGINT)"
 
 
-@query("join_j20_domain_cover", f"SELECT DISTINCT ann_id, ele FROM (SELECT ann_id, ele, {_C2.format('c2')} AS e, CASE WHEN strand = '+' THEN {_C2.format('c1')} ELSE {_C2.format('c3')} END AS b FROM rm_out) x JOIN te_library l ON l.te_name = x.ele WHERE (e - b) >= 0.8 * l.cons_len")
+@query("join_j20_domain_cover", f"SELECT DISTINCT ann_id, ele FROM (SELECT ann_id, ele, {_C2.format('c2')} AS e, CASE WHEN strand = '+' THEN {_C2.format('c1')} ELSE {_C2.format('c3')} END AS b FROM rm_out) x JOIN te_library l ON l.te_name = x.ele WHERE (e - b) >= 0.95 * l.cons_len")
 def j20(spark, d):
-    """Hits that cover 80 % or more of their library entry."""
+    """Hits that cover 95 % or more of their library entry."""
     bare = lambda c: F.regexp_replace(c, "[()]", "").try_cast("long")
     x = table(spark, d, "rm_out").select("ann_id", "ele", bare("c2").alias("e"), F.when(F.col("strand") == "+", bare("c1")).otherwise(bare("c3")).alias("b"))
     lib = table(spark, d, "te_library").select(F.col("te_name").alias("ele"), "cons_len")
-    return x.join(lib, "ele").filter(F.col("e") - F.col("b") >= 0.8 * F.col("cons_len")).select("ann_id", "ele").distinct()
+    return x.join(lib, "ele").filter(F.col("e") - F.col("b") >= 0.95 * F.col("cons_len")).select("ann_id", "ele").distinct()
 
 
 # ---- interval algebra
@@ -206,39 +212,76 @@ def i4(spark, d):
     return iv.running_masked(t, ["genome", "seq_name"], "ordinal", "seq_begin", "seq_end").select("ordinal", "bp")
 
 
-@query("iv_i5_subtract", f"""WITH s AS (SELECT seq_id, translate(upper(regexp_replace(chrseq, '\\s', '', 'g')), 'MYHRSKVDBW', 'CCCGGGGGGT') AS q FROM sequences WHERE chrseq IS NOT NULL),
-c AS (SELECT seq_id, q, least(21, length(q) + 1) AS a, least(60, length(q)) AS b FROM s) SELECT seq_id, substr(q, 1, a - 1) || substr(q, b + 1) AS rest FROM c""")
-def i5(spark, d):
-    """Sequences without the stretches given for them (here two overlapping ones, 21-45 and 40-60)."""
+# elements with sequences: element n has the sequence of seq_id n; other elements that share bases with it lie on it in proportion
+_CUTS = f"""{_L}, s AS (SELECT seq_id, translate(upper(regexp_replace(chrseq, '\\s', '', 'g')), 'MYHRSKVDBW', 'CCCGGGGGGT') AS q FROM sequences WHERE chrseq IS NOT NULL),
+o AS (SELECT l.*, q, length(q) AS n FROM l JOIN s ON s.seq_id = l.ltr_id WHERE length(q) > 0),
+c AS (SELECT o.ltr_id, i.ltr_id AS inner_id, o.q, o.n, 1 + (greatest(i.s, o.s) - o.s) * o.n // (o.e - o.s + 1) AS a, (least(i.e, o.e) - o.s + 1) * o.n // (o.e - o.s + 1) AS b,
+ (least(i.e, o.e) - greatest(i.s, o.s) + 1)::DOUBLE / (i.e - i.s + 1) AS cover FROM o JOIN l i ON i.chrom = o.chrom AND i.ltr_id <> o.ltr_id AND i.s <= o.e AND o.s <= i.e)"""
+_REST = """m AS (SELECT *, max(b) OVER (PARTITION BY ltr_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM (SELECT DISTINCT ltr_id, a, b FROM c WHERE {0} AND b >= a) x),
+g AS (SELECT *, sum(CASE WHEN pb IS NULL OR a > pb + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY ltr_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS grp FROM m),
+p AS (SELECT ltr_id, min(a) AS a, max(b) AS b FROM g GROUP BY ltr_id, grp),
+k AS (SELECT ltr_id, a, b, lag(b) OVER (PARTITION BY ltr_id ORDER BY a) AS before, lead(a) OVER (PARTITION BY ltr_id ORDER BY a) AS after FROM p),
+r AS (SELECT k.ltr_id, string_agg(substr(q, CAST(coalesce(before, 0) + 1 AS INTEGER), CAST(k.a - coalesce(before, 0) - 1 AS INTEGER)) || {1} || CASE WHEN after IS NULL THEN substr(q, CAST(k.b + 1 AS INTEGER)) ELSE '' END, '' ORDER BY k.a) AS rest FROM k JOIN (SELECT DISTINCT ltr_id, q FROM o) z USING (ltr_id) GROUP BY 1)"""
+
+
+def with_sequence(spark: SparkSession, d: str) -> DataFrame:
     from seqloom.queries.scalar import seqs
 
-    t = seqs(spark, d)
-    cuts = t.select("seq_id", F.explode(F.array(F.struct(F.lit(21).alias("a"), F.lit(45).alias("b")), F.struct(F.lit(40).alias("a"), F.lit(60).alias("b")))).alias("x")).select("seq_id", "x.*")
-    return iv.subtract_from_text(t, "seq_id", "q", cuts, "a", "b").select("seq_id", F.col("q").alias("rest"))
+    t = seqs(spark, d).filter("q <> ''").select(F.col("seq_id").alias("o_id"), "q")
+    return elements(spark, d, "o_").join(t, "o_id")
+
+
+def element_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of the elements' sequences that other elements lie on: ``ltr_id, inner_id, a, b, cover`` (of the other element)."""
+    o = with_sequence(spark, d).withColumn("n", F.length("q").cast("long")).drop("q")
+    p = iv.overlap_join(o, elements(spark, d, "i_"), ["chrom"], "o_s", "o_e", "i_s", "i_e").filter("i_id <> o_id")
+    lo, hi, width = F.greatest("i_s", "o_s"), F.least("i_e", "o_e"), F.col("o_e") - F.col("o_s") + 1
+    whole = lambda x: F.floor(x * F.col("n") / width).cast("long")
+    return p.select(F.col("o_id").alias("ltr_id"), F.col("i_id").alias("inner_id"), "n", (whole(lo - F.col("o_s")) + 1).alias("a"), whole(hi - F.col("o_s") + 1).alias("b"), ((hi - lo + 1) / (F.col("i_e") - F.col("i_s") + 1)).alias("cover"))
+
+
+def _without(spark: SparkSession, d: str, cuts: DataFrame, fill: str | None = None) -> DataFrame:
+    t = with_sequence(spark, d).select(F.col("o_id").alias("ltr_id"), "q").distinct()
+    return iv.subtract_from_text(t, "ltr_id", "q", cuts.filter("b >= a").select("ltr_id", "a", "b"), "a", "b", fill=fill)
+
+
+def _rest_sql(cond: str, fill: str) -> str:
+    return f"WITH {_CUTS}, {_REST.format(cond, fill)} SELECT DISTINCT o.ltr_id, coalesce(r.rest, o.q) AS rest FROM o LEFT JOIN r USING (ltr_id)"
 
 
-@query("iv_i6_subtract_covered", f"WITH {_L}, x AS (SELECT a.ltr_id, sum(DISTINCT b.ltr_id) AS z, max(least(a.e, b.e) - greatest(a.s, b.s)) AS ov, any_value(a.e - a.s) AS n FROM l a JOIN l b ON a.chrom = b.chrom AND a.ltr_id <> b.ltr_id AND a.s <= b.e AND b.s <= a.e GROUP BY 1) SELECT ltr_id FROM x WHERE n > 0 AND ov >= 0.95 * n")
+@query("iv_i5_subtract", _rest_sql("true", "''"))
+def i5(spark, d):
+    """Sequences of elements without all stretches on which other elements lie."""
+    return _without(spark, d, element_cuts(spark, d)).select("ltr_id", F.col("q").alias("rest"))
+
+
+@query("iv_i6_subtract_covered", _rest_sql("cover >= 0.95", "''"))
 def i6(spark, d):
-    """Elements that one other element covers by 95 % or more."""
-    p = iv.overlap_join(elements(spark, d, "i_"), elements(spark, d, "o_"), ["chrom"], "i_s", "i_e", "o_s", "o_e").filter("i_id <> o_id and i_e > i_s")
-    return p.filter(iv.overlap_len("i_s", "i_e", "o_s", "o_e") >= 0.95 * (F.col("i_e") - F.col("i_s"))).select(F.col("i_id").alias("ltr_id")).distinct()
+    """The same, but only for other elements of which 95 % or more lie on the sequence."""
+    return _without(spark, d, element_cuts(spark, d).filter("cover >= 0.95")).select("ltr_id", F.col("q").alias("rest"))
 
 
-@query("iv_i7_unnest", f"WITH {_L}, n AS (SELECT o.ltr_id, (o.e - o.s) - (i.e - i.s) AS rest FROM l i JOIN l o ON i.chrom = o.chrom AND o.s < i.s AND i.e < o.e) SELECT ltr_id, min(rest) AS rest FROM n WHERE rest >= 100 GROUP BY 1")
+@query(
+    "iv_i7_unnest",
+    f"""WITH {_CUTS}, k AS (SELECT c.ltr_id, a, b, q, row_number() OVER (PARTITION BY c.ltr_id ORDER BY b - a DESC, a) AS r FROM c JOIN (SELECT ltr_id AS inner_id, max(ltr_identity) AS identity FROM ltr_intact GROUP BY 1) USING (inner_id)
+ WHERE cover >= 0.95 AND identity >= 95 AND b >= a AND c.n - (b - a + 1) >= 100)
+SELECT DISTINCT o.ltr_id, CASE WHEN k.ltr_id IS NULL THEN o.q ELSE substr(o.q, 1, CAST(a - 1 AS INTEGER)) || substr(o.q, CAST(b + 1 AS INTEGER)) END AS rest FROM o LEFT JOIN k ON k.ltr_id = o.ltr_id AND k.r = 1""",
+)
 def i7(spark, d):
-    """Length that remains of an element when its best nested insert is cut out, at least 100."""
-    p = iv.overlap_join(elements(spark, d, "i_"), elements(spark, d, "o_"), ["chrom"], "i_s", "i_e", "o_s", "o_e").filter("o_s < i_s and i_e < o_e")
-    rest = p.select(F.col("o_id").alias("ltr_id"), ((F.col("o_e") - F.col("o_s")) - (F.col("i_e") - F.col("i_s"))).alias("rest"))
-    return rest.filter("rest >= 100").groupBy("ltr_id").agg(F.min("rest").alias("rest"))
+    """Sequences with the one nested element cut out that leaves the shortest rest of 100 letters or more; unchanged without any.
 
+    Nested: 95 % of it lie on the sequence, at an identity of 95. Nested elements are alternatives, always cut from the whole.
+    """
+    good = table(spark, d, "ltr_intact").groupBy(F.col("ltr_id").alias("inner_id")).agg(F.max("ltr_identity").alias("identity")).filter("identity >= 95")
+    c = element_cuts(spark, d).filter("cover >= 0.95 and b >= a and n - (b - a + 1) >= 100").join(good, "inner_id")
+    best = c.groupBy("ltr_id").agg(F.min_by(F.struct("a", "b"), F.struct(F.col("a") - F.col("b"), "a")).alias("x")).select("ltr_id", "x.*")
+    return _without(spark, d, best).select("ltr_id", F.col("q").alias("rest"))
 
-@query("iv_i8_mask", "WITH s AS (SELECT seq_id, translate(upper(regexp_replace(chrseq, '\\s', '', 'g')), 'MYHRSKVDBW', 'CCCGGGGGGT') AS q FROM sequences WHERE chrseq IS NOT NULL) SELECT seq_id, CASE WHEN length(q) >= 21 THEN substr(q, 1, 20) || repeat('N', least(60, length(q)) - 20) || substr(q, 61) ELSE q END AS masked FROM s")
-def i8(spark, d):
-    from seqloom.queries.scalar import seqs
 
-    t = seqs(spark, d)
-    cuts = t.select("seq_id", F.lit(21).alias("a"), F.lit(60).alias("b"))
-    return iv.subtract_from_text(t, "seq_id", "q", cuts, "a", "b", fill="N").select("seq_id", F.col("q").alias("masked"))
+@query("iv_i8_mask", _rest_sql("true", "repeat('N', CAST(k.b - k.a + 1 AS INTEGER))"))
+def i8(spark, d):
+    """Sequences of elements with N for every letter on which another element lies."""
+    return _without(spark, d, element_cuts(spark, d), fill="N").select("ltr_id", F.col("q").alias("rest"))
 
 
 @query("iv_i9_confusion", f"""WITH {_A}, {_B}, ev AS (SELECT chrom, pos, sum(x) AS x, sum(y) AS y FROM (SELECT chrom, a_start AS pos, 1 AS x, 0 AS y FROM a UNION ALL SELECT chrom, a_end + 1, -1, 0 FROM a UNION ALL SELECT chrom, b_start, 0, 1 FROM b UNION ALL SELECT chrom, b_end + 1, 0, -1 FROM b) GROUP BY 1, 2),
@@ -266,19 +309,35 @@ def i12(spark, d):
     return p.filter(iv.overlap_len("i_s", "i_e", "o_s", "o_e") >= 0.95 * (F.col("i_e") - F.col("i_s"))).select(F.col("i_id").alias("ltr_id")).distinct()
 
 
-@query("iv_i13_flank_cover", f"WITH {_A}, u AS (SELECT ele, chrom, a_start AS s, a_end AS e FROM a WHERE ele <> ''), " + _island_sql("u", "ele, chrom", "s > pe + 1", "SELECT ele, chrom, CAST(sum(span_end - span_start + 1) AS BIGINT) AS covered, max(span_end) - min(span_start) + 1 AS span, sum(span_end - span_start + 1) < 0.9 * (max(span_end) - min(span_start) + 1) AS sparse FROM p GROUP BY ele, chrom"))
+@query(
+    "iv_i13_flank_cover",
+    f"""WITH {_A}, {_B}, h AS (SELECT copy_id, b_start, b_end, greatest(a_start, b_start - 100) AS s, least(a_end, b_end + 100) AS e FROM a JOIN b ON a.chrom = b.chrom AND a_start <= b_end + 100 AND b_start - 100 <= a_end),
+m AS (SELECT *, max(e) OVER (PARTITION BY copy_id, b_start, b_end ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM (SELECT DISTINCT * FROM h) x),
+c AS (SELECT copy_id, b_start, b_end, min(s) AS new_start, max(e) AS new_end, CAST(sum(CASE WHEN pe IS NULL OR s > pe THEN e - s + 1 WHEN e <= pe THEN 0 ELSE e - pe END) AS BIGINT) AS covered FROM m GROUP BY 1, 2, 3)
+SELECT *, covered < 0.9 * (new_end - new_start + 1) AS false_positive FROM c""",
+)
 def i13(spark, d):
-    """Share of the outer span of a family on a sequence that its merged hits cover; under 0.9 it is sparse."""
-    m = iv.merged(annotations(spark, d).filter("ele <> ''"), ["ele", "chrom"], "a_start", "a_end")
-    g = m.groupBy("ele", "chrom").agg(F.sum(F.col("span_end") - F.col("span_start") + 1).alias("covered"), (F.max("span_end") - F.min("span_start") + 1).alias("span"))
-    return g.withColumn("sparse", F.col("covered") < 0.9 * F.col("span"))
-
-
-@query("iv_i14_slop", "SELECT ordinal, greatest(0, te_start - CASE WHEN strand = '-' THEN 20 ELSE 50 END) AS s, least(3000000, te_end + CASE WHEN strand = '-' THEN 50 ELSE 20 END) AS e FROM te_copies")
+    """Boundaries of copies moved to the outermost base that hits cover within 100 bases of them; false if the hits cover under 90 % of what lies between."""
+    b = copies(spark, d).withColumns({"w_start": F.col("b_start") - 100, "w_end": F.col("b_end") + 100})
+    p = iv.overlap_join(b, annotations(spark, d), ["chrom"], "w_start", "w_end", "a_start", "a_end")
+    p = p.select("copy_id", "b_start", "b_end", F.greatest("a_start", "w_start").alias("s"), F.least("a_end", "w_end").alias("e"))
+    key = ["copy_id", "b_start", "b_end"]
+    g = p.groupBy(*key).agg(F.min("s").alias("new_start"), F.max("e").alias("new_end")).join(iv.covered_bases(p, key, "s", "e"), key)
+    return g.withColumn("false_positive", F.col("covered") < 0.9 * (F.col("new_end") - F.col("new_start") + 1))
+
+
+@query(
+    "iv_i14_slop",
+    f"""WITH z AS (SELECT {_AXIS.format('seq_name')} AS chrom, max(seq_end + try_cast(regexp_replace(left_bp, '[()]', '', 'g') AS BIGINT)) AS size FROM rm_out WHERE genome IS NOT NULL AND seq_name IS NOT NULL GROUP BY 1)
+SELECT ordinal, greatest(0, te_start - CASE WHEN strand = '-' THEN 20 ELSE 50 END) AS s, least(size, te_end + CASE WHEN strand = '-' THEN 50 ELSE 20 END) AS e FROM te_copies c LEFT JOIN z ON z.chrom = c.genome || ':' || regexp_extract(c.chrom, '([0-9]+)$', 1)""",
+)
 def i14(spark, d):
-    """Flanks of 50 bases before and 20 after a copy on its own strand, inside the bounds."""
+    """Flanks of 50 bases before and 20 after a copy on its own strand, within the sequence; without a bound where its length is not known."""
+    bare = F.regexp_replace("left_bp", "[()]", "").try_cast("long")
+    z = table(spark, d, "rm_out").filter("genome is not null and seq_name is not null").groupBy(_axis("seq_name").alias("axis")).agg(F.max(F.col("seq_end") + bare).alias("size"))
+    t = table(spark, d, "te_copies").select("ordinal", "te_start", "te_end", "strand", _axis("chrom").alias("axis")).join(z, "axis", "left")
     back = F.coalesce(F.col("strand") == "-", F.lit(False))
-    return table(spark, d, "te_copies").select("ordinal", F.greatest(F.lit(0), F.col("te_start") - F.when(back, 20).otherwise(50)).alias("s"), F.least(F.lit(3000000), F.col("te_end") + F.when(back, 50).otherwise(20)).alias("e"))
+    return t.select("ordinal", F.greatest(F.lit(0), F.col("te_start") - F.when(back, 20).otherwise(50)).alias("s"), F.least("size", F.col("te_end") + F.when(back, 50).otherwise(20)).alias("e"))
 
 
 @query("v10_nesting_depth", f"WITH {_L} SELECT i.ltr_id, count(DISTINCT o.ltr_id) AS depth FROM l i LEFT JOIN l o ON i.chrom = o.chrom AND o.s < i.s AND i.e < o.e GROUP BY 1")
@@ -327,20 +386,31 @@ def g1(spark, d):
 
 @query("chain_g2_longest")
 def g2(spark, d):
-    """Of the chains, the longest ones of each query first, up to 101."""
-    c = chains.chain_hits(_gap_share(hits(spark, d)), "gap", all_compatible=True)
+    """Hits that lie close together (under half of the query length on the subject) are one cluster; of the chains of a cluster the longest
+
+    counts, if it covers 80 % of the query; of each query the longest 101 places stay.
+    """
+    t = hits(spark, d).withColumn("gap", F.floor(F.col("q_len") * 0.5).cast("long")).withColumns({"lo": F.least("s_start", "s_end"), "hi": F.greatest("s_start", "s_end"), "plus": F.col("s_start") <= F.col("s_end")})
+    n = t.groupBy("query").agg(F.max("q_len").alias("q_len"))
+    # close: each hit reaches half of the query length further
+    reach = t.withColumn("far", F.col("hi") + F.greatest(F.col("gap") - 1, F.lit(0)))
+    spans = iv.merged(reach, ["query", "subject", "plus"], "lo", "far", 0).select("query", "subject", "plus", F.col("span_start").alias("c_start"), F.col("span_end").alias("c_end"))
+    c = chains.chain_hits(t, "gap", all_compatible=True).withColumnRenamed("forward", "plus").withColumns({"lo": F.least("s_start", "s_end"), "hi": F.greatest("s_start", "s_end")})
+    c = iv.overlap_join(c, spans, ["query", "subject", "plus"], "lo", "hi", "c_start", "c_end").join(n, "query")
+    best = c.groupBy("query", "subject", "plus", "c_start").agg(F.max_by(F.struct("q_start", "q_end", "s_start", "s_end", "n_hits", "q_len"), F.struct(F.col("q_end") - F.col("q_start"), F.col("hi") - F.col("lo"), -F.col("lo"), -F.col("q_start"))).alias("x"))
+    best = best.select("query", "subject", F.col("plus").alias("forward"), "x.*").filter("q_end - q_start + 1 >= 0.8 * q_len").drop("q_len")
     w = W.partitionBy("query").orderBy(F.desc(F.abs(F.col("s_end") - F.col("s_start"))), "subject", "s_start", "s_end", "q_start", "q_end")
-    return c.withColumn("rank", F.row_number().over(w)).filter("rank <= 101")
+    return best.withColumn("rank", F.row_number().over(w)).filter("rank <= 101")
 
 
 @query("chain_g3_full_length")
-def g3(spark, d):
-    """Chains that cover 30 % or more of the query, at a similar length."""
-    t = hits(spark, d)
-    n = t.groupBy("query").agg(F.max("q_len").alias("q_len"))
-    c = chains.chain_hits(_gap_share(t), "gap", all_compatible=True).join(n, "query")
+def g3(spark, d, t: float = 0.95):
+    """Chains that cover ``t`` of the query or more, of a subject length that differs by no more than that share."""
+    h = hits(spark, d)
+    n = h.groupBy("query").agg(F.max("q_len").alias("q_len"))
+    c = chains.chain_hits(h.withColumn("gap", F.floor(F.col("q_len") * (1 - t)).cast("long")), "gap", all_compatible=True).join(n, "query")
     q, s = F.col("q_end") - F.col("q_start") + 1, F.abs(F.col("s_end") - F.col("s_start")) + 1
-    return c.filter((q >= 0.3 * F.col("q_len")) & (s >= 0.8 * q) & (s <= 1.25 * q)).drop("q_len")
+    return c.filter((q >= t * F.col("q_len")) & (F.least(q, s) >= t * F.greatest(q, s))).drop("q_len")
 
 
 @query("chain_g6_fixed_gap")
