@@ -155,38 +155,38 @@ def a14(t, spark, d):
     return spark.createDataFrame([(round(a, 4), round(b, 4), round(c, 4), round(k, 4), round(z, 4))], "pan_scale double, pan_power double, core_span double, core_decay double, core_floor double")
 
 
-@q("pan_a16_presence_table", "SELECT trim(te_name) AS family, count(*) FILTER (genome = 'plasa') AS plasa, count(*) FILTER (genome = 'krapl') AS krapl, count(*) FILTER (genome = 'gagpl') AS gagpl FROM te_copies WHERE trim(te_name) <> '' GROUP BY 1")
+@q("pan_a16_presence_table", "WITH x AS (SELECT trim(te_name) AS family, genome FROM te_copies WHERE trim(te_name) <> ''), f AS (SELECT DISTINCT family FROM x), g AS (SELECT genome FROM genomes), c AS (SELECT family, genome, count(*) AS n FROM x GROUP BY 1, 2) SELECT family, list(coalesce(n, 0) ORDER BY genome) AS copies, CAST(count(n) AS BIGINT) AS n_genomes FROM f CROSS JOIN g LEFT JOIN c USING (family, genome) GROUP BY 1")
 def a16(t, spark, d):
-    x = t("te_copies").filter("trim(te_name) <> ''").groupBy(F.trim("te_name").alias("family"))
-    return x.agg(*[F.count(F.when(F.col("genome") == g, 1)).alias(g) for g in ("plasa", "krapl", "gagpl")])
+    """Copies of each family in every genome of the table ``genomes``, in order of their names."""
+    names = sorted(r[0] for r in t("genomes").select("genome").collect())  # a dimension, one column each
+    x = t("te_copies").filter("trim(te_name) <> ''").groupBy(F.trim("te_name").alias("family")).agg(*[F.count(F.when(F.col("genome") == g, 1)).alias(f"_{i}") for i, g in enumerate(names)])
+    cells = F.array(*[F.col(f"_{i}") for i in range(len(names))])
+    return x.select("family", cells.alias("copies"), F.size(F.filter(cells, lambda n: n > 0)).cast("long").alias("n_genomes"))
 
 
 # ---- family status from hits
 
-_FS = """x AS (SELECT trim(ele) AS family, pct_div, strand, try_cast(regexp_replace(c1, '[()]', '', 'g') AS BIGINT) AS a, try_cast(regexp_replace(c2, '[()]', '', 'g') AS BIGINT) AS b, try_cast(regexp_replace(c3, '[()]', '', 'g') AS BIGINT) AS c,
+_FS = """x AS (SELECT trim(ele) AS family, ordinal, pct_div, strand, try_cast(regexp_replace(c1, '[()]', '', 'g') AS BIGINT) AS a, try_cast(regexp_replace(c2, '[()]', '', 'g') AS BIGINT) AS b, try_cast(regexp_replace(c3, '[()]', '', 'g') AS BIGINT) AS c,
  (seq_end - seq_begin)::DOUBLE / nullif(seq_end + try_cast(regexp_replace(left_bp, '[()]', '', 'g') AS BIGINT), 0) AS contig_cov FROM rm_out WHERE trim(ele) <> ''),
-y AS (SELECT family, pct_div, contig_cov, CASE WHEN strand = '+' THEN b + c ELSE b + a END AS len, CASE WHEN strand = '+' THEN a ELSE c END AS s, b AS e FROM x),
-z AS (SELECT DISTINCT family, s, e, len, pct_div FROM y WHERE s <= e AND len > 0)"""
+y AS (SELECT family, ordinal, pct_div, contig_cov, CASE WHEN strand = '+' THEN b + c ELSE b + a END AS len, CASE WHEN strand = '+' THEN a ELSE c END AS s, b AS e FROM x),
+z AS (SELECT * FROM y WHERE s <= e AND len > 0 AND contig_cov > {least})"""
+_COVER = """i{n} AS (SELECT DISTINCT family, s, e FROM z WHERE pct_div < {limit}), m{n} AS (SELECT *, max(e) OVER (PARTITION BY family ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM i{n}),
+g{n} AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe + 10 THEN 1 ELSE 0 END) OVER (PARTITION BY family ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS grp FROM m{n}),
+p{n} AS (SELECT family, sum(e1 - s1) AS cov FROM (SELECT family, grp, min(s) AS s1, max(e) AS e1 FROM g{n} GROUP BY 1, 2) GROUP BY 1)"""
 
 
-def _family(t):
-    bare = lambda c: F.regexp_replace(c, "[()]", "").try_cast("long")
-    plus = F.col("strand") == "+"
-    x = t("rm_out").filter("trim(ele) <> ''").select(F.trim("ele").alias("family"), "pct_div", F.when(plus, bare("c2") + bare("c3")).otherwise(bare("c2") + bare("c1")).alias("len"), F.when(plus, bare("c1")).otherwise(bare("c3")).alias("s"), bare("c2").alias("e"))
-    return x.filter("s <= e and len > 0")
+def _status_sql(least: float, contig: float, whole: float, most: float) -> str:
+    return f"""WITH {_FS.format(least=least)}, {_COVER.format(n=1, limit=5)}, {_COVER.format(n=2, limit=20)},
+n AS (SELECT family, arg_min(len, ordinal) AS len, coalesce(bool_or(e - s > {whole}::DOUBLE * len AND contig_cov > {contig} AND pct_div < 5), false) AS perfect FROM z GROUP BY 1)
+SELECT n.family, n.len, CAST(coalesce(p1.cov, 0) AS BIGINT) AS cover_close, CAST(coalesce(p2.cov, 0) AS BIGINT) AS cover_near,
+ CASE WHEN perfect THEN 'perfect' WHEN coalesce(p1.cov, 0) > {whole}::DOUBLE * n.len THEN 'good' WHEN coalesce(p2.cov, 0) > {most}::DOUBLE * n.len THEN 'present' ELSE 'missing' END AS status FROM n LEFT JOIN p1 USING (family) LEFT JOIN p2 USING (family)"""
 
 
-@q("agg_a17_family_status", f"""WITH {_FS}, n AS (SELECT family, max(len) AS len FROM z GROUP BY 1), i AS (SELECT DISTINCT family, s, e FROM z WHERE pct_div < 20),
-m AS (SELECT *, max(e) OVER (PARTITION BY family ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM i), g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe + 10 THEN 1 ELSE 0 END) OVER (PARTITION BY family ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS grp FROM m),
-p AS (SELECT family, sum(e1 - s1) AS cov FROM (SELECT family, grp, min(s) AS s1, max(e) AS e1 FROM g GROUP BY 1, 2) GROUP BY 1), f AS (SELECT family, bool_or(e - s > 0.5 * len AND pct_div < 5) AS full_hit FROM z GROUP BY 1)
-SELECT n.family, n.len, CAST(coalesce(p.cov, 0) AS BIGINT) AS covered, CASE WHEN f.full_hit THEN 'perfect' WHEN coalesce(p.cov, 0) > 0.8 * n.len THEN 'present' ELSE 'missing' END AS status FROM n LEFT JOIN p USING (family) JOIN f USING (family)""")
-def a17(t, spark, d):
-    """Families with one long, close hit, those covered by merged hits, and the rest."""
-    z = _family(t)
-    n = z.groupBy("family").agg(F.max("len").alias("len"), F.bool_or((F.col("e") - F.col("s") > 0.5 * F.col("len")) & (F.col("pct_div") < 5)).alias("full_hit"))
-    m = iv.merged(z.filter("pct_div < 20"), ["family"], "s", "e", 10).groupBy("family").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("c"))
-    x = n.join(m, "family", "left").withColumn("covered", F.coalesce("c", F.lit(0)).cast("long"))
-    return x.select("family", "len", "covered", F.when(F.col("full_hit"), "perfect").when(F.col("covered") > 0.8 * F.col("len"), "present").otherwise("missing").alias("status"))
+q("agg_a17_family_status", _status_sql(0.1, 0.95, 0.95, 0.8))(lambda t, s, d: annotation.family_status(annotation.family_hits(t("rm_out"))))
+#: Hits on chromosomes cover next to nothing of them, so that no bound on that share is set.
+q("agg_a17_family_status_genome", _status_sql(-1, -1, 0.95, 0.8))(lambda t, s, d: annotation.family_status(annotation.family_hits(t("rm_out")), -1, -1))
+#: With lower bounds, at which the families of these hits differ.
+q("agg_a17_family_status_part", _status_sql(-1, -1, 0.5, 0.3))(lambda t, s, d: annotation.family_status(annotation.family_hits(t("rm_out")), -1, -1, 0.5, 0.3))
 
 
 q("agg_a12_mean_deviation", "SELECT l_linenumber, round(avg(l_quantity), 2) AS mean, round(stddev_samp(l_quantity), 2) AS sd FROM lineitem GROUP BY 1")(lambda t, s, d: t("lineitem").groupBy("l_linenumber").agg(F.round(F.avg("l_quantity"), 2).alias("mean"), F.round(F.stddev_samp("l_quantity"), 2).alias("sd")))
@@ -244,24 +244,49 @@ def _instances(t):
 
 q("top_t1_sorted_hits", "SELECT ann_id, genome, seq_name, seq_begin, seq_end FROM rm_out ORDER BY genome, seq_name, seq_begin, seq_end, ordinal")(lambda t, s, d: t("rm_out").orderBy("genome", "seq_name", "seq_begin", "seq_end", "ordinal").select("ann_id", "genome", "seq_name", "seq_begin", "seq_end"))
 q("top_t2_by_length", "SELECT seq_id, length(chrseq) AS n FROM sequences ORDER BY n DESC, seq_id")(lambda t, s, d: t("sequences").select("seq_id", F.length("chrseq").alias("n")).orderBy(F.desc("n"), "seq_id"))
-for _name, _k in (("top_t3_per_group", 11), ("top_t4_stop_at_hundred", 100), ("top_t5_five_per_cluster", 5)):
+for _name, _k in (("top_t3_per_group", 11), ("top_t4_stop_at_hundred", 100)):
     q(_name, f"SELECT te_name, ordinal, n FROM (SELECT te_name, ordinal, te_end - te_start AS n, row_number() OVER (PARTITION BY te_name ORDER BY te_end - te_start DESC NULLS LAST, ordinal) AS r FROM te_copies) WHERE r <= {_k}")(
         lambda t, s, d, k=_k: t("te_copies").select("te_name", "ordinal", (F.col("te_end") - F.col("te_start")).alias("n")).withColumn("r", F.row_number().over(W.partitionBy("te_name").orderBy(F.desc_nulls_last("n"), "ordinal"))).filter(F.col("r") <= k).drop("r")
     )
 
-@q("top_t6_largest_and_sample")
+_FIVE = "c AS (SELECT te_name, count(*) AS n FROM te_copies GROUP BY 1), k AS (SELECT CASE WHEN sum(least(n, 5)) <= {0} THEN 5 WHEN sum(least(n, 3)) <= {0} THEN 3 ELSE 1 END AS k FROM c)"
+_RANK = "row_number() OVER (PARTITION BY te_name ORDER BY te_end - te_start DESC NULLS LAST, ordinal) AS r"
+
+
+def _shrunk(t, size: int):
+    """The longest five copies of each cluster, or three, or one: as many as keep the whole within ``size`` rows."""
+    x = t("te_copies").select("te_name", "ordinal", (F.col("te_end") - F.col("te_start")).alias("n"))
+    c = x.groupBy("te_name").agg(rows_n())
+    total = c.agg(*[F.sum(F.least("n", F.lit(k))).alias(f"k{k}") for k in (5, 3)]).first()
+    k = next((k for k in (5, 3) if (total[f"k{k}"] or 0) <= size), 1)
+    r = F.row_number().over(W.partitionBy("te_name").orderBy(F.desc_nulls_last("n"), "ordinal"))
+    return x.withColumn("r", r).filter(F.col("r") <= k).drop("r")
+
+
+for _size in (10_000, 1_500, 700):
+    q(f"top_t5_within_{_size}", f"WITH {_FIVE.format(_size)} SELECT te_name, ordinal, n FROM (SELECT te_name, ordinal, te_end - te_start AS n, {_RANK} FROM te_copies) WHERE r <= (SELECT k FROM k)")(lambda t, s, d, z=_size: _shrunk(t, z))
+
+_HASH = "md5(ordinal::VARCHAR || ':42')"
+
+
+def _hash(c: str):
+    """Order that is the same on every system."""
+    return F.md5(F.concat(F.col(c).cast("string"), F.lit(":42")))
+
+
+@q("top_t6_largest_and_sample", f"WITH x AS (SELECT te_name, ordinal, {_RANK} FROM te_copies), y AS (SELECT te_name, ordinal, r, row_number() OVER (PARTITION BY te_name, r <= 5 ORDER BY {_HASH}) AS h FROM x) SELECT te_name, ordinal FROM y WHERE r <= 5 OR h <= 5")
 def t6(t, spark, d):
     """The five longest copies of each family, and five by a fixed hash of the others; each limit is applied before the shuffle."""
     x = t("te_copies").select("te_name", "ordinal", (F.col("te_end") - F.col("te_start")).alias("n"))
     rank = lambda *o: F.row_number().over(W.partitionBy("te_name").orderBy(*o))
     long = x.withColumn("r", rank(F.desc_nulls_last("n"), "ordinal")).filter("r <= 5").select("te_name", "ordinal")
     # five of the others are among the first ten by hash of all, as five at most are taken away
-    some = x.withColumn("r", rank(F.xxhash64("ordinal"), "ordinal")).filter("r <= 10").select("te_name", "ordinal")
-    rest = some.join(long.select("ordinal"), "ordinal", "left_anti").withColumn("r", rank(F.xxhash64("ordinal"), "ordinal")).filter("r <= 5")
+    some = x.withColumn("h", _hash("ordinal")).withColumn("r", rank("h")).filter("r <= 10").select("te_name", "ordinal", "h")
+    rest = some.join(long.select("ordinal"), "ordinal", "left_anti").withColumn("r", rank("h")).filter("r <= 5")
     return long.unionByName(rest.select("te_name", "ordinal"))
 
 
-q("top_t7_downsample")(lambda t, s, d: t("te_copies").orderBy(F.xxhash64("ordinal", F.lit(42)), "ordinal").limit(500).select("ordinal"))
+q("top_t7_downsample", f"SELECT ordinal FROM te_copies ORDER BY {_HASH} LIMIT 500")(lambda t, s, d: t("te_copies").select("ordinal", _hash("ordinal").alias("h")).orderBy("h").limit(500).select("ordinal"))
 q("top_t8_two_rankings", "SELECT copy_id FROM (SELECT copy_id FROM te_copies ORDER BY score DESC NULLS LAST, copy_id LIMIT 5) UNION SELECT copy_id FROM (SELECT copy_id FROM te_copies ORDER BY te_end - te_start DESC NULLS LAST, copy_id LIMIT 5)")(
     lambda t, s, d: t("te_copies").orderBy(F.desc_nulls_last("score"), "copy_id").limit(5).select("copy_id").union(t("te_copies").orderBy(F.desc_nulls_last(F.col("te_end") - F.col("te_start")), "copy_id").limit(5).select("copy_id")).distinct()
 )
@@ -292,17 +317,51 @@ q("re_r7_attributes", "SELECT ordinal, 'id=te_' || copy_id || ';name=' || coales
     lambda t, s, d: t("te_copies").select("ordinal", F.concat_ws(";", F.concat(F.lit("id=te_"), F.col("copy_id").cast("string")), F.concat(F.lit("name="), F.coalesce("te_name", F.lit(""))), F.concat(F.lit("classification="), F.coalesce("te_class", F.lit("")))).alias("attrs")).select("ordinal", "attrs", F.try_element_at(F.str_to_map("attrs", F.lit(";"), F.lit("=")), F.lit("name")).alias("name_back"))
 )
 q("re_r8_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")(lambda t, s, d: t("events").select("event_id", F.from_json("props", "k long")["k"].alias("k")))
-q("re_r9_class_fallback", "SELECT c.ordinal, coalesce(l.te_class, c.te_class || '/' || replace(c.te_fam, '?', ''), c.te_class, 'Unknown') AS label FROM te_copies c LEFT JOIN te_library l ON l.te_name = c.te_name")(
-    lambda t, s, d: t("te_copies").join(t("te_library").select("te_name", F.col("te_class").alias("lc")), "te_name", "left").select("ordinal", F.coalesce("lc", F.concat("te_class", F.lit("/"), F.replace("te_fam", F.lit("?"), F.lit(""))), "te_class", F.lit("Unknown")).alias("label"))
-)
+_R9 = "f AS (SELECT c.te_name, coalesce(l.te_class, nullif(c.te_class, 'Unknown') || CASE WHEN c.te_fam IS NULL OR c.te_fam = c.te_class THEN '' ELSE '/' || replace(c.te_fam, '?', '') END, 'Unknown') AS label, l.te_name IS NOT NULL AS in_library FROM (SELECT te_name, te_class, te_fam FROM te_copies WHERE te_name IS NOT NULL) c LEFT JOIN te_library l ON l.te_name = c.te_name)"
+
+
+@q("re_r9_class_fallback", f"WITH {_R9} SELECT te_name, label, CASE WHEN in_library THEN 'library' ELSE 'copies' END AS source, count(*) AS n FROM f GROUP BY ALL UNION ALL SELECT te_name, coalesce(te_class, 'Unknown'), 'library only', 0 FROM te_library WHERE te_name NOT IN (SELECT te_name FROM f)")
+def r9(t, spark, d):
+    """Label of each name: the library's class, else class and family of the copy, else Unknown; with the library's names that have no copy."""
+    lib = t("te_library").select("te_name", F.col("te_class").alias("lc"), F.lit(True).alias("known"))
+    c = t("te_copies").filter("te_name is not null").groupBy("te_name", "te_class", "te_fam").agg(rows_n()).join(lib, "te_name", "left")
+    fam = F.when(F.col("te_fam").isNull() | (F.col("te_fam") == F.col("te_class")), "").otherwise(F.concat(F.lit("/"), F.replace("te_fam", F.lit("?"), F.lit(""))))
+    label = F.coalesce("lc", F.concat(F.nullif("te_class", F.lit("Unknown")), fam), F.lit("Unknown"))
+    got = c.groupBy("te_name", label.alias("label"), F.when(F.col("known"), "library").otherwise("copies").alias("source")).agg(F.sum("n").alias("n"))
+    rest = lib.join(c.select("te_name"), "te_name", "left_anti").select("te_name", F.coalesce("lc", F.lit("Unknown")).alias("label"), F.lit("library only").alias("source"), F.lit(0).cast("long").alias("n"))
+    return got.unionByName(rest)
+
+
 q("re_r10_argmax", "SELECT vec_id, list_position(list_transform(embedding, lambda x: round(x, 4)), list_max(list_transform(embedding, lambda x: round(x, 4)))) - 1 AS best FROM embeddings")(
     lambda t, s, d: t("embeddings").withColumn("r", F.transform("embedding", lambda x: F.round(x, 4))).select("vec_id", (F.array_position("r", F.array_max("r")) - 1).cast("int").alias("best"))
 )
-q("re_r11_split")(lambda t, s, d: t("te_library").select("te_name", "te_class", (F.pmod(F.xxhash64("te_name", F.lit(42)), F.lit(5))).cast("int").alias("fold")).withColumn("part", F.when(F.col("fold") == 0, "test").otherwise("train")))
+@q("re_r11_split", "SELECT te_name, te_class, CAST((row_number() OVER (PARTITION BY te_class ORDER BY md5(te_name || ':42')) - 1) % 5 AS INTEGER) AS fold, CASE WHEN (row_number() OVER (PARTITION BY te_class ORDER BY md5(te_name || ':42')) - 1) % 5 = 0 THEN 'test' ELSE 'train' END AS part FROM te_library")
+def r11(t, spark, d):
+    """Five folds of equal share of each class, in the order of a fixed hash; a class of any size is numbered over stretches of the hash."""
+    x = t("te_library").select("te_name", "te_class", _hash("te_name").alias("h"))
+    x = numbered(x.withColumn("o", F.conv(F.substring("h", 1, 15), 16, 10).cast("long")), ["te_class"], "o", "n", ["h"], 1 << 52)
+    fold = (F.col("n") % 5).cast("int")
+    return x.select("te_name", "te_class", fold.alias("fold"), F.when(fold == 0, "test").otherwise("train").alias("part"))
+
+
 q("re_r12_oversample", "SELECT te_name, unnest(range(1, 1 + CASE WHEN te_class LIKE 'LTR/%' THEN 1 WHEN te_class LIKE 'DNA/%' THEN 2 ELSE 3 END)) AS copy_no FROM te_library")(
     lambda t, s, d: t("te_library").select("te_name", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("te_class").like("LTR/%"), 1).when(F.col("te_class").like("DNA/%"), 2).otherwise(3).cast("long"))).alias("copy_no"))
 )
-q("re_r13_padding", f"WITH {_S} SELECT seq_id, rpad(left(q, 100), 100, '-') AS row FROM s")(lambda t, s, d: seqs(s, d).select("seq_id", F.rpad(F.left("q", F.lit(100)), 100, "-").alias("row")))
+
+_R13 = "r AS (SELECT genome AS family, seq_id, translate(q, 'N', '-') AS seq, row_number() OVER (PARTITION BY genome ORDER BY md5(seq_id::VARCHAR || ':42')) - 1 AS row_no, max(length(q)) OVER (PARTITION BY genome) AS width FROM s WHERE genome IS NOT NULL)"
+
+
+@q("re_r13_padding", f"WITH {_S}, {_R13}, n AS (SELECT family, count(*) AS n, max(width) AS width FROM r GROUP BY 1) SELECT family, row_no, seq_id, rpad(seq, CAST(width AS INTEGER), '-') AS seq FROM r WHERE row_no < 100 UNION ALL SELECT family, unnest(range(n, 100)), NULL, repeat('-', width) FROM n WHERE n < 100")
+def r13(t, spark, d):
+    """Alignments of 100 rows: families of more are sampled by a fixed hash, those of fewer get blank rows; all columns stay."""
+    x = seqs(spark, d).filter("genome is not null").select(F.col("genome").alias("family"), "seq_id", F.translate("q", "N", "-").alias("seq"))
+    n = x.groupBy("family").agg(rows_n(), F.max(F.length("seq")).alias("width"))
+    ids = x.select("family", "seq_id", _hash("seq_id").alias("h"))
+    pick = ids.withColumn("row_no", (F.row_number().over(W.partitionBy("family").orderBy("h")) - 1).cast("long")).filter("row_no < 100").select("seq_id", "row_no")
+    kept = x.join(pick, "seq_id").join(n, "family").select("family", "row_no", "seq_id", F.rpad("seq", F.col("width"), F.lit("-")).alias("seq"))
+    blank = n.filter("n < 100").select("family", F.explode(F.sequence(F.col("n"), F.lit(99).cast("long"))).alias("row_no"), F.lit(None).cast("long").alias("seq_id"), F.repeat(F.lit("-"), F.col("width")).alias("seq"))
+    return kept.unionByName(blank)
+
 
 # ---- further analyses
 
@@ -335,31 +394,136 @@ def v3(t, s, d):
     return v.select("user_id", "block", F.round(F.element_at("v", F.least(F.size("v"), F.floor(F.size("v") / 2).cast("int") + 1)), 6).alias("median"))
 
 
-q("v13_weighted_smoothing", "WITH x AS (SELECT event_id, value, lag(value) OVER w AS p, lead(value) OVER w AS n FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, round((coalesce(p, 0) + 2 * value + coalesce(n, 0)) / (2 + CASE WHEN p IS NULL THEN 0 ELSE 1 END + CASE WHEN n IS NULL THEN 0 ELSE 1 END), 6) AS smooth FROM x")(
-    lambda t, s, d: (lambda w: t("events").filter("value is not null").select("event_id", F.lag("value").over(w).alias("p"), "value", F.lead("value").over(w).alias("n")))(W.partitionBy("user_id").orderBy("ts", "event_id")).select("event_id", F.round((F.coalesce("p", F.lit(0)) + 2 * F.col("value") + F.coalesce("n", F.lit(0))) / (2 + F.col("p").isNotNull().cast("int") + F.col("n").isNotNull().cast("int")), 6).alias("smooth"))
-)
-q("v14_local_maxima", "SELECT event_id FROM (SELECT event_id, value, lag(value) OVER w AS p, lead(value) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE value > p AND value > n")(
-    lambda t, s, d: (lambda w: t("events").select("event_id", "value", F.lag("value").over(w).alias("p"), F.lead("value").over(w).alias("n")))(W.partitionBy("user_id").orderBy("ts", "event_id")).filter("value > p and value > n").select("event_id")
-)
-q("v16_enrichment", f"{_W3}, c AS (SELECT w, count(*) AS n FROM k GROUP BY 1) SELECT w, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY left(w, 7)), 6) AS given_prefix FROM c")(
-    lambda t, s, d: (lambda c: c.select("w", "n", F.round(F.col("n") / F.sum("n").over(W.partitionBy(F.left("w", F.lit(7)))), 6).alias("given_prefix")))(_placed_words(s, d).groupBy("w").agg(rows_n()))
-)
+def _smooth_sql(weights) -> str:
+    h = len(weights) // 2
+    terms = [(f"lag(value, {h - i}) OVER w" if i < h else "value" if i == h else f"lead(value, {i - h}) OVER w", x) for i, x in enumerate(weights)]
+    top, low = (" + ".join(f for f in fs) for fs in ([f"{x} * coalesce({t}, 0)" for t, x in terms], [f"CASE WHEN {t} IS NULL THEN 0 ELSE {x} END" for t, x in terms]))
+    return f"SELECT event_id, user_id, ts, value, ({top}) / ({low}) AS smooth FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+def _smooth(t, weights):
+    """Weighted mean of a window around each value; at the ends of a series the weights that remain are scaled up."""
+    w, h = W.partitionBy("user_id").orderBy("ts", "event_id"), len(weights) // 2
+    terms = [(F.lag("value", h - i).over(w) if i <= h else F.lead("value", i - h).over(w), x) for i, x in enumerate(weights)]
+    top = sum((F.coalesce(c, F.lit(0.0)) * x for c, x in terms[1:]), F.coalesce(terms[0][0], F.lit(0.0)) * terms[0][1])
+    low = sum((F.when(c.isNull(), 0).otherwise(x) for c, x in terms[1:]), F.when(terms[0][0].isNull(), 0).otherwise(terms[0][1]))
+    return t("events").filter("value is not null").select("event_id", "user_id", "ts", "value", (top / low).alias("smooth"))
+
+
+BELL = (1, 4, 6, 4, 1)
+q("v13_weighted_smoothing", f"SELECT event_id, round(smooth, 6) AS smooth FROM ({_smooth_sql((1, 2, 1))})")(lambda t, s, d: _smooth(t, (1, 2, 1)).select("event_id", F.round("smooth", 6).alias("smooth")))
+q("v13_weighted_smoothing_wide", f"SELECT event_id, round(smooth, 6) AS smooth FROM ({_smooth_sql(BELL)})")(lambda t, s, d: _smooth(t, BELL).select("event_id", F.round("smooth", 6).alias("smooth")))
+
+_V14 = f"""x AS (SELECT *, lead(smooth) OVER w - smooth AS d1, smooth - lag(smooth) OVER w AS d0 FROM ({_smooth_sql(BELL)}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+k AS (SELECT *, d1 - d0 AS d2, CASE WHEN d0 > 0 AND d1 < 0 THEN 'peak' WHEN d0 < 0 AND d1 > 0 THEN 'valley' END AS kind FROM x)"""
+
+
+def _turns(t):
+    """First and second differences of the smoothed series, peaks and valleys."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    x = _smooth(t, BELL).withColumns({"d1": F.lead("smooth").over(w) - F.col("smooth"), "d0": F.col("smooth") - F.lag("smooth").over(w)})
+    kind = F.when((F.col("d0") > 0) & (F.col("d1") < 0), "peak").when((F.col("d0") < 0) & (F.col("d1") > 0), "valley")
+    return x.withColumns({"d2": F.col("d1") - F.col("d0"), "kind": kind})
+
+
+q("v14_local_maxima", f"WITH {_V14} SELECT event_id, kind, round(d2, 6) AS bend FROM k WHERE kind IS NOT NULL")(lambda t, s, d: _turns(t).filter("kind is not null").select("event_id", "kind", F.round("d2", 6).alias("bend")))
+
+
+@q("v14_regions", f"WITH {_V14}, r AS (SELECT *, count(*) FILTER (kind = 'valley') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS region FROM k) SELECT user_id, region, count(*) AS n, min(event_id) AS first_event, count(*) FILTER (kind = 'peak') AS peaks, round(max(smooth), 6) AS top FROM r GROUP BY 1, 2")
+def v14r(t, spark, d):
+    """Regions between separators (the valleys): their size, peaks and height."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    r = _turns(t).withColumn("region", F.count(F.when(F.col("kind") == "valley", 1)).over(w))
+    return r.groupBy("user_id", "region").agg(rows_n(), F.min("event_id").alias("first_event"), F.count(F.when(F.col("kind") == "peak", 1)).alias("peaks"), F.round(F.max("smooth"), 6).alias("top"))
+
+
+@q("v16_enrichment_ratio", f"{_W3}, c AS (SELECT w, count(*) AS n FROM k GROUP BY 1), a AS (SELECT left(w, 7) AS p, sum(n) AS n FROM c GROUP BY 1), z AS (SELECT right(w, 7) AS s, sum(n) AS n FROM c GROUP BY 1), m AS (SELECT substr(w, 2, 6) AS m, sum(n) AS n FROM c GROUP BY 1) SELECT c.w, c.n, CAST(a.n * z.n * 1000 // m.n AS BIGINT) AS expected_1000, CAST(c.n * m.n * 1000 // (a.n * z.n) AS BIGINT) AS ratio_1000 FROM c JOIN a ON a.p = left(c.w, 7) JOIN z ON z.s = right(c.w, 7) JOIN m ON m.m = substr(c.w, 2, 6)")
+def v16r(t, spark, d):
+    """Words of eight letters against what a Markov model of the sixth order expects (counts of both seven-letter parts over that of the middle), in thousandths."""
+    c = _placed_words(spark, d).groupBy("w").agg(rows_n())
+    part = lambda e, k, n: c.groupBy(e.alias(k)).agg(F.sum("n").alias(n))
+    a, z, m = F.left("w", F.lit(7)), F.right("w", F.lit(7)), F.substring("w", 2, 6)
+    x = c.withColumns({"p": a, "s": z, "m": m}).join(part(a, "p", "na"), "p").join(part(z, "s", "nz"), "s").join(part(m, "m", "nm"), "m")
+    return x.select("w", "n", F.expr("na * nz * 1000 div nm").alias("expected_1000"), F.expr("n * nm * 1000 div (na * nz)").alias("ratio_1000"))
+
+
 q("v20_unclear_bases", "SELECT seq_id, translate(upper(chrseq), 'MYHRSKVDBW', 'CCCGGGGGGT') AS read FROM sequences")(lambda t, s, d: t("sequences").select("seq_id", F.translate(F.upper("chrseq"), "MYHRSKVDBW", "CCCGGGGGGT").alias("read")))
 q("v21_density", "SELECT genome, count(*) FILTER (strand = '+') AS plus, count(*) FILTER (strand IN ('-', 'C')) AS minus, count(*) AS n FROM te_copies GROUP BY 1")(lambda t, s, d: t("te_copies").groupBy("genome").agg(F.count(F.when(F.col("strand") == "+", 1)).alias("plus"), F.count(F.when(F.col("strand").isin("-", "C"), 1)).alias("minus"), rows_n()))
 q("v22_fixed_cutting", f"WITH {_S} SELECT seq_id, unnest(range(0, greatest(1, (length(q) + 4999) // 5000))) AS part, length(substr(q, 1 + 5000 * unnest(range(0, greatest(1, (length(q) + 4999) // 5000))), 5000)) AS n FROM s")(
     lambda t, s, d: seqs(s, d).select("seq_id", "q", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length("q") / 5000)).cast("long") - 1)).alias("part")).select("seq_id", "part", F.length(F.substring("q", (1 + 5000 * F.col("part")).cast("int"), F.lit(5000))).cast("long").alias("n"))
 )
+
+_UNREAD = "(length({0}) - length(replace({0}, 'N', ''))) * 50 >= length({0})"
+
+
+@q("v22_retried_cutting", f"WITH {_S}, p AS (SELECT seq_id, i * 5000 AS a, substr(q, CAST(i * 5000 + 1 AS INTEGER), 5000) AS x FROM (SELECT seq_id, q, unnest(range(0, (length(q) + 4999) // 5000)) AS i FROM s)), r AS (SELECT seq_id, a + j * 500 AS a, substr(x, CAST(j * 500 + 1 AS INTEGER), 500) AS x FROM (SELECT *, unnest(range(0, (length(x) + 499) // 500)) AS j FROM p WHERE {_UNREAD.format('x')})) SELECT seq_id, a AS part_start, length(x) AS n, false AS retried FROM p WHERE NOT ({_UNREAD.format('x')}) UNION ALL SELECT seq_id, a, length(x), true FROM r")
+def v22r(t, spark, d):
+    """Pieces of 5,000 letters; one that fails (here: 2 % unknown letters or more) is tried again in pieces of 500."""
+    def cut(x, size):
+        n = F.ceil(F.length("x") / size).cast("long")
+        y = x.filter("x <> ''").select("*", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("i"))
+        return y.select("seq_id", (F.col("a") + F.col("i") * size).alias("a"), F.substring("x", (F.col("i") * size + 1).cast("int"), F.lit(size)).alias("x"))
+
+    p = cut(seqs(spark, d).select("seq_id", F.lit(0).cast("long").alias("a"), F.col("q").alias("x")), 5000)
+    bad = (F.length("x") - F.length(F.replace("x", F.lit("N"), F.lit("")))) * 50 >= F.length("x")
+    out = lambda x, again: x.select("seq_id", F.col("a").alias("part_start"), F.length("x").cast("long").alias("n"), F.lit(again).alias("retried"))
+    return out(p.filter(~bad), False).unionByName(out(cut(p.filter(bad), 500), True))
+
+
 q("v29_split_by_kind", "SELECT r.ordinal, CASE WHEN g.is_plant = 1 THEN 'plant' ELSE 'other' END AS part FROM rm_out r JOIN genomes g USING (genome)")(lambda t, s, d: t("rm_out").join(t("genomes").select("genome", "is_plant"), "genome").select("ordinal", F.when(F.col("is_plant") == 1, "plant").otherwise("other").alias("part")))
-q("v31_proportional_sizes", "WITH c AS (SELECT te_fam, count(*) AS n FROM te_copies WHERE te_fam IS NOT NULL GROUP BY 1) SELECT te_fam, greatest(1, CAST(floor(n * 1000.0 / (SELECT sum(n) FROM c)) AS BIGINT)) AS target FROM c")(
-    lambda t, s, d: (lambda c: c.select("te_fam", F.greatest(F.lit(1), F.floor(F.col("n") * 1000.0 / c.agg(F.sum("n")).scalar())).cast("long").alias("target")))(t("te_copies").filter("te_fam is not null").groupBy("te_fam").agg(rows_n()))
-)
+@q("v31_proportional_sizes", """WITH c AS (SELECT te_fam, count(*) AS n FROM te_copies WHERE te_fam IS NOT NULL GROUP BY 1), x AS (SELECT *, n * 1000 % (SELECT sum(n) FROM c) AS left_over, CAST(greatest(1, n * 1000 // (SELECT sum(n) FROM c)) AS BIGINT) AS base FROM c),
+y AS (SELECT *, 1000 - sum(base) OVER () AS rest, row_number() OVER (ORDER BY left_over DESC, te_fam) AS r, row_number() OVER (ORDER BY n DESC, te_fam) AS z FROM x) SELECT te_fam, CAST(greatest(1, base + CASE WHEN rest > 0 AND r <= rest THEN 1 WHEN rest < 0 AND z = 1 THEN rest ELSE 0 END) AS BIGINT) AS target FROM y""")
+def v31(t, spark, d):
+    """Sizes that add up to 1,000 in proportion, one at least: whole parts, then one more for the largest remainders; what the ones cost too much, the largest cluster pays."""
+    c = t("te_copies").filter("te_fam is not null").groupBy("te_fam").agg(rows_n())
+    total = c.agg(F.sum("n")).scalar()
+    x = c.withColumns({"left_over": F.col("n") * 1000 % total, "base": F.greatest(F.lit(1), F.floor(F.col("n") * 1000 / total)).cast("long")})
+    # one row per cluster: ranks over all of them
+    w = lambda *o: F.row_number().over(W.orderBy(*o))
+    y = x.withColumns({"rest": 1000 - x.agg(F.sum("base")).scalar(), "r": w(F.desc("left_over"), "te_fam"), "z": w(F.desc("n"), "te_fam")})
+    more = F.when((F.col("rest") > 0) & (F.col("r") <= F.col("rest")), 1).when((F.col("rest") < 0) & (F.col("z") == 1), F.col("rest")).otherwise(0)
+    return y.select("te_fam", F.greatest(F.lit(1), F.col("base") + more).cast("long").alias("target"))
+
+
 q("v32_medians_by_method", "SELECT method, median(n) AS median_length FROM (SELECT 'rm' AS method, seq_end - seq_begin AS n FROM rm_out UNION ALL SELECT 'te', te_end - te_start FROM te_copies) GROUP BY 1")(lambda t, s, d: t("rm_out").select(F.lit("rm").alias("method"), (F.col("seq_end") - F.col("seq_begin")).alias("n")).union(t("te_copies").select(F.lit("te"), F.col("te_end") - F.col("te_start"))).groupBy("method").agg(F.median("n").alias("median_length")))
-q("v33_type_distribution", "SELECT l.te_class, count(*) AS copies, round(avg(c.te_end - c.te_start), 4) AS mean_length, round(median(c.score), 4) AS median_score FROM te_copies c JOIN te_library l ON l.te_name = c.te_name GROUP BY 1")(
-    lambda t, s, d: t("te_copies").join(t("te_library").select("te_name", F.col("te_class").alias("lc")), "te_name").groupBy(F.col("lc").alias("te_class")).agg(F.count(F.lit(1)).alias("copies"), F.round(F.avg(F.col("te_end") - F.col("te_start")), 4).alias("mean_length"), F.round(F.median("score"), 4).alias("median_score"))
-)
-q("v34_tool_metrics", f"WITH {_PAIRS}, m AS (SELECT string_split(truth, '/')[1] AS truth, string_split(predicted, '/')[1] AS predicted FROM p) SELECT truth, count(*) AS n, round(avg(CASE WHEN truth = predicted THEN 1 ELSE 0 END), 6) AS recall FROM m GROUP BY 1")(
-    lambda t, s, d: _labels(t).select(F.split("truth", "/")[0].alias("truth"), F.split("predicted", "/")[0].alias("predicted")).groupBy("truth").agg(rows_n(), F.round(F.avg(F.when(F.col("truth") == F.col("predicted"), 1).otherwise(0)), 6).alias("recall"))
-)
-q("v36_payload_relabel", "SELECT ordinal, concat_ws(';', genome, chrom, te_start::VARCHAR, te_end::VARCHAR, 'relabelled', strand) AS payload FROM te_copies WHERE genome IS NOT NULL AND chrom IS NOT NULL AND strand IS NOT NULL")(
-    lambda t, s, d: t("te_copies").filter("genome is not null and chrom is not null and strand is not null").select("ordinal", F.concat_ws(";", "genome", "chrom", F.col("te_start").cast("string"), F.col("te_end").cast("string"), F.coalesce("te_class", F.lit("")), "strand").alias("p")).select("ordinal", F.array_join(F.transform(F.split("p", ";"), lambda x, i: F.when(i == 4, F.lit("relabelled")).otherwise(x)), ";").alias("payload"))
-)
+@q("v33_type_distribution", """WITH c AS (SELECT l.te_class, count(*) AS copies, round(avg(c.te_end - c.te_start), 4) AS mean_length, round(median(c.te_end - c.te_start), 4) AS median_length FROM te_copies c JOIN te_library l ON l.te_name = c.te_name GROUP BY 1),
+i AS (SELECT l.te_class, count(*) AS hits, round(avg(100 - r.pct_div), 4) AS mean_identity, round(median(100 - r.pct_div), 4) AS median_identity, CAST(sum(r.seq_end - r.seq_begin + 1) AS BIGINT) AS bases FROM rm_out r JOIN te_library l ON l.te_name = r.ele GROUP BY 1) SELECT te_class, copies, mean_length, median_length, hits, mean_identity, median_identity, bases FROM c FULL JOIN i USING (te_class)""")
+def v33(t, spark, d):
+    """Copies, lengths and identities of each class of the library."""
+    lib = t("te_library").select("te_name", F.col("te_class").alias("lc"))
+    n = F.col("te_end") - F.col("te_start")
+    c = t("te_copies").join(lib, "te_name").groupBy(F.col("lc").alias("te_class")).agg(F.count(F.lit(1)).alias("copies"), F.round(F.avg(n), 4).alias("mean_length"), F.round(F.median(n), 4).alias("median_length"))
+    same = 100 - F.col("pct_div")
+    i = t("rm_out").join(lib, F.col("ele") == F.col("te_name")).groupBy(F.col("lc").alias("te_class")).agg(F.count(F.lit(1)).alias("hits"), F.round(F.avg(same), 4).alias("mean_identity"), F.round(F.median(same), 4).alias("median_identity"), F.sum(F.col("seq_end") - F.col("seq_begin") + 1).cast("long").alias("bases"))
+    return c.join(i, "te_class", "full")
+
+
+_TOOLS = """p AS (SELECT 'hits' AS tool, l.te_class AS truth, coalesce(nullif(replace(trim(r.ele_class), '?', ''), ''), 'Unknown') AS predicted FROM rm_out r JOIN te_library l ON l.te_name = r.ele
+UNION ALL SELECT 'copies', l.te_class, coalesce(c.te_class || CASE WHEN c.te_fam IS NULL OR c.te_fam = c.te_class THEN '' ELSE '/' || c.te_fam END, 'Unknown') FROM te_copies c JOIN te_library l ON l.te_name = c.te_name),
+m AS (SELECT tool, coalesce(string_split(truth, '/')[1], 'Unknown') AS truth, coalesce(string_split(predicted, '/')[1], 'Unknown') AS predicted FROM p),
+l AS (SELECT DISTINCT tool, label FROM (SELECT tool, truth AS label FROM m UNION ALL SELECT tool, predicted FROM m)), c AS (SELECT l.tool, label, count(*) FILTER (truth = label AND predicted = label) AS tp, count(*) FILTER (truth = label) AS actual, count(*) FILTER (predicted = label) AS called FROM l JOIN m ON m.tool = l.tool AND (truth = label OR predicted = label) GROUP BY 1, 2),
+f AS (SELECT *, coalesce(tp::DOUBLE / nullif(called, 0), 0) AS pr, coalesce(tp::DOUBLE / nullif(actual, 0), 0) AS re FROM c)"""
+
+
+@q("v34_tool_metrics", f"WITH {_TOOLS} SELECT tool, round(sum(tp)::DOUBLE / sum(actual), 6) AS accuracy, round(avg(pr), 6) AS macro_precision, round(avg(re), 6) AS macro_recall, round(avg(coalesce(2 * pr * re / nullif(pr + re, 0), 0)), 6) AS macro_f1 FROM f GROUP BY 1")
+def v34(t, spark, d):
+    """Labels of two tools, mapped to their first level, against the library's: accuracy and macro precision, recall and F1 of each tool."""
+    lib = t("te_library").select("te_name", F.col("te_class").alias("truth"))
+    c = F.coalesce(F.nullif(F.replace(F.trim("ele_class"), F.lit("?"), F.lit("")), F.lit("")), F.lit("Unknown"))
+    a = t("rm_out").join(lib, F.col("ele") == F.col("te_name")).select("truth", c.alias("predicted"))
+    b = t("te_copies").join(lib, "te_name").select("truth", F.coalesce("te_class", F.lit("Unknown")).alias("predicted"))
+    first = lambda x: F.coalesce(F.split(x, "/")[0], F.lit("Unknown")).alias(x)
+    one = lambda x, tool: evaluation.macro(evaluation.per_class(evaluation.confusion(x.select(first("truth"), first("predicted"))))).select(F.lit(tool).alias("tool"), "*")
+    return one(a, "hits").unionByName(one(b, "copies"))
+
+
+@q("v36_payload_relabel", "WITH r AS (SELECT ordinal, [coalesce(sw_score::VARCHAR, 'NA'), coalesce(strand, 'NA'), coalesce(seq_name, 'NA'), coalesce(seq_begin::VARCHAR, 'NA'), coalesce(seq_end::VARCHAR, 'NA'), coalesce(left_bp, 'NA'), coalesce(c1, 'NA'), coalesce(c2, 'NA'), coalesce(c3, 'NA'), coalesce(ele, 'NA')] AS f, ele, ele_class FROM rm_out) SELECT r.ordinal, array_to_string(list_append(f, coalesce(l.te_class, ele_class, 'Unknown')), ';') AS payload FROM r LEFT JOIN te_library l ON l.te_name = r.ele")
+def v36(t, spark, d):
+    """Payloads of annotation rows, whose eleventh field, the class, gives way to the library's."""
+    z = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("NA"))
+    names = ["sw_score", "strand", "seq_name", "seq_begin", "seq_end", "left_bp", "c1", "c2", "c3", "ele", "ele_class"]
+    p = t("rm_out").select("ordinal", "ele", "ele_class", F.concat_ws(";", *[z(n) for n in names]).alias("payload"))
+    lib = t("te_library").select(F.col("te_name").alias("ele"), "te_class")
+    x = p.join(lib, "ele", "left")
+    new = F.coalesce("te_class", "ele_class", F.lit("Unknown"))
+    return x.select("ordinal", F.array_join(F.transform(F.split("payload", ";"), lambda f, i: F.when(i == 10, new).otherwise(f)), ";").alias("payload"))

@@ -320,10 +320,18 @@ def v23(spark, d):
     return iv.overlap_join(h, t, ["chrom"], "w0", "w1", "t_s", "t_s2").select(F.col("h_id").alias("head"), F.col("t_id").alias("tail"))
 
 
-@query("v35_label_transfer", "WITH r AS (SELECT trim(ele) AS ele, nullif(replace(trim(ele_class), '?', ''), '') AS c, sum(seq_end - seq_begin + 1) AS n FROM rm_out WHERE trim(ele) <> '' GROUP BY 1, 2), b AS (SELECT ele, (list(c ORDER BY n DESC, c) FILTER (c IS NOT NULL))[1] AS best, max(n) FILTER (c IS NOT NULL) AS top, sum(n) AS total FROM r GROUP BY 1) SELECT ele, CASE WHEN top >= 0.8 * total THEN best ELSE 'Unknown' END AS label FROM b")
+@query("v35_label_transfer", """WITH x AS (SELECT trim(ele) AS ele, nullif(replace(trim(ele_class), '?', ''), '') AS label, strand, try_cast(regexp_replace(c1, '[()]', '', 'g') AS BIGINT) AS a, try_cast(regexp_replace(c2, '[()]', '', 'g') AS BIGINT) AS b, try_cast(regexp_replace(c3, '[()]', '', 'g') AS BIGINT) AS c FROM rm_out WHERE trim(ele) <> ''),
+y AS (SELECT ele, label, CASE WHEN strand = '+' THEN b + c ELSE b + a END AS len, CASE WHEN strand = '+' THEN a ELSE c END AS s, b AS e FROM x), z AS (SELECT * FROM y WHERE s <= e AND len > 0), n AS (SELECT ele, max(len) AS len FROM z GROUP BY 1),
+m AS (SELECT *, max(e) OVER (PARTITION BY ele, label ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM (SELECT DISTINCT ele, label, s, e FROM z WHERE label IS NOT NULL) q),
+r AS (SELECT ele, label, sum(CASE WHEN pe IS NULL OR s > pe THEN e - s + 1 WHEN e <= pe THEN 0 ELSE e - pe END) AS covered FROM m GROUP BY 1, 2), t AS (SELECT ele, label, covered, row_number() OVER (PARTITION BY ele ORDER BY covered DESC, label) AS k FROM r)
+SELECT n.ele, round(t.covered::DOUBLE / n.len, 6) AS ratio, CASE WHEN t.covered >= 0.8::DOUBLE * n.len THEN t.label ELSE 'Unknown' END AS label FROM n LEFT JOIN t ON t.ele = n.ele AND t.k = 1""")
 def v35(spark, d):
-    """Class that holds 80 % or more of a family's bases."""
-    r = table(spark, d, "rm_out").filter("trim(ele) <> ''").groupBy(F.trim("ele").alias("ele"), F.nullif(F.replace(F.trim("ele_class"), F.lit("?"), F.lit("")), F.lit("")).alias("c")).agg(F.sum(F.col("seq_end") - F.col("seq_begin") + 1).alias("n"))
-    known = F.col("c").isNotNull()
-    b = r.groupBy("ele").agg(F.min_by("c", F.when(known, F.struct(-F.col("n"), "c"))).alias("best"), F.max(F.when(known, F.col("n"))).alias("top"), F.sum("n").alias("total"))
-    return b.select("ele", F.when(F.col("top") >= 0.8 * F.col("total"), F.col("best")).otherwise("Unknown").alias("label"))
+    """Label of each name: the class whose hits, merged in positions of the name, cover most of it, if that is 80 %."""
+    x = table(spark, d, "rm_out").withColumn("label", F.nullif(F.replace(F.trim("ele_class"), F.lit("?"), F.lit("")), F.lit("")))
+    bare = lambda c: F.regexp_replace(c, "[()]", "").try_cast("long")
+    plus = F.col("strand") == "+"
+    z = x.filter("trim(ele) <> ''").select(F.trim("ele").alias("ele"), "label", F.when(plus, bare("c2") + bare("c3")).otherwise(bare("c2") + bare("c1")).alias("len"), F.when(plus, bare("c1")).otherwise(bare("c3")).alias("s"), bare("c2").alias("e")).filter("s <= e and len > 0")
+    n = z.groupBy("ele").agg(F.max("len").alias("len"))
+    best = iv.covered_bases(z, ["ele", "label"], "s", "e").groupBy("ele").agg(F.min_by(F.struct("label", "covered"), F.struct(-F.col("covered"), "label")).alias("x"))
+    j = n.join(best, "ele", "left")
+    return j.select("ele", F.round(F.col("x.covered") / F.col("len"), 6).alias("ratio"), F.when(F.col("x.covered") >= 0.8 * F.col("len"), F.col("x.label")).otherwise("Unknown").alias("label"))

@@ -385,11 +385,15 @@ def g1(spark, d):
 
 
 @query("chain_g2_longest")
-def g2(spark, d):
+def g2(spark, d, t: float = 0.3):
     """Hits that lie close together (under half of the query length on the subject) are one cluster; of the chains of a cluster the longest
 
-    counts, if it covers 80 % of the query; of each query the longest 101 places stay.
+    counts, if it covers ``t`` of the query; of each query the longest 101 places stay.
     """
+    return _longest_of_clusters(spark, d, t)
+
+
+def _longest_of_clusters(spark, d, cover: float):
     t = hits(spark, d).withColumn("gap", F.floor(F.col("q_len") * 0.5).cast("long")).withColumns({"lo": F.least("s_start", "s_end"), "hi": F.greatest("s_start", "s_end"), "plus": F.col("s_start") <= F.col("s_end")})
     n = t.groupBy("query").agg(F.max("q_len").alias("q_len"))
     # close: each hit reaches half of the query length further
@@ -398,7 +402,7 @@ def g2(spark, d):
     c = chains.chain_hits(t, "gap", all_compatible=True).withColumnRenamed("forward", "plus").withColumns({"lo": F.least("s_start", "s_end"), "hi": F.greatest("s_start", "s_end")})
     c = iv.overlap_join(c, spans, ["query", "subject", "plus"], "lo", "hi", "c_start", "c_end").join(n, "query")
     best = c.groupBy("query", "subject", "plus", "c_start").agg(F.max_by(F.struct("q_start", "q_end", "s_start", "s_end", "n_hits", "q_len"), F.struct(F.col("q_end") - F.col("q_start"), F.col("hi") - F.col("lo"), -F.col("lo"), -F.col("q_start"))).alias("x"))
-    best = best.select("query", "subject", F.col("plus").alias("forward"), "x.*").filter("q_end - q_start + 1 >= 0.8 * q_len").drop("q_len")
+    best = best.select("query", "subject", F.col("plus").alias("forward"), "x.*").filter(F.col("q_end") - F.col("q_start") + 1 >= cover * F.col("q_len")).drop("q_len")
     w = W.partitionBy("query").orderBy(F.desc(F.abs(F.col("s_end") - F.col("s_start"))), "subject", "s_start", "s_end", "q_start", "q_end")
     return best.withColumn("rank", F.row_number().over(w)).filter("rank <= 101")
 
@@ -413,6 +417,12 @@ def g3(spark, d, t: float = 0.95):
     return c.filter((q >= t * F.col("q_len")) & (F.least(q, s) >= t * F.greatest(q, s))).drop("q_len")
 
 
+@query("chain_g3_share_of_length")
+def g3_share(spark, d):
+    """The same for chains of 30 %, of which these hits have some."""
+    return g3(spark, d, 0.3)
+
+
 @query("chain_g6_fixed_gap")
 def g6(spark, d):
     return chains.chain_hits(hits(spark, d).withColumn("gap", F.lit(200).cast("long")), "gap", all_compatible=False)
