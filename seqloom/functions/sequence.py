@@ -100,10 +100,10 @@ def motif_position(seq, motif: str) -> Column:
     return F.regexp_instr(_c(seq), F.lit(f"({motif_pattern(motif)})")) - 1
 
 
-def shared_site(left, right) -> Column:
-    """First word of six, then five, then four letters of ``right`` that also occurs in ``left``; null without one."""
+def shared_site(left, right, lengths=(6, 5, 4)) -> Column:
+    """First word of six, then five, then four letters (or of other lengths) of ``right`` that also occurs in ``left``; null without one."""
     pick = lambda k: F.get(F.filter(words(right, k), lambda w: ~F.contains(w, F.lit("N")) & F.array_contains(words(left, k), w)), F.lit(0))
-    return F.coalesce(pick(6), pick(5), pick(4))
+    return F.coalesce(*[pick(k) for k in lengths])
 
 
 def tail_run_end(seq, base: str, n: int = 6) -> Column:
@@ -168,3 +168,23 @@ def aligned_site(row, start, end, lengths=range(11, 1, -1)) -> Column:
         same = (a == b) if n < 8 else (mismatches(a, b) <= 1)
         found.append(F.when((F.length(a) == n) & (F.length(b) == n) & same, a))
     return F.coalesce(*found)
+
+
+def terminal_split(header, seq, most: int = 60) -> tuple[Column, Column]:
+    """Terminal and internal part by the positions in a header: ``LTR:a-b,c-d`` or ``TIR:a-b,d-c``.
+
+    The terminal part is the left one; of an inverted repeat ``most`` letters of it. The internal part lies
+    between both. Without positions the terminal part is empty and the internal one is all.
+    """
+    at = lambda kind, i: F.regexp_extract(_c(header), rf"{kind}:(\d+)-(\d+),(\d+)-(\d+)", i).try_cast("int")
+    a, b, c, d = (F.coalesce(at("LTR", i), at("TIR", i)) for i in (1, 2, 3, 4))
+    left = slice_closed(seq, a, b)
+    terminal = F.when(at("LTR", 1).isNotNull(), left).when(a.isNotNull(), F.left(left, F.lit(most))).otherwise("")
+    return terminal, F.when(a.isNotNull(), slice_closed(seq, b + 1, F.least(c, d) - 1)).otherwise(_c(seq))
+
+
+def tandem_share(seq, unit: int = 6, times: int = 5) -> Column:
+    """Share of the letters in runs of a unit of up to ``unit`` letters, ``times`` times or more; null for an empty text."""
+    s = _c(seq)
+    rest = F.regexp_replace(s, f"([ACGT]{{1,{unit}}}?)\\1{{{times - 1},}}", "")
+    return F.when(F.length(s) > 0, 1 - F.length(rest) / F.length(s))

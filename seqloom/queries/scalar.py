@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.functions import search
+from seqloom.functions import kmers, search
 from seqloom.functions import sequence as sq
 from seqloom.operators.running import numbered
 from seqloom.queries.registry import registry
 from seqloom.session import table
+from seqloom.sources import lines as ln
 
 QUERIES, SQL, query = registry()
 
@@ -88,17 +89,6 @@ def vocabulary(k: int, letters: str = "AGCT") -> list[str]:
     return out
 
 
-def word_counts(t: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
-    return t.select(id_col, F.explode(sq.words(seq, k)).alias("w")).groupBy(id_col, "w").agg(F.count(F.lit(1)).alias("n"))
-
-
-def count_vector(t: DataFrame, id_col: str, seq: str, words: list[str], k: int, name: str = "vec") -> DataFrame:
-    """Counts of the words of a vocabulary per row; words outside it are ignored, rows without any have zeros."""
-    counts = word_counts(t, id_col, seq, k).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("m"))
-    vec = F.array(*[F.coalesce(F.try_element_at("m", F.lit(w)), F.lit(0)).cast("long") for w in words])
-    return t.select(id_col).join(counts, id_col, "left").select(id_col, vec.alias(name))
-
-
 @query("fn_f6_words", _K + " SELECT w, count(*) AS n FROM k GROUP BY w")
 def fn_f6(spark, d):
     return seqs(spark, d).select(F.explode(sq.words("q", 3)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
@@ -111,13 +101,18 @@ def fn_f7(spark, d):
 
 @query("fn_f8_count_vector", f"{_K}, {_V}, g AS (SELECT seq_id, w, count(*) AS n FROM k GROUP BY ALL) SELECT s.seq_id, list(coalesce(g.n, 0) ORDER BY v.word_no) AS vec FROM s CROSS JOIN v LEFT JOIN g ON g.seq_id = s.seq_id AND g.w = v.w GROUP BY s.seq_id")
 def fn_f8(spark, d):
-    return count_vector(seqs(spark, d), "seq_id", "q", vocabulary(3), 3)
+    return seqs(spark, d).select("seq_id", kmers.count_vector("q", 3).alias("vec"))
+
+
+_GAPPED = " UNION ALL ".join(f"SELECT seq_id, {k} AS k, unnest(list_transform(range(1, length(q) - {k - 2}), lambda i: translate(substr(q, i, {k}), 'N', '-'))) AS w FROM s WHERE length(q) >= {k}" for k in (3, 4, 5))
 
 
-@query("fn_f9_gapped_counts", f"WITH {_S}, k AS (SELECT seq_id, unnest(list_transform(range(1, length(q) - 1), lambda i: translate(substr(q, i, 3), 'N', '-'))) AS w FROM s WHERE length(q) >= 3) SELECT w, count(*) AS n FROM k WHERE w <> '---' AND regexp_full_match(w, '[ACGT-]+') GROUP BY w")
+@query("fn_f9_gapped_counts", f"WITH {_S}, a AS (SELECT seq_id, unnest([3, 4, 5]) AS k FROM s), w AS ({_GAPPED}), n AS (SELECT seq_id, k, w, count(*) AS n FROM w WHERE replace(w, '-', '') <> '' AND regexp_full_match(w, '[ACGT-]+') GROUP BY ALL) SELECT a.seq_id, a.k, coalesce(list(w ORDER BY w) FILTER (w IS NOT NULL), []) AS words, coalesce(list(n ORDER BY w) FILTER (w IS NOT NULL), []) AS counts FROM a LEFT JOIN n USING (seq_id, k) GROUP BY 1, 2")
 def fn_f9(spark, d):
-    t = seqs(spark, d).select(F.explode(sq.words(F.translate("q", "N", "-"), 3)).alias("w"))
-    return t.filter("w <> '---' and w rlike '^[ACGT-]+$'").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    """Words of three, four and five letters or gaps of each sequence, with their counts; a word of gaps only does not count."""
+    t = seqs(spark, d).withColumn("row", F.translate("q", "N", "-"))
+    parts = [t.select("seq_id", F.lit(k).alias("k"), kmers.gapped_words("row", k).alias("g")).select("seq_id", "k", "g.words", "g.counts") for k in (3, 4, 5)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 _TSD = "nullif(upper(replace(tsd, 'TSD:', '')), 'NA')"
@@ -138,18 +133,58 @@ def fn_f12(spark, d):
     return table(spark, d, "te_library").select("te_name", sq.multi_hot(F.split("te_class", "/"), CLASSES).alias("flags"))
 
 
-@query("fn_f13_features", f"{_K}, {_V}, g AS (SELECT seq_id, w, count(*) AS n FROM k GROUP BY ALL), c AS (SELECT s.seq_id, any_value(s.q) AS q, list(coalesce(g.n, 0) ORDER BY v.word_no) AS vec FROM s CROSS JOIN v LEFT JOIN g ON g.seq_id = s.seq_id AND g.w = v.w GROUP BY s.seq_id) SELECT seq_id, list_concat(vec, list_transform(range(0, 40), lambda i: CASE WHEN substr(left(q, 5) || right(q, 5), 1 + i // 4, 1) = substr('ATCG', 1 + i % 4, 1) THEN 1 ELSE 0 END)) AS features FROM c")
+# headers with the positions of long terminal repeats, of inverted repeats, or without any, by number
+_HEAD = "h AS (SELECT seq_id, q, CASE seq_id % 3 WHEN 0 THEN chr(9) || 'LTR:1-' || length(q) // 10 || ',' || (length(q) - length(q) // 10 + 1) || '-' || length(q) WHEN 1 THEN chr(9) || 'TIR:1-' || length(q) // 5 || ',' || length(q) || '-' || (length(q) - length(q) // 5 + 1) ELSE '' END AS header FROM s WHERE length(q) >= 20), t AS (SELECT seq_id, q, CASE seq_id % 3 WHEN 0 THEN left(q, length(q) // 10) WHEN 1 THEN left(left(q, length(q) // 5), 60) ELSE '' END AS terminal, CASE seq_id % 3 WHEN 0 THEN substr(q, length(q) // 10 + 1, length(q) - 2 * (length(q) // 10)) WHEN 1 THEN substr(q, length(q) // 5 + 1, length(q) - 2 * (length(q) // 5)) ELSE q END AS internal FROM h)"
+
+
+def _split(spark, d) -> DataFrame:
+    t = seqs(spark, d).filter(F.length("q") >= 20)
+    n, part = F.length("q"), lambda k: F.floor(F.length("q") / k).cast("int")
+    pos = lambda kind, k, flip: F.concat(F.lit(f"\t{kind}:1-"), part(k), F.lit(","), *((n, F.lit("-"), n - part(k) + 1) if flip else (n - part(k) + 1, F.lit("-"), n)))
+    header = F.when(F.col("seq_id") % 3 == 0, pos("LTR", 10, False)).when(F.col("seq_id") % 3 == 1, pos("TIR", 5, True)).otherwise("")
+    terminal, internal = sq.terminal_split("header", "q")
+    return t.withColumn("header", header).select("seq_id", "q", terminal.alias("terminal"), internal.alias("internal"))
+
+
+#: Blocks of a feature vector: words of the internal part, words of the terminal part, both ends, site, classes.
+INTERNAL_K, TERMINAL_K, END_LETTERS, SITE_LETTERS = (2, 3), (2,), 5, 15
+
+
+def feature_length() -> int:
+    """Length of the vector: 4 to the power of each word length, four flags per letter of both ends and of the site, its length, and one flag per class."""
+    return sum(4**k for k in (*INTERNAL_K, *TERMINAL_K)) + 8 * END_LETTERS + 1 + 4 * SITE_LETTERS + len(CLASSES)
+
+
+def _vec_sql(part: str, k: int, name: str) -> str:
+    letters = "(VALUES ('A', 0), ('G', 1), ('C', 2), ('T', 3))"
+    voc = f"SELECT {' || '.join(f'x{i}.c' for i in range(k))} AS w, row_number() OVER (ORDER BY {', '.join(f'x{i}.i' for i in range(k))}) AS no FROM {', '.join(f'{letters} x{i}(c, i)' for i in range(k))}"
+    return f"""{name}v AS ({voc}), {name}g AS (SELECT seq_id, w, count(*) AS n FROM (SELECT seq_id, unnest(list_transform(range(1, length({part}) - {k - 2}), lambda i: substr({part}, i, {k}))) AS w FROM t WHERE length({part}) >= {k}) GROUP BY ALL),
+{name} AS (SELECT t.seq_id, list(coalesce(g.n, 0) ORDER BY v.no) AS vec FROM t CROSS JOIN {name}v v LEFT JOIN {name}g g ON g.seq_id = t.seq_id AND g.w = v.w GROUP BY 1)"""
+
+
+@query(
+    "fn_f13_features",
+    f"""WITH {_S}, {_HEAD}, {_vec_sql('internal', 2, 'i2')}, {_vec_sql('internal', 3, 'i3')}, {_vec_sql('terminal', 2, 't2')},
+z AS (SELECT ltr_id AS seq_id, min(nullif(upper(replace(tsd, 'TSD:', '')), 'NA')) AS site FROM ltr_intact GROUP BY 1), c AS (SELECT copy_id AS seq_id, min(te_class) AS cls FROM te_copies GROUP BY 1)
+SELECT t.seq_id, list_concat(list_concat(list_concat(i2.vec, i3.vec), t2.vec), list_concat(list_transform(range(0, 40), lambda i: CASE WHEN substr(left(q, 5) || right(q, 5), 1 + i // 4, 1) = substr('ATCG', 1 + i % 4, 1) THEN 1 ELSE 0 END),
+ list_concat(CASE WHEN site IS NULL OR contains(site, 'N') OR site = '' THEN list_concat([16], list_transform(range(0, 60), lambda i: 1)) ELSE list_concat([length(site)], list_transform(range(0, 60), lambda i: CASE WHEN substr(site, 1 + i // 4, 1) = substr('ATCG', 1 + i % 4, 1) THEN 1 ELSE 0 END)) END,
+ list_transform([{', '.join(f"'{c}'" for c in CLASSES)}], lambda x: CASE WHEN cls = x THEN 1 ELSE 0 END)))) AS features
+FROM t JOIN i2 USING (seq_id) JOIN i3 USING (seq_id) JOIN t2 USING (seq_id) LEFT JOIN z USING (seq_id) LEFT JOIN c USING (seq_id)""",
+)
 def fn_f13(spark, d):
-    t = seqs(spark, d)
-    v = count_vector(t, "seq_id", "q", vocabulary(3), 3)
-    return v.join(t, "seq_id").select("seq_id", F.concat("vec", sq.one_hot(sq.ends("q", 5), 10).cast("array<bigint>")).alias("features"))
+    """All blocks of the feature vector of each sequence. The site and class of number n are those of element n and copy n."""
+    site = table(spark, d, "ltr_intact").groupBy(F.col("ltr_id").alias("seq_id")).agg(F.min(F.nullif(F.upper(F.replace("tsd", F.lit("TSD:"), F.lit(""))), F.lit("NA"))).alias("site"))
+    cls = table(spark, d, "te_copies").groupBy(F.col("copy_id").alias("seq_id")).agg(F.min("te_class").alias("cls"))
+    t = _split(spark, d).join(site, "seq_id", "left").join(cls, "seq_id", "left")
+    flags = F.array(*[F.coalesce((F.col("cls") == c).cast("int"), F.lit(0)) for c in CLASSES])
+    blocks = [*[kmers.count_vector("internal", k) for k in INTERNAL_K], *[kmers.count_vector("terminal", k) for k in TERMINAL_K], sq.one_hot(sq.ends("q", END_LETTERS), 2 * END_LETTERS), sq.one_hot_site("site", SITE_LETTERS), flags]
+    return t.select("seq_id", F.concat(*[b.cast("array<bigint>") for b in blocks]).alias("features"))
 
 
-@query("fn_f14_terminal_split", f"WITH {_S} SELECT seq_id, substr(q, 1, 60) AS terminal, substr(q, 101, greatest(length(q) - 200, 0)) AS internal FROM s WHERE length(q) > 200")
+@query("fn_f14_terminal_split", f"WITH {_S}, {_HEAD} SELECT seq_id, terminal, internal FROM t")
 def fn_f14(spark, d):
-    """Left repeat of 100 letters, of which 60 are kept, and what lies between both repeats."""
-    t = seqs(spark, d).filter(F.length("q") > 200)
-    return t.select("seq_id", F.left(sq.slice_closed("q", F.lit(1), F.lit(100)), F.lit(60)).alias("terminal"), sq.slice_closed("q", F.lit(101), F.length("q") - 100).alias("internal"))
+    """Terminal and internal part by the positions in the header: long terminal repeats, inverted ones (60 letters), or none."""
+    return _split(spark, d).select("seq_id", "terminal", "internal")
 
 
 @query("fn_f15_mismatch", f"WITH {_S}, p AS (SELECT seq_id, list_sum(list_transform(range(1, 9), lambda i: CASE WHEN substr(q, i, 1) <> substr(q, i + 8, 1) THEN 1 ELSE 0 END)) AS n FROM s WHERE length(q) >= 16) SELECT seq_id, CAST(n AS INTEGER) AS n, n <= 4 AS near FROM p")
@@ -305,7 +340,6 @@ def _filter(name: str, t: str, cond: str, cols: str, spark_cond: str | None = No
 _filter("flt_p1_min_length", "te_copies", "te_end - te_start >= 80", "copy_id, te_name")
 _filter("flt_p2_type_gate", "te_copies", "te_class IN ('LTR', 'LINE', 'SINE')", "copy_id, te_class")
 _filter("flt_p3_category", "rm_out", "contains(ele || '#' || ele_class, 'LTR/Gypsy')", "ann_id, ele", "contains(concat(ele, '#', ele_class), 'LTR/Gypsy')")
-_filter("flt_p4_significance", "rm_out", "sw_score >= 1000", "ann_id, sw_score")
 _filter("flt_p5_not_tg_ca", "ltr_intact", "NOT (starts_with(replace(motif, 'motif:', ''), 'TG') AND ends_with(motif, 'CA'))", "ltr_id, motif", "not (startswith(replace(motif, 'motif:', ''), 'TG') and endswith(motif, 'CA'))")
 _filter("flt_p11_class_blacklist", "te_copies", "NOT regexp_matches(te_fam, 'Low_complexity|Simple_repeat|rRNA|scRNA|snRNA|srpRNA|tRNA')", "copy_id, te_fam", "not (te_fam rlike 'Low_complexity|Simple_repeat|rRNA|scRNA|snRNA|srpRNA|tRNA')")
 _filter("flt_p12_divergence", "rm_out", "pct_div BETWEEN 0 AND 20", "ann_id, pct_div")
@@ -314,6 +348,18 @@ _filter("v28_tag_blacklist", "te_library", "te_class NOT IN ('Satellite', 'rRNA'
 _filter("v30_non_autonomous", "te_library", "regexp_matches(te_name, '_v[0-9]+$') AND te_class IN ('DNA/hAT', 'DNA/TcMar', 'DNA/Mutator', 'LTR/Copia', 'LTR/Gypsy')", "te_name, te_class", "te_name rlike '_v[0-9]+$' and te_class in ('DNA/hAT', 'DNA/TcMar', 'DNA/Mutator', 'LTR/Copia', 'LTR/Gypsy')")
 
 
+for _name, _power in (("flt_p4_significance", 20), ("flt_p4_significance_weak", 3)):
+
+    @query(_name, f"SELECT ann_id, CAST(sw_score // 50 AS INTEGER) AS power FROM rm_out WHERE sw_score // 50 >= {_power}")
+    def flt_p4(spark, d, power=_power):
+        """Hits of a BLAST table by E-value: at most 1e-20 (1e-3). The table is written with one power of ten per 50 points of score and read back."""
+        t = table(spark, d, "rm_out").filter("sw_score is not null")
+        p = F.floor(F.col("sw_score") / 50).cast("int").cast("string")
+        cols = [F.col("ann_id").cast("string"), p, F.lit("95.0"), *[F.lit("1")] * 7, F.concat(F.lit("1e-"), p), F.lit("99")]
+        got = ln.parse_table(ln.read_lines(spark, ln.write_lines(t.select(F.concat_ws("\t", *cols).alias("value")), ln.scratch(spark, "blast"))), ln.BLAST)
+        return got.filter(F.col("evalue") <= float(f"1e-{power}")).select(F.col("query").cast("long").alias("ann_id"), F.col("subject").cast("int").alias("power"))
+
+
 @query("flt_p6_copy_threshold", "WITH c AS (SELECT te_name, any_value(te_class) AS x, count(*) AS n FROM (SELECT trim(te_name) AS te_name, min(te_class) OVER (PARTITION BY trim(te_name)) AS te_class FROM te_copies) GROUP BY 1) SELECT te_name, n FROM c WHERE te_name <> '' AND n > CASE WHEN x = 'RC' THEN 2 ELSE 5 END")
 def flt_p6(spark, d):
     """Families with more than five copies, of rolling-circle elements more than two."""
@@ -326,10 +372,11 @@ def flt_p7(spark, d):
     return seqs(spark, d).filter(F.length("q") < 1000).select("seq_id", F.length("q").alias("n"))
 
 
-@query("flt_p8_clean_up", f"WITH {_S} SELECT seq_id FROM s WHERE length(q) >= 80 AND NOT regexp_full_match(q, 'N+') AND length(q) - length(replace(q, 'N', '')) < 0.2 * length(q)")
+@query("flt_p8_clean_up")
 def flt_p8(spark, d):
+    """Sequences of 80 letters or more, with under 20 % unknown ones and no more than half in tandem repeats (back-references: no SQL)."""
     n = F.length("q") - F.length(F.replace("q", F.lit("N"), F.lit("")))
-    return seqs(spark, d).filter((F.length("q") >= 80) & ~F.col("q").rlike("^N+$") & (n < 0.2 * F.length("q"))).select("seq_id")
+    return seqs(spark, d).filter((F.length("q") >= 80) & (n < 0.2 * F.length("q"))).filter(sq.tandem_share("q") <= 0.5).select("seq_id")
 
 
 @query("flt_p9_copy_split", "SELECT te_name, count(*) AS n, CASE WHEN count(*) >= 5 THEN 'high' ELSE 'low' END AS side FROM te_copies WHERE te_name IS NOT NULL GROUP BY 1")
@@ -338,19 +385,30 @@ def flt_p9(spark, d):
     return g.withColumn("side", F.when(F.col("n") >= 5, "high").otherwise("low"))
 
 
-@query("flt_p13_override", "WITH h AS (SELECT copy_id, CASE WHEN score % 3 = 0 THEN 0 ELSE 1 END AS homology FROM te_copies WHERE score IS NOT NULL AND copy_id % 2 = 0) SELECT c.ordinal, CASE WHEN h.homology = 0 THEN 0 ELSE CASE WHEN c.strand = '+' THEN 1 ELSE 0 END END AS verdict FROM te_copies c LEFT JOIN (SELECT copy_id, min(homology) AS homology FROM h GROUP BY 1) h USING (copy_id)")
+@query("flt_p13_override", """WITH m AS (SELECT copy_id, min(CASE WHEN strand = '+' THEN 1 ELSE 0 END) AS model FROM te_copies WHERE strand IS NOT NULL GROUP BY 1), h AS (SELECT copy_id, min(CASE WHEN score % 3 = 0 THEN 0 ELSE 1 END) AS homology FROM te_copies WHERE score IS NOT NULL GROUP BY 1)
+SELECT copy_id, CASE WHEN homology = 0 THEN 0 ELSE coalesce(model, homology) END AS verdict FROM m FULL JOIN h USING (copy_id)""")
 def flt_p13(spark, d):
-    """A model's verdict stands unless homology says 0."""
+    """A model's verdict stands unless homology says 0; where one side has none, the other's counts."""
     t = table(spark, d, "te_copies")
-    h = t.filter("score is not null and copy_id % 2 = 0").groupBy("copy_id").agg(F.min(F.when(F.col("score") % 3 == 0, 0).otherwise(1)).alias("homology"))
-    model = F.when(F.col("strand") == "+", 1).otherwise(0)
-    return t.join(h, "copy_id", "left").select("ordinal", F.when(F.col("homology") == 0, 0).otherwise(model).alias("verdict"))
+    m = t.filter("strand is not null").groupBy("copy_id").agg(F.min(F.when(F.col("strand") == "+", 1).otherwise(0)).alias("model"))
+    h = t.filter("score is not null").groupBy("copy_id").agg(F.min(F.when(F.col("score") % 3 == 0, 0).otherwise(1)).alias("homology"))
+    return m.join(h, "copy_id", "full").select("copy_id", F.when(F.col("homology") == 0, 0).otherwise(F.coalesce("model", "homology")).alias("verdict"))
 
 
-@query("flt_p14_rescue", "WITH c AS (SELECT trim(te_name) AS te_name, count(DISTINCT copy_id) AS n FROM te_copies GROUP BY 1) SELECT l.te_name, coalesce(c.n, 0) AS n, concat_ws('|', CASE WHEN coalesce(c.n, 0) >= 2 THEN 'copies' END, CASE WHEN l.wicker IS NOT NULL THEN 'code' END, CASE WHEN l.curated THEN 'curated' END) AS reasons FROM te_library l LEFT JOIN c USING (te_name) WHERE coalesce(c.n, 0) >= 2 OR (l.wicker IS NOT NULL AND coalesce(l.curated, false))")
+@query("flt_p14_rescue", """WITH c AS (SELECT trim(te_name) AS te_name, count(DISTINCT copy_id) AS n FROM te_copies WHERE trim(te_name) <> '' GROUP BY 1),
+r AS (SELECT trim(ele) AS te_name, bool_or(starts_with(ele_class, 'LTR/')) AS own, bool_or(starts_with(ele_class, 'DNA/') OR starts_with(ele_class, 'LINE/')) AS other FROM rm_out WHERE trim(ele) <> '' GROUP BY 1),
+s AS (SELECT ltr_id AS ordinal, bool_or(coalesce(tsd, 'TSD:NA') <> 'TSD:NA') AS site FROM ltr_intact GROUP BY 1),
+x AS (SELECT l.te_name, coalesce(c.n, 0) AS n, coalesce(own, false) AS own, coalesce(other, false) AS other, coalesce(site, false) AS site FROM te_library l LEFT JOIN c USING (te_name) LEFT JOIN r USING (te_name) LEFT JOIN s ON s.ordinal = l.ordinal)
+SELECT te_name, n, concat_ws('|', CASE WHEN n >= 2 THEN 'copies' END, CASE WHEN own THEN 'protein' END, CASE WHEN site THEN 'site' END, CASE WHEN NOT other THEN 'no other protein' END) AS reasons FROM x WHERE n >= 2 OR (own AND site AND NOT other)""")
 def flt_p14(spark, d):
-    """Families kept for their copies, or without enough of them for both other signs; with the reasons."""
-    c = table(spark, d, "te_copies").groupBy(F.trim("te_name").alias("te_name")).agg(F.count_distinct("copy_id").alias("n"))
-    t = table(spark, d, "te_library").join(c, "te_name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    signs = F.concat_ws("|", F.when(F.col("n") >= 2, "copies"), F.when(F.col("wicker").isNotNull(), "code"), F.when(F.col("curated"), "curated"))
-    return t.filter((F.col("n") >= 2) | (F.col("wicker").isNotNull() & F.coalesce("curated", F.lit(False)))).select("te_name", "n", signs.alias("reasons"))
+    """Families kept for two copies or more, else for a protein of their own, a duplicated site and no other protein; with all signs.
+
+    Proteins are told by the classes of a family's hits; the site of library entry n is that of element n.
+    """
+    c = table(spark, d, "te_copies").filter("trim(te_name) <> ''").groupBy(F.trim("te_name").alias("te_name")).agg(F.count_distinct("copy_id").alias("n"))
+    has = lambda *p: F.bool_or(F.coalesce(*[F.when(F.startswith("ele_class", F.lit(x)), True) for x in p], F.lit(False)))
+    r = table(spark, d, "rm_out").filter("trim(ele) <> ''").groupBy(F.trim("ele").alias("te_name")).agg(has("LTR/").alias("own"), has("DNA/", "LINE/").alias("other"))
+    s = table(spark, d, "ltr_intact").groupBy(F.col("ltr_id").alias("ordinal")).agg(F.bool_or(F.coalesce("tsd", F.lit("TSD:NA")) != "TSD:NA").alias("site"))
+    t = table(spark, d, "te_library").select("te_name", "ordinal").join(c, "te_name", "left").join(r, "te_name", "left").join(s, "ordinal", "left").fillna(0, ["n"]).fillna(False, ["own", "other", "site"])
+    signs = F.concat_ws("|", F.when(F.col("n") >= 2, "copies"), F.when(F.col("own"), "protein"), F.when(F.col("site"), "site"), F.when(~F.col("other"), "no other protein"))
+    return t.filter((F.col("n") >= 2) | (F.col("own") & F.col("site") & ~F.col("other"))).select("te_name", "n", signs.alias("reasons"))
