@@ -162,32 +162,55 @@ def _pair_scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["global_score", "local_score", "subsequence", "substring"])
 
 
-def hairpin_ends(seq: str, stem: tuple[int, int] = (5, 8), loop: tuple[int, int] = (1, 9), tail: str = "CTAGT", reach: int = 12) -> list[tuple[int, int]]:
-    """Hairpins followed within ``reach`` letters by ``tail``: 0-based start of the stem and end of the tail.
+def _stem_before(seq: str, at: int, stem: tuple[int, int], loop: tuple[int, int], reach: int) -> int:
+    """Start of the longest hairpin that ends within ``reach`` letters before ``at``; of equal ones the nearest, -1 without one.
 
-    A stem is a word whose reverse complement comes back after a loop; the longest stem at a start counts.
+    A hairpin is a word whose reverse complement comes back after a loop.
     """
-    out, last = [], -1
     turn = str.maketrans("ACGT", "TGCA")
-    for m in re.finditer(tail, seq):
-        for a in range(max(0, m.start() - 2 * stem[1] - loop[1] - reach), m.start() - 2 * stem[0]):
-            if a <= last:
-                continue
-            hit = False
-            for k in range(stem[1], stem[0] - 1, -1):
-                word = seq[a : a + k]
-                back = word.translate(turn)[::-1]
-                b = seq.find(back, a + k + loop[0], min(a + k + loop[1] + k, m.start()))
-                if len(word) == k and b >= 0 and m.start() - (b + k) <= reach:
-                    hit = True
+    best = (0, -1)
+    for end in range(at, max(-1, at - reach - 1), -1):
+        for k in range(stem[1], max(stem[0], best[0] + 1) - 1, -1):
+            for gap in range(loop[0], loop[1] + 1):
+                a = end - 2 * k - gap
+                if a >= 0 and seq[a : a + k] == seq[end - k : end].translate(turn)[::-1]:
+                    best = max(best, (k, a))
                     break
-            if hit:
-                out.append((a, m.end()))
-                last = a
+            if best[0] >= k:
                 break
+    return best[1]
+
+
+def helitron_ends(seq: str, tail: str = "CTAGT", head: str = "TCTCTACTA", stem: tuple[int, int] = (5, 8), loop: tuple[int, int] = (1, 9), reach: int = 12, far: int = 3000) -> list[tuple[int, int, int, int]]:
+    """Hairpins followed within ``reach`` letters by ``tail``: start of the stem, end of the tail, level, start of the head (0-based).
+
+    Level 0 is the exact tail, level 1 one with one other base. The head is the nearest place upstream, within
+    ``far`` letters, that has at most two other bases than ``head`` and begins with TC; -1 without one.
+    """
+    if len(seq) < len(tail):
+        return []
+    x = np.frombuffer(seq.encode("ascii", "replace"), np.uint8)
+
+    def wrong(pattern: str) -> np.ndarray:
+        n = len(x) - len(pattern) + 1
+        return sum((x[i : i + max(0, n)] != ord(c)).astype(np.int8) for i, c in enumerate(pattern)) if n > 0 else np.zeros(0, np.int8)
+
+    heads = np.flatnonzero((wrong(head) <= 2) & (wrong("TC")[: max(0, len(x) - len(head) + 1)] == 0))
+    out = []
+    for at in np.flatnonzero(wrong(tail) <= 1).tolist():
+        a = _stem_before(seq, at, stem, loop, reach)
+        if a >= 0:
+            i = int(np.searchsorted(heads, a, "right")) - 1
+            h = int(heads[i]) if i >= 0 and a - heads[i] <= far else -1
+            out.append((a, at + len(tail), int(seq[at : at + len(tail)] != tail), h))
     return out
 
 
+def _helitrons(seq: pd.Series) -> pd.Series:
+    names = ("stem_start", "tail_end", "level", "head")
+    return pd.Series([[dict(zip(names, r)) for r in helitron_ends(s)] if s else [] for s in seq], dtype=object)
+
+
 def _as_column(f, kind: str):
     """A column function; the UDF is made when it is called, as workers import this module without a session."""
 
@@ -203,3 +226,4 @@ confident_sites = _as_column(_confident_sites, "struct<tsd:string,distance:int>"
 longest_tail_repeats = _as_column(_longest_tail_repeats, "struct<unit:string,unit_end:int>")
 nearest_poly_as = _as_column(_nearest_poly_as, "string")
 pair_scores = _as_column(_pair_scores, "struct<global_score:int,local_score:int,subsequence:int,substring:int>")
+helitrons = _as_column(_helitrons, "array<struct<stem_start:int,tail_end:int,level:int,head:int>>")

@@ -37,16 +37,38 @@ def _per_island(df: DataFrame, keys, start, end, order, pick, extra: str = "") -
     return ordered_groups(t, [*keys, "_island"], order, lambda key, rows: pick([r[:n] for r in rows], i, j), schema_of(df) + extra)
 
 
+class Kept:
+    """Kept intervals, found by place: each lies in the cells of about its own length that it touches."""
+
+    def __init__(self):
+        self.cells: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def add(self, a: int, b: int) -> None:
+        level = max(0, (b - a).bit_length())
+        for cell in range(a >> level, (b >> level) + 1):  # two or three
+            self.cells.setdefault((level, cell), []).append((a, b))
+
+    def at(self, point: int, levels: range) -> list[tuple[int, int]]:
+        """Kept intervals of the levels whose cell holds the point, among them all that hold it."""
+        return [k for level in levels for k in self.cells.get((level, point >> level), ())]
+
+
 def keep_first_overlapping(df: DataFrame, keys: Sequence[str], id_col: str, start: str, end: str, share: float) -> DataFrame:
-    """Intervals by (start, end, id), without those that overlap a kept one by ``share`` both ways."""
+    """Intervals by (start, end, id), without those that overlap a kept one by ``share`` (half or more) both ways.
+
+    A kept one that does so has nearly the same length and holds the midpoint: only the cells of that place are
+    looked at, so that a deep pile of intervals costs no more than a flat one.
+    """
+    if share <= 0.5:
+        raise ValueError("share must exceed 0.5")
 
     def pick(rows: list[tuple], i: int, j: int) -> list[tuple]:
-        near: list[tuple[int, int]] = []
-        out = []
+        kept, out = Kept(), []
         for r in rows:
-            near = [k for k in near if k[1] >= r[i]]  # starts ascend: earlier ends cannot matter any more
-            if not any(reciprocal((r[i], r[j]), k, share) for k in near):
-                near.append((r[i], r[j]))
+            a, b = r[i], r[j]
+            level = max(0, (b - a).bit_length())
+            if not any(reciprocal((a, b), k, share) for k in kept.at((a + b) // 2, range(max(0, level - 1), level + 2))):
+                kept.add(a, b)
                 out.append(r)
         return out
 
@@ -70,14 +92,20 @@ def run_heads(df: DataFrame, keys: Sequence[str], id_col: str, start: str, end:
 
 
 def drop_overlapping(df: DataFrame, keys: Sequence[str], start: str, end: str, share: float) -> DataFrame:
-    """Longest intervals first, without those of which a kept one covers more than ``share``."""
+    """Longest intervals first, without those of which a kept one covers more than ``share`` (half or more); of equal length by the other columns.
+
+    A kept interval that does so holds the midpoint and is no shorter: only such are looked at.
+    """
+    if share < 0.5:
+        raise ValueError("share must be 0.5 or more")
 
     def pick(rows: list[tuple], i: int, j: int) -> list[tuple]:
-        kept: list[tuple[int, int]] = []
-        out = []
+        kept, out = Kept(), []
         for r in sorted(rows, key=lambda r: r[i] - r[j]):
-            if not any(min(r[j], k[1]) - max(r[i], k[0]) + 1 > share * (r[j] - r[i] + 1) for k in kept):
-                kept.append((r[i], r[j]))
+            a, b = r[i], r[j]
+            near = [k for m in {(a + b) // 2, (a + b + 1) // 2} for k in kept.at(m, range(max(0, (b - a).bit_length() - 1), 64))]
+            if not any(min(b, k[1]) - max(a, k[0]) + 1 > share * (b - a + 1) for k in near):
+                kept.add(a, b)
                 out.append(r)
         return out
 

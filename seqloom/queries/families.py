@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from seqloom.functions import search
 from seqloom.functions import sequence as sq
 from seqloom.operators import consensus as cs
-from seqloom.operators import chains, nearby
+from seqloom.operators import chains, hmm, nearby
 from seqloom.operators import intervals as iv
 from seqloom.operators.ordered import ordered_groups
 from seqloom.queries.intervals_q import _L, elements, hits
 from seqloom.queries.registry import registry
-from seqloom.queries.scalar import _S, seqs
+from seqloom.queries.scalar import _S, _shared, seqs
 from seqloom.session import table
 
 QUERIES, SQL, query = registry()
@@ -203,16 +203,54 @@ def c9(spark, d):
 # ---- detectors
 
 
-@query("v8_marked_sites", "SELECT ltr_id, CASE WHEN length(replace(tsd, 'TSD:', '')) > 4 AND tsd <> 'TSD:NA' THEN replace(tsd, 'TSD:', '') ELSE '' END AS site FROM ltr_intact")
+# elements with sequences, as in the interval queries: element n has the sequence of seq_id n
+_ELEM = f"{_S}, e AS (SELECT ltr_id, any_value(element_end - element_start + 1) AS n, any_value(superfamily) AS superfamily, any_value(ltr_identity) AS identity FROM ltr_intact GROUP BY 1), x AS (SELECT e.*, s.q FROM e JOIN s ON s.seq_id = e.ltr_id)"
+_SITE = f"l AS (SELECT ltr_id, substr(q, 11, 20) AS l, substr(q, length(q) - 29, 20) AS r FROM x WHERE length(q) >= 100), site AS (SELECT ltr_id, coalesce({', '.join(_shared(k) for k in range(20, 4, -1))}, '') AS site FROM l)"
+
+
+def _elements_with_text(spark, d):
+    t = table(spark, d, "ltr_intact").groupBy("ltr_id").agg(F.first(F.col("element_end") - F.col("element_start") + 1).alias("n"), F.first("superfamily").alias("superfamily"), F.first("ltr_identity").alias("identity"))
+    return t.join(seqs(spark, d).select(F.col("seq_id").alias("ltr_id"), "q"), "ltr_id")
+
+
+def _site(q: str):
+    """Longest word of more than four letters in both windows of 20 letters outside the element from letter 31 to 30 before the end; empty without one."""
+    return F.coalesce(sq.shared_site(F.substring(q, 11, 20), F.col(q).substr(F.length(q) - 29, F.lit(20)), range(20, 4, -1)), F.lit(""))
+
+
+@query("v8_marked_sites", f"WITH {_ELEM}, {_SITE} SELECT ltr_id, site FROM site")
 def v8(spark, d):
-    """Site of more than four letters; others are kept and marked empty."""
-    s = F.replace("tsd", F.lit("TSD:"), F.lit(""))
-    return table(spark, d, "ltr_intact").select("ltr_id", F.when((F.length(s) > 4) & (s != "NA"), s).otherwise("").alias("site"))
+    """Duplicated site of each element, looked for in windows of 20 letters; elements without one are kept and marked empty."""
+    return _elements_with_text(spark, d).filter("length(q) >= 100").select("ltr_id", _site("q").alias("site"))
+
+
+_PPT = "regexp_matches(right(q, 200), '[AG]{12,}') OR regexp_matches(left(q, 200), '[CT]{12,}')"
+
 
+def _chain_sql(sine: str) -> str:
+    return f"WITH {_ELEM}, {_SITE} SELECT x.ltr_id, site.site FROM x JOIN site USING (ltr_id) WHERE {sine} AND n BETWEEN 400 AND 22000 AND coalesce(superfamily NOT LIKE 'DNA%' AND superfamily <> 'TIR', true) AND ({_PPT})"
 
-@query("v6_filter_chain", "SELECT ltr_id FROM ltr_intact WHERE status = 'pass' AND element_end - element_start + 1 BETWEEN 400 AND 22000 AND superfamily IN ('Copia', 'Gypsy', 'Pao') AND ltr_identity >= 90")
+
+def filter_chain(x, terminal: float | None = None, sine: bool = False, length=(400, 22000)):
+    """The filters of a detector in order: likeness of the terminal repeats and tail of a SINE (both off by default), length, DNA elements, purine tract; the site is a mark, no filter."""
+    if terminal is not None:
+        x = x.filter(F.col("identity") >= terminal)
+    if sine:
+        x = x.filter(~F.coalesce(sq.near_poly_tail("q"), F.lit(False)))
+    x = x.filter(F.col("n").between(*length)).filter(F.coalesce(~F.startswith("superfamily", F.lit("DNA")) & (F.col("superfamily") != "TIR"), F.lit(True)))
+    x = x.filter(F.right("q", F.lit(200)).rlike("[AG]{12,}") | F.left("q", F.lit(200)).rlike("[CT]{12,}"))
+    return x.filter("length(q) >= 100").select("ltr_id", _site("q").alias("site"))
+
+
+@query("v6_filter_chain", _chain_sql("true"))
 def v6(spark, d):
-    return table(spark, d, "ltr_intact").filter("status = 'pass' and element_end - element_start + 1 between 400 and 22000 and superfamily in ('Copia', 'Gypsy', 'Pao') and ltr_identity >= 90").select("ltr_id")
+    return filter_chain(_elements_with_text(spark, d))
+
+
+@query("v6_filter_chain_all", _chain_sql("identity >= 90 AND NOT coalesce(CASE WHEN length(q) < 6 THEN false ELSE list_bool_or(list_transform(range(greatest(0, length(q) - 11), length(q) - 5), lambda i: length(replace(substr(q, i + 1, 6), 'A', '')) <= 1 OR length(replace(substr(q, i + 1, 6), 'T', '')) <= 1)) END, false)"))
+def v6_all(spark, d):
+    """With the two filters that are off by default."""
+    return filter_chain(_elements_with_text(spark, d), 90, True)
 
 
 @query("v9_successor_removal")
@@ -252,36 +290,11 @@ def v5(spark, d):
 
 @query("v15_two_state_path")
 def v15(spark, d):
-    """Most likely path of a two-state model (AT-rich or not) over each sequence: stretches in the rich state."""
-
-    def run(batches):
-        import math
-
-        import pyarrow as pa
-
-        stay, go = math.log(0.99), math.log(0.01)
-        at = {True: (math.log(0.5), math.log(0.8)), False: (math.log(0.5), math.log(0.2))}
-        for b in batches:
-            rows = []
-            for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                score, back = [0.0, go], []
-                for c in s:
-                    e = at[c in "AT"]
-                    step = [0 if score[k] + stay >= score[1 - k] + go else 1 for k in (0, 1)]
-                    score = [(score[k] + stay if step[k] == 0 else score[1 - k] + go) + e[k] for k in (0, 1)]
-                    back.append(step)
-                state, end = int(score[1] > score[0]), None
-                for j in range(len(s) - 1, -1, -1):
-                    if state and end is None:
-                        end = j + 1
-                    before = state if back[j][state] == 0 else 1 - state
-                    if end is not None and (not before or j == 0):
-                        rows.append((i, j + 1, end))
-                        end = None
-                    state = before
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["seq_id", "rich_start", "rich_end"])
-
-    return seqs(spark, d).select("seq_id", "q").mapInArrow(run, "seq_id long, rich_start long, rich_end long")
+    """Stretches in the AT-rich state of a two-state model, whose transitions and emissions are counted along the best paths of all sequences, twice."""
+    t = seqs(spark, d).select("seq_id", "q")
+    first = hmm.model("ATCGN", (1, 1), ((99, 1), (1, 99)), ((30, 30, 18, 18, 4), (38, 38, 10, 10, 4)))
+    m = hmm.train(t, "q", first, 2)
+    return hmm.stretches(t, "seq_id", "q", m, 1).select("seq_id", F.col("first").alias("rich_start"), F.col("last").alias("rich_end"))
 
 
 @query("v17_alignment_scores")
@@ -292,24 +305,19 @@ def v17(spark, d):
     return t.select("seq_id", search.pair_scores(F.left("q", half), F.right("q", F.length("q") - half)).alias("x")).select("seq_id", "x.*")
 
 
-@query("v18_purine_tracts", f"WITH {_S} SELECT seq_id, nullif(regexp_extract(right(q, 200), '[AG]{{10,}}'), '') AS tract FROM s")
+@query("v18_purine_tracts", f"WITH {_S} SELECT seq_id, nullif(regexp_extract(right(q, 200), '[AG]{{10,}}'), '') AS tract, nullif(regexp_extract(left(q, 200), '[CT]{{10,}}'), '') AS back_tract, nullif(regexp_extract(right(q, 50), 'A{{8,}}'), '') AS poly_a FROM s")
 def v18(spark, d):
-    """First run of ten purines or more in the last 200 letters."""
-    return seqs(spark, d).select("seq_id", F.nullif(F.regexp_extract(F.right("q", F.lit(200)), "([AG]{10,})", 1), F.lit("")).alias("tract"))
+    """Tails: first run of ten purines or more in the last 200 letters (on the other strand, of pyrimidines in the first), and of eight A or more in the last 50."""
+    z = lambda c, p: F.nullif(F.regexp_extract(c, f"({p})", 1), F.lit(""))
+    return seqs(spark, d).select("seq_id", z(F.right("q", F.lit(200)), "[AG]{10,}").alias("tract"), z(F.left("q", F.lit(200)), "[CT]{10,}").alias("back_tract"), z(F.right("q", F.lit(50)), "A{8,}").alias("poly_a"))
 
 
 @query("v19_hairpin_ends")
 def v19(spark, d):
-    """Hairpins before CTAGT, by backtracking on reverse complements."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            rows = [(i, a, e) for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for a, e in search.hairpin_ends(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["seq_id", "stem_start", "tail_end"])
-
-    return seqs(spark, d).select("seq_id", "q").mapInArrow(run, "seq_id long, stem_start long, tail_end long")
+    """Hairpins before CTAGT, exact or with one other letter (level 1), and the nearest TC pattern within 3,000 letters upstream."""
+    t = seqs(spark, d)
+    x = t.select("seq_id", F.explode(search.helitrons("q")).alias("x"))
+    return x.select("seq_id", "x.*")
 
 
 @query("v23_paired_ends", f"WITH {_L} SELECT a.ltr_id AS head, b.ltr_id AS tail FROM l a JOIN l b ON a.chrom = b.chrom AND b.s > a.e AND b.s - a.e <= 1000")
