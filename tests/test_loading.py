@@ -76,3 +76,38 @@ def test_line_order_over_many_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [int(r.value) for r in rows] == list(range(5000)) and len({r.ordinal for r in rows}) == 5000
+
+
+def test_order_over_several_files(spark, tmp_path):
+    """Three files of 100 lines, cut into small blocks: 300 ordinals in order of file and line; the last record of a name is that of the last file."""
+    for k in range(3):
+        (tmp_path / f"{k}.txt").write_text("\n".join(f"{k} {i:03d}" for i in range(100)))
+        (tmp_path / f"{k}.fa").write_text(f">same\nAC{'ACG'[k]}\n>own{k}\nTT\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256b")
+    try:
+        rows = ln.read_lines(spark, str(tmp_path / "*.txt")).orderBy("ordinal").collect()
+        fasta = {r.name: r.seq for r in ln.read_fasta(spark, str(tmp_path / "*.fa")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.value for r in rows] == [f"{k} {i:03d}" for k in range(3) for i in range(100)]
+    assert len({r.ordinal for r in rows}) == 300
+    assert fasta == {"same": "ACG", "own0": "TT", "own1": "TT", "own2": "TT"}
+
+
+def test_first_per_key_over_batches(spark):
+    """Twelve files in three batches, orders falling from file to file, ties and a null key."""
+    from seqloom.streaming import chunks
+
+    rows = [(None if i % 50 == 7 else f"k{i % 7}", 1000 - i // 2, i) for i in range(600)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 12), "k string, o long, id long")
+    got = {(r.k, r.o, r.id) for r in chunks.first_per_key(df, "k", "o", 3, ["id"]).collect()}
+    want = {x for k in {r[0] for r in rows if r[0]} for x in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2]))[:3]}
+    assert got == want
+    assert chunks.first_per_key(df.limit(0), "k", "o", 3, ["id"]).collect() == []
+
+
+def test_windows_of_an_empty_stream(spark):
+    from seqloom.streaming import chunks
+
+    df = spark.createDataFrame([], "ts timestamp, kind string")
+    assert chunks.windowed_counts(df, "ts", ["kind"], "1 day").collect() == []

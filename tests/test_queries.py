@@ -1,4 +1,6 @@
-"""Every registered core query: against its SQL, or that it runs with a stable schema."""
+"""Every registered core query: against its SQL; one without SQL gives rows, the same ones each time (its rules are tested in ``test_models``)."""
+
+from collections import Counter
 
 import pytest
 
@@ -6,6 +8,10 @@ from compare import check, database
 from seqloom.queries import all_queries, all_sql
 
 
+#: No hit of the small tables covers 95 % of its entry.
+NONE_HERE = {"chain_g3_full_length"}
+
+
 @pytest.fixture(scope="module")
 def con(data):
     return database(data)
@@ -18,8 +24,9 @@ def test_query(spark, data, con, name):
     if sql:
         check(con, df, sql)
     else:
-        rows = df.collect()
-        assert len(df.columns) == len(set(df.columns)) and len(rows) >= 0
+        rows, again = (Counter(map(repr, x.collect())) for x in (df, all_queries()[name](spark, data)))
+        assert len(df.columns) == len(set(df.columns)) and rows == again
+        assert bool(rows) != (name in NONE_HERE)
 
 
 def test_every_sql_has_a_query():
