@@ -115,7 +115,8 @@ q("agg_a9_mean_wide", f"WITH {_EXPR} SELECT gene, round(max(CASE WHEN position =
 q("agg_a10_welch", f"WITH {_EXPR}, x AS (SELECT m.*, b.n AS n0, b.mean AS m0, b.var AS v0 FROM mo m LEFT JOIN mo b ON b.gene = m.gene AND b.position = 'No_Insertion' WHERE m.position <> 'No_Insertion'), y AS (SELECT *, var / n AS a, v0 / n0 AS b FROM x) SELECT gene, position, CASE WHEN n > 1 AND n0 > 1 AND a + b > 0 THEN round((mean - m0) / sqrt(a + b), 4) + 0.0 END AS t, CASE WHEN n > 1 AND n0 > 1 AND a + b > 0 THEN round((a + b) * (a + b) / (a * a / (n - 1) + b * b / (n0 - 1)), 3) END AS dof, round(log2(mean + 1) - log2(m0 + 1), 5) + 0.0 AS fold FROM y")(
     lambda t, s, d: expression.tests(_placed(t)).select("gene", "position", (F.round("t", 4) + 0.0).alias("t"), F.round("dof", 3).alias("dof"), (F.round("fold", 5) + 0.0).alias("fold"))
 )
-q("de_k6_differential")(lambda t, s, d: expression.differential(_placed(t)))
+# rounded: sums of the same values in another order differ in their last digits
+q("de_k6_differential")(lambda t, s, d: expression.differential(_placed(t)).withColumns({c: F.round(c, 6) for c in ("fold", "p_adjusted")}))
 q("agg_a11_adjusted_p", "WITH x AS (SELECT ordinal, te_class, (score % 1000) / 1000.0::DOUBLE AS p FROM te_copies), c AS (SELECT te_class, p, count(*) AS k FROM x WHERE p IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, sum(k) OVER (PARTITION BY te_class ORDER BY p) AS rk, sum(k) OVER (PARTITION BY te_class) AS n FROM c), a AS (SELECT te_class, p, least(1.0, min(p * n / rk) OVER (PARTITION BY te_class ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS adj FROM r) SELECT x.ordinal, round(a.adj, 6) AS p_adjusted FROM x LEFT JOIN a ON a.te_class = x.te_class AND a.p = x.p")(
     lambda t, s, d: stats.benjamini_hochberg(t("te_copies").select("ordinal", "te_class", ((F.col("score") % 1000) / 1000.0).alias("p")), ["te_class"], "p").select("ordinal", F.round("p_adjusted", 6).alias("p_adjusted"))
 )
