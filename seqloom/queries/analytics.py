@@ -311,9 +311,15 @@ q("re_r1_unpivot", "SELECT ordinal, measure, value FROM (UNPIVOT (SELECT ordinal
 q("re_r2_pivot", "SELECT genome, count(*) FILTER (te_class = 'LTR') AS LTR, count(*) FILTER (te_class = 'LINE') AS LINE, count(*) FILTER (te_class = 'DNA') AS DNA FROM te_copies GROUP BY 1")(lambda t, s, d: t("te_copies").groupBy("genome").pivot("te_class", ["LTR", "LINE", "DNA"]).count().fillna(0, ["LTR", "LINE", "DNA"]))
 q("re_r3_case_when", "SELECT ordinal, coalesce(strand, '.') AS strand, CASE WHEN score IS NULL THEN 'none' WHEN score < 1000 THEN 'low' ELSE 'high' END AS level FROM te_copies")(lambda t, s, d: t("te_copies").select("ordinal", F.coalesce("strand", F.lit(".")).alias("strand"), F.when(F.col("score").isNull(), "none").when(F.col("score") < 1000, "low").otherwise("high").alias("level")))
 q("re_r4_distance", "SELECT ordinal, CASE WHEN te_start <= 2000000 AND 1000000 <= te_end THEN 0 ELSE least(abs(te_end - 1000000), abs(te_start - 2000000)) END AS distance FROM te_copies")(lambda t, s, d: t("te_copies").select("ordinal", iv.distance("te_start", "te_end", F.lit(1000000), F.lit(2000000)).alias("distance")))
-q("re_r5_binarise", "SELECT te_name, CAST(count(*) FILTER (genome = 'plasa') > 0 AS INTEGER) AS plasa, CAST(count(*) FILTER (genome = 'krapl') > 0 AS INTEGER) AS krapl FROM te_copies GROUP BY 1 HAVING count(*) FILTER (genome IN ('plasa', 'krapl')) > 0")(
-    lambda t, s, d: t("te_copies").groupBy("te_name").agg(*[(F.count(F.when(F.col("genome") == g, 1)) > 0).cast("int").alias(g) for g in ("plasa", "krapl")]).filter("plasa + krapl > 0")
-)
+@q("re_r5_binarise", "WITH x AS (SELECT te_name, genome, count(*) AS n FROM te_copies WHERE te_name IS NOT NULL GROUP BY 1, 2), f AS (SELECT DISTINCT te_name FROM x WHERE genome IN (SELECT genome FROM genomes)) SELECT te_name, list(CASE WHEN n > 0 THEN 1 ELSE 0 END ORDER BY g.genome) AS present FROM f CROSS JOIN (SELECT genome FROM genomes) g LEFT JOIN x USING (te_name, genome) GROUP BY 1")
+def r5(t, spark, d):
+    """Presence of each name in the genomes of the table ``genomes``, in order of their names; names in none of them drop out."""
+    names = sorted(r[0] for r in t("genomes").select("genome").collect())  # a dimension, one column each
+    x = t("te_copies").filter("te_name is not null").groupBy("te_name").agg(*[(F.count(F.when(F.col("genome") == g, 1)) > 0).cast("int").alias(f"_{i}") for i, g in enumerate(names)])
+    cells = F.array(*[F.col(f"_{i}") for i in range(len(names))])
+    return x.select("te_name", cells.alias("present")).filter(F.array_contains("present", 1))
+
+
 q("re_r7_attributes", "SELECT ordinal, 'id=te_' || copy_id || ';name=' || coalesce(te_name, '') || ';classification=' || coalesce(te_class, '') AS attrs, coalesce(te_name, '') AS name_back FROM te_copies")(
     lambda t, s, d: t("te_copies").select("ordinal", F.concat_ws(";", F.concat(F.lit("id=te_"), F.col("copy_id").cast("string")), F.concat(F.lit("name="), F.coalesce("te_name", F.lit(""))), F.concat(F.lit("classification="), F.coalesce("te_class", F.lit("")))).alias("attrs")).select("ordinal", "attrs", F.try_element_at(F.str_to_map("attrs", F.lit(";"), F.lit("=")), F.lit("name")).alias("name_back"))
 )
