@@ -125,7 +125,7 @@ q("agg_a11_adjusted_p", "WITH x AS (SELECT ordinal, te_class, (score % 1000) / 1
 
 
 def _masks(t):
-    names = sorted(r[0] for r in t("genomes").select("genome").limit(pan.MOST_GENOMES + 1).collect())  # a dimension of 24 rows; one too many is an error
+    names = sorted(r[0] for r in t("genomes").select("genome").collect())  # a dimension of one row per genome
     c = t("te_copies").filter("trim(te_name) <> ''").groupBy(F.trim("te_name").alias("family"), "genome").agg(rows_n())
     return pan.presence(c, names), names
 
@@ -149,7 +149,7 @@ def a13(t, spark, d):
 def a14(t, spark, d):
     """Power law of the pan size and decay of the core size; fitted on one row per genome number."""
     m, names = _masks(t)
-    rows = pan.curve(m, pan.subsets(spark, len(names))).orderBy("size").collect()  # at most 62 rows
+    rows = pan.curve(m, pan.subsets(spark, len(names))).orderBy("size").collect()  # one row per number of genomes
     x = [r["size"] for r in rows]
     a, b = stats.fit_power(x, [max(r["pan_mean"], 1e-9) for r in rows])
     c, k, z = stats.fit_decay(x, [r["core_mean"] for r in rows])

@@ -31,27 +31,27 @@ def _genomes(spark, path, n):
     return str(path)
 
 
-def test_pan_curve_and_fits_take_a_thousand_subsets(spark, tmp_path):
-    d = _genomes(spark, tmp_path, 24)
+@pytest.mark.parametrize("n", [24, 100])
+def test_pan_curve_and_fits_take_a_thousand_subsets(spark, tmp_path, n):
+    d = _genomes(spark, tmp_path, n)
     want = {}
-    for k in range(1, 25):
-        subs = list(islice(combinations(range(24), k), 1000))
+    for k in range(1, n + 1):
+        subs = list(islice(combinations(range(n), k), 1000))
         pan, core = [s[-1] + 1 for s in subs], [s[0] + 1 for s in subs]
         want[k] = tuple(round(f(x), 2) if f is mean or len(x) > 1 else None for x in (pan, core) for f in (mean, stdev))
     got = {r[0]: tuple(r)[1:] for r in all_queries()["pan_a13_curve"](spark, d).collect()}
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=0.011), k
-    fit = all_queries()["pan_a14_fits"](spark, d).first()
-    x = sorted(got)
-    power, decay = stats.fit_power(x, [got[k][0] for k in x]), stats.fit_decay(x, [got[k][2] for k in x])
-    assert tuple(fit) == pytest.approx([round(v, 4) for v in (*power, *decay)])
-
-
-def test_pan_with_too_many_genomes_fails(spark, tmp_path):
-    d = _genomes(spark, tmp_path, 63)
-    with pytest.raises(ValueError, match="62"):
-        all_queries()["pan_a13_curve"](spark, d)
+    kinds = {r.family: (r.n_genomes, r.category) for r in all_queries()["pan_a15_categories"](spark, d).collect()}
+    for i in range(n):
+        c = n - i
+        assert kinds[f"f{i}"] == (c, "core" if c == n else "softcore" if c >= 0.8 * n else "dispensable" if c >= 2 else "private")
+    if n == 24:
+        fit = all_queries()["pan_a14_fits"](spark, d).first()
+        x = sorted(got)
+        power, decay = stats.fit_power(x, [got[k][0] for k in x]), stats.fit_decay(x, [got[k][2] for k in x])
+        assert tuple(fit) == pytest.approx([round(v, 4) for v in (*power, *decay)])
 
 
 def _alignment(spark, path):
