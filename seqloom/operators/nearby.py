@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.sequence import mismatches
 from seqloom.operators.consensus import components
 from seqloom.operators.ordered import ordered_groups
+from seqloom.operators.pairs import pairs_by_key
 
 
 def hamming_pairs(df: DataFrame, group: Sequence[str], id_col: str, text: str, most: int) -> DataFrame:
@@ -17,7 +18,7 @@ def hamming_pairs(df: DataFrame, group: Sequence[str], id_col: str, text: str, m
 
     Two such texts agree in at least one of ``most + 1`` parts, so they meet by the text of a part; a pair is
     kept at its first common part only. Ids must be unique, texts distinct within a group (see
-    ``hamming_clusters``); a part that very many distinct texts share makes its own group of pairs.
+    ``hamming_clusters``) and groups not null; a part that very many distinct texts share is split into blocks.
     """
     n = F.length(text)
     at = lambda i: F.floor(F.lit(i) * n / (most + 1)).cast("int")
@@ -25,10 +26,9 @@ def hamming_pairs(df: DataFrame, group: Sequence[str], id_col: str, text: str, m
     t = df.filter(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(id_col).alias("_id"), F.col(text).alias("_t"), n.alias("_n"), parts.alias("_p"))
     x = t.select("*", F.posexplode("_p").alias("_i", "_k"))
     keys = [*[f"_g{i}" for i in range(len(group))], "_n", "_i", "_k"]
-    left = x.select(*keys, F.col("_id").alias("a"), F.col("_t").alias("ta"), F.col("_p").alias("pa"))
-    right = x.select(*keys, F.col("_id").alias("b"), F.col("_t").alias("tb"), F.col("_p").alias("pb"))
-    first = ~F.exists(F.slice(F.zip_with("pa", "pb", lambda p, q: p == q), F.lit(1), F.col("_i")), lambda e: e)
-    return left.join(right, keys).filter((F.col("a") < F.col("b")) & first & (mismatches("ta", "tb") <= most)).select("a", "b")
+    first = ~F.exists(F.slice(F.zip_with("_p_a", "_p_b", lambda p, q: p == q), F.lit(1), F.col("_i")), lambda e: e)
+    met = pairs_by_key(x, keys, "_id", ["_t", "_p"], where=first & (mismatches("_t_a", "_t_b") <= most))
+    return met.select("a", "b")
 
 
 def hamming_clusters(df: DataFrame, group: Sequence[str], id_col: str, text: str, most: int) -> DataFrame:

@@ -11,6 +11,7 @@ from seqloom.operators import consensus as cs
 from seqloom.operators import chains, hmm, nearby
 from seqloom.operators import intervals as iv
 from seqloom.operators.ordered import ordered_groups
+from seqloom.operators.pairs import pairs_by_key
 from seqloom.queries.intervals_q import _L, elements, hits
 from seqloom.queries.registry import registry
 from seqloom.queries.scalar import _S, _shared, seqs
@@ -161,12 +162,9 @@ _SEED = "k AS (SELECT DISTINCT seq_id, w FROM (SELECT seq_id, unnest(list_transf
 
 
 def seed_pairs(t):
-    """Pairs of the sequences ``seq_id, q`` that share ten words of 16 letters or more; words in one sequence only are dropped first."""
+    """Pairs of the sequences ``seq_id, q`` that share ten words of 16 letters or more; words in one sequence only are dropped first, words in many are split over tasks."""
     k = t.select("seq_id", F.explode(F.array_distinct(sq.words("q", 16))).alias("w")).filter(~F.contains("w", F.lit("N")))
-    many = k.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w")
-    k = k.join(many, "w")
-    a, b = k.select(F.col("seq_id").alias("x"), "w"), k.select(F.col("seq_id").alias("y"), "w")
-    return a.join(b, "w").filter("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("seeds")).filter("seeds >= 10")
+    return pairs_by_key(k, ["w"], "seq_id").groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.count(F.lit(1)).alias("seeds")).filter("seeds >= 10")
 
 
 @query("join_j21_seed_pairs", f"WITH {_S}, {_SEED} SELECT a.seq_id AS x, b.seq_id AS y, count(*) AS seeds FROM k a JOIN k b ON a.w = b.w AND a.seq_id < b.seq_id GROUP BY 1, 2 HAVING count(*) >= 10")

@@ -37,3 +37,16 @@ def test_following_and_numbers_with_ties(spark, width):
     got = {x.id: x.n for x in rn.numbered(df, ["k"], "o", "n", ["id"], width).collect()}
     assert got == {x[1]: i for v in order.values() for i, x in enumerate(v)}
     assert rn.numbered(df.limit(0), ["k"], "o", "n").collect() == []
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_pairs_by_key(spark, block):
+    """Every pair of every key once, with the columns of both rows; hot keys, keys of one row, null keys and ids."""
+    from seqloom.operators.pairs import pairs_by_key
+
+    r = random.Random(block)
+    data = [(i, k, f"{i}/{k}") for k in range(6) for i in r.sample(range(80), [1, 2, 5, 30, 40, 60][k])] + [(1, None, "x"), (2, None, "x"), (None, 3, "x")]
+    df = spark.createDataFrame(data, "id long, key long, v string")
+    got = [tuple(x) for x in pairs_by_key(df, ["key"], "id", ["v"], block).select("key", "a", "b", "v_a", "v_b").collect()]
+    want = {(k, a, b, u, v) for a, k, u in data for b, q, v in data if None not in (a, b, k) and k == q and a < b}
+    assert len(got) == len(set(got)) and set(got) == want
