@@ -20,10 +20,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import cleaned
+from seqloom.operators.pairs import BLOCK, pairs_by_key
 from seqloom.session import materialize
 
 BANDS, ROWS = 96, 3
@@ -221,24 +221,9 @@ def _verify(k: int, threshold: float):
     return run
 
 
-#: Classes that share a key and are compared in one task; more are split into blocks.
-BLOCK = 256
-
-
 def key_pairs(keyed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs ``a < b`` of classes ``rep`` that share a ``key``, each pair once.
-
-    A key of many classes is cut into blocks by a hash of the class, and each pair of blocks is a group of
-    its own, so that no task meets more than ``block`` times ``block`` pairs of one key.
-    """
-    n = F.count(F.lit(1)).over(W.partitionBy("key"))
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    shared = keyed.withColumn("n", n).filter("n > 1")
-    shared = materialize(shared.select("rep", "key", blocks.alias("m"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("at")), "shared")
-    low = shared.select(F.col("rep").alias("x"), "key", F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("m") - 1)).alias("j"))
-    high = shared.select(F.col("rep").alias("y"), "key", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"))
-    met = low.join(high, ["key", "i", "j"]).filter("i < j or x < y")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    """Pairs ``a < b`` of classes ``rep`` that share a ``key``, each pair once; a key of many classes is split into pairs of blocks."""
+    return pairs_by_key(keyed, ["key"], "rep", block=block).select("a", "b").distinct()
 
 
 def class_links(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.5, k: int = 11) -> tuple[DataFrame, DataFrame]:
