@@ -87,6 +87,14 @@ def _chars(s: str) -> int:
     return len(s) - s.count(" ") - s.count("\t")
 
 
+def _lines(text: str, low: str) -> list[str]:
+    if "<br" in low:
+        return _LINE.split(text)
+    if text.isascii() and "\x0b" not in text and "\x0c" not in text:  # the same, faster
+        return text.replace("\r", "\n").split("\n")
+    return _BREAK.split(text)
+
+
 def _sentences(line: str) -> list[str]:
     if line.isascii() and "\t" not in line and not _AFTER_QUOTE.search(line):  # the same, without look-behind
         return line.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n")
@@ -130,7 +138,7 @@ def stuffed_share(text: str, small: frozenset[str] | frozenset[bytes] | None = N
             text = _ANCHOR.sub("\n", text)
     is_small = small.__contains__
     rest: list[tuple] = []  # characters, words, number of content words, short items between separators?, a sentence by form?
-    for line in (_LINE if "<br" in low else _BREAK).split(text):
+    for line in _lines(text, low):
         line = line.strip()
         if not line:
             continue
@@ -187,22 +195,18 @@ def _regular(series: list[bytes], by_lag: dict[int, list[bytes]]) -> set[bytes]:
 
 def _recurring(rest: list[tuple], small: frozenset[bytes]) -> tuple[int, int]:
     """Characters of segments that are lists without small words, and of those whose content words recur too soon or too regularly."""
-    lists = repeated = i = 0
-    places: dict[bytes, list[int]] = {}
-    for _, words, *_ in rest:
-        for w in words:
-            if w not in small:
-                if (p := places.get(w)) is None:
-                    places[w] = [i]
-                else:
-                    p.append(i)
-            i += 1
-    near = bytearray(i)
+    lists = repeated = 0
+    series = [w for x in rest for w in x[1]]
+    # a word said twice is none
+    places: dict[bytes, list[int]] = {w: [] for w, n in Counter(series).items() if n >= 3 and w not in small}
+    if places:
+        for i, w in enumerate(series):
+            if w in places:
+                places[w].append(i)
+    near = bytearray(len(series))
     key: set[bytes] = set()  # terms that come back every few words throughout
     by_lag: dict[int, list[bytes]] = {}
     for w, p in places.items():
-        if len(p) < 3:  # a word said twice is none
-            continue
         gaps = list(map(sub, p[1:], p))
         for j, g in enumerate(gaps):
             if g <= LAGS:
@@ -213,7 +217,7 @@ def _recurring(rest: list[tuple], small: frozenset[bytes]) -> tuple[int, int]:
                 key.add(w)
             if len(gaps) >= LEAST_GAPS and 1 < m <= MOST_LAG and 10 * gaps.count(m) >= 8 * len(gaps):
                 by_lag.setdefault(int(m), []).append(w)
-    regular = _regular([w for x in rest for w in x[1]], by_lag) if by_lag else ()
+    regular = _regular(series, by_lag) if by_lag else ()
 
     run_chars = run_words = a = 0
     for chars, words, content, listed, form in rest:  # consecutive segments without small words make one list
