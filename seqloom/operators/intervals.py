@@ -17,6 +17,8 @@ from seqloom.operators.running import running
 #: Positions per bucket of the distributed ranking. A bucket of an entity holds at most
 #: this many distinct positions, which bounds the rows that one window sorts.
 BUCKET_WIDTH = 1 << 16
+#: Buckets that one interval may be cut into; with the usual width, 69 billion positions.
+MOST_BUCKETS = 1 << 20
 
 
 def _clean(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
@@ -124,7 +126,9 @@ def merged(df: DataFrame, keys: Sequence[str], start: str, end: str, touch: int
 def _per_bucket(df: DataFrame, keep: Sequence[str], start: str, end: str, width: int) -> DataFrame:
     """Intervals cut at the borders of buckets of ``width`` positions: ``keep, _bkt, _s, _e``; one row with nulls if a coordinate is null."""
     s, e = F.col(start), F.col(end)
-    bkt = F.explode_outer(F.sequence(F.floor(s / width), F.floor(e / width)))
+    many = F.floor(e / width) - F.floor(s / width) >= MOST_BUCKETS
+    first = F.when(many, F.raise_error(F.lit(f"an interval touches over {MOST_BUCKETS} buckets: choose a larger width")).cast("long")).otherwise(F.floor(s / width))
+    bkt = F.explode_outer(F.sequence(first, F.floor(e / width)))
     x = df.select(*keep, s.alias("_s0"), e.alias("_e0"), bkt.alias("_bkt"))
     return x.select(*keep, "_bkt", F.greatest("_s0", F.col("_bkt") * width).alias("_s"), F.least("_e0", F.col("_bkt") * width + (width - 1)).alias("_e"), (F.col("_bkt") == F.floor(F.col("_s0") / width)).alias("_first"))
 

@@ -70,7 +70,9 @@ CHECKED = {"te": (1, 2, 3, 4, 5, 8), "out": (1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 13,
 
 
 def parse_lines(df: DataFrame, record_id: str = "record_id", fmt: str = "fmt", line: str = "line_text") -> DataFrame:
-    """Structure of each line: ``record_id, fmt, line_text, fields, fault, clash``.
+    """Structure of each line: ``row, record_id, fmt, line_text, fields, fault, clash``.
+
+    ``row`` numbers the lines, as record ids may repeat or be null; write the result before it is read several times.
 
     Lines that are no records are left out: null, nothing but spaces and tabs, those that begin
     with ``#``, and header lines of ``out`` (first word ``SW`` or ``score``). One carriage return
@@ -80,7 +82,7 @@ def parse_lines(df: DataFrame, record_id: str = "record_id", fmt: str = "fmt", l
     no pattern is matched here, as every distinct value is checked by its column's rule once.
     """
     text = F.regexp_replace(F.col(line), r"\r\z", "")
-    base = df.select(F.col(record_id).alias("record_id"), F.col(fmt).alias("fmt"), text.alias("line_text"))
+    base = df.select(F.monotonically_increasing_id().alias("row"), F.col(record_id).alias("record_id"), F.col(fmt).alias("fmt"), text.alias("line_text"))
     head = F.coalesce(F.col("fmt") == "out", F.lit(False)) & F.col("line_text").rlike(r"^[ \t]*(SW|score)([ \t]|\z)")
     base = base.filter(F.col("line_text").isNotNull() & ~F.col("line_text").rlike(r"\A[ \t]*\z") & ~F.startswith("line_text", F.lit("#")) & ~head)
     raw = F.when(F.col("fmt") == "te", split_te(F.col("line_text"))).when(F.col("fmt") == "out", split_out(F.col("line_text")))
@@ -110,13 +112,13 @@ WORDING = {("te", ORDER): "start is not before end", ("out", ORDER): "begin is a
 
 
 def _values(parsed: DataFrame, columns: dict[str, tuple[int, ...]] = CHECKED) -> DataFrame:
-    """One row for each of the columns of lines whose columns could be told apart: ``record_id, col, value``.
+    """One row for each of the columns of lines whose columns could be told apart: ``row, col, value``.
 
     ``col`` is the column of the format, plus 100 for ``out``, so that rows stay short.
     """
     cols = F.when(F.col("fmt") == "te", F.array(*[F.lit(i) for i in columns["te"]])).otherwise(F.array(*[F.lit(100 + i) for i in columns["out"]]))
-    ok = parsed.filter("fault is null").select("record_id", "fields", F.explode(cols).alias("col"))
-    return ok.select("record_id", "col", F.get("fields", F.col("col") % 100 - 1).alias("value"))
+    ok = parsed.filter("fault is null").select("row", "fields", F.explode(cols).alias("col"))
+    return ok.select("row", "col", F.get("fields", F.col("col") % 100 - 1).alias("value"))
 
 
 def invalid_values(parsed: DataFrame) -> DataFrame:
@@ -127,22 +129,23 @@ def invalid_values(parsed: DataFrame) -> DataFrame:
 
 
 def rejects(parsed: DataFrame) -> DataFrame:
-    """Failing records with all their reasons, sorted: ``record_id, reasons``.
+    """Failing lines with all their reasons, sorted: ``row, record_id, reasons``.
 
     The dictionary of invalid values is joined back to the fields; a value that many lines share
     is looked up per line but was checked once. Structural faults are added per line, faults between
-    values where these values are valid.
+    values where these values are valid. A line of a repeated or null id fails or not on its own.
     """
-    by_value = _values(parsed).join(invalid_values(parsed), ["col", "value"]).select("record_id", "why", "col", F.lit(None).cast("array<int>").alias("on"))
     none = F.lit(None)
-    by_line = parsed.filter("fault is not null").select("record_id", F.col("fault").alias("why"), none.cast("int").alias("col"), none.cast("array<int>").alias("on"))
-    c = parsed.filter("clash is not null").select("record_id", "fmt", F.explode("clash").alias("kind"))
+    by_value = _values(parsed).join(invalid_values(parsed), ["col", "value"]).select("row", "why", "col", none.cast("array<int>").alias("on"))
+    by_line = parsed.filter("fault is not null").select("row", F.col("fault").alias("why"), none.cast("int").alias("col"), none.cast("array<int>").alias("on"))
+    c = parsed.filter("clash is not null").select("row", "fmt", F.explode("clash").alias("kind"))
     pick = lambda of: F.coalesce(*[F.when((F.col("fmt") == f) & (F.col("kind") == k), v) for (f, k), v in of.items()])
     on = {k: F.array(*[F.lit(i + (100 if k[0] == "out" else 0)) for i in v]) for k, v in DEPENDS.items()}
-    clashes = c.select("record_id", pick({k: F.lit(v) for k, v in WORDING.items()}).alias("why"), none.cast("int").alias("col"), pick(on).alias("on"))
-    g = by_value.unionByName(by_line).unionByName(clashes).groupBy("record_id").agg(F.collect_set(F.struct("why", "on")).alias("all"), F.collect_set("col").alias("bad"))
+    clashes = c.select("row", pick({k: F.lit(v) for k, v in WORDING.items()}).alias("why"), none.cast("int").alias("col"), pick(on).alias("on"))
+    g = by_value.unionByName(by_line).unionByName(clashes).groupBy("row").agg(F.collect_set(F.struct("why", "on")).alias("all"), F.collect_set("col").alias("bad"))
     valid = F.filter("all", lambda r: r["on"].isNull() | ~F.arrays_overlap(r["on"], F.col("bad")))
-    return g.select("record_id", F.array_sort(F.array_distinct(F.transform(valid, lambda r: r["why"]))).alias("reasons"))
+    bad = g.select("row", F.array_sort(F.array_distinct(F.transform(valid, lambda r: r["why"]))).alias("reasons"))
+    return parsed.select("row", "record_id").join(bad, "row").select("row", "record_id", "reasons")
 
 
 NUMERIC = {"te": (2, 3, 8), "out": (1, 2, 3, 4, 6, 7, 8, 12, 13, 14, 15)}
@@ -151,7 +154,7 @@ HOT_SHARE = 1000
 
 
 def _numbers(good: DataFrame) -> DataFrame:
-    """Numbers of each valid line: ``record_id, numbers``, a map of column to ``whole, part, text``.
+    """Numbers of each valid line: ``row, numbers``, a map of column to ``whole, part, text``.
 
     Each distinct value is cast once and joined back. The values that hold a thousandth or more of all fields,
     a thousand at most, are sent to all tasks; the others meet by value, without a hot one among them.
@@ -163,14 +166,14 @@ def _numbers(good: DataFrame) -> DataFrame:
     often = (F.col("n") * HOT_SHARE >= d.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()) & (F.length("value") <= 64)
     hot = d.filter(often).select("value", "x")
     met = v.join(F.broadcast(hot.select("value", F.col("x").alias("h"))), "value", "left")
-    rare = met.filter("h is null").select("record_id", "col", "value").join(d.filter(~often).select("value", "x"), "value")
-    both = met.filter("h is not null").select("record_id", "col", F.col("h").alias("x")).unionByName(rare.select("record_id", "col", "x"))
-    return both.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col") % 100, "x"))).alias("numbers"))
+    rare = met.filter("h is null").select("row", "col", "value").join(d.filter(~often).select("value", "x"), "value")
+    both = met.filter("h is not null").select("row", "col", F.col("h").alias("x")).unionByName(rare.select("row", "col", "x"))
+    return both.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col") % 100, "x"))).alias("numbers"))
 
 
 def _good(parsed: DataFrame, rejected: DataFrame, fmt: str) -> DataFrame:
-    good = parsed.filter((F.col("fmt") == fmt) & F.col("fault").isNull()).join(rejected.select("record_id"), "record_id", "left_anti")
-    return good.join(_numbers(good), "record_id")
+    good = parsed.filter((F.col("fmt") == fmt) & F.col("fault").isNull()).join(rejected.select("row"), "row", "left_anti")
+    return good.join(_numbers(good), "row")
 
 
 def _too_large(names: dict[str, Column]) -> Column:
@@ -182,8 +185,7 @@ def _too_large(names: dict[str, Column]) -> Column:
 def typed_te(parsed: DataFrame, rejected: DataFrame) -> DataFrame:
     """Valid ``te`` lines with typed values. The score ``.`` is null.
 
-    A number beyond a long is null in its own column and stands as text in ``too_large``. Records are
-    told apart by ``record_id``, which must be unique.
+    A number beyond a long is null in its own column and stands as text in ``too_large``. Repeated lines give a row each.
     """
     good = _good(parsed, rejected, "te")
     x = {n: F.get("fields", F.lit(i)) for i, n in enumerate(TE_FIELDS)}

@@ -34,6 +34,17 @@ def test_rejects(spark):
     assert [(r.rep_begin, r.rep_end, r.rep_left, r.overlapped) for r in out] == [(1, 5, 2, False), (1, 5, 2, True), (1, 5, 2, False)]
 
 
+def test_rejects_of_repeated_and_null_ids(spark):
+    """A repeated line, one id with a good and a bad line, and two null ids."""
+    good, bad = GOOD_TE[0], BAD_TE[1]
+    rows = [(1, good), (1, good), (2, good), (2, bad), (None, good), (None, bad)]
+    p = rejects.parse_lines(spark.createDataFrame([(i, "te", x) for i, x in rows], "record_id long, fmt string, line_text string"))
+    r = rejects.rejects(p)
+    assert sorted((x.record_id is None, x.record_id or 0) for x in r.collect()) == [(False, 2), (True, 0)]
+    te = rejects.typed_te(p, r).collect()
+    assert sorted((x.record_id is None, x.record_id or 0, x.te_start) for x in te) == [(False, 1, 1), (False, 1, 1), (False, 2, 1), (True, 0, 1)]
+
+
 def test_rejects_long_and_empty(spark):
     df = spark.createDataFrame([(1, "te", 'c\t1\t2\t+\t"' + 'x""' * 50_000 + '"\tf\tc\t5'), (2, "te", "a\t" * 100_000)], "record_id long, fmt string, line_text string")
     assert [r.record_id for r in rejects.rejects(rejects.parse_lines(df)).collect()] == [2]
