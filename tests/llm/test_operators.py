@@ -176,6 +176,18 @@ def test_one_word_set_is_one_class(spark):
     assert {tuple(x) for x in members.groupBy("rep").count().collect()} == {(0, 5000)}
 
 
+def test_near_duplicates_of_null_ids(spark):
+    """A record without an id is in no pair; those with one are not held up by it."""
+    r = random.Random(9)
+    s = "".join(r.choice(DNA) for _ in range(300))
+    rows = [(None, s), (4, s[:280]), (2, s), (None, None), (7, "ACGT")]
+    links, members = neardup.class_links(spark.createDataFrame(rows, "seq_id long, chrseq string").withColumn("rep", F.lit("clash")), "seq_id", "chrseq")
+    assert [tuple(x) for x in neardup.similar_pairs(links, members).collect()] == [(2, 4)]
+    only = spark.createDataFrame([(None, s), (None, s)], "seq_id long, chrseq string")
+    links, members = neardup.class_links(only, "seq_id", "chrseq")
+    assert neardup.similar_pairs(links, members).collect() == []
+
+
 @pytest.mark.parametrize("block", [3, 1000])
 def test_hot_keys_give_every_pair_once(spark, block):
     r = random.Random(block)
