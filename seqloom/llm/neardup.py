@@ -234,11 +234,11 @@ def class_links(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.
     copies on either strand, but also repeats of one unit of different lengths. Copies cost one row each,
     however many there are; only representatives are compared.
 
-    Defined cases: null and empty texts and texts without a valid word are in no class; ids are
-    taken to be unique longs; an empty table gives empty results; texts of any length are used
+    Defined cases: null and empty texts, texts without a valid word and records without an id are in no class;
+    ids are taken to be unique longs (each row of a repeated one counts); an empty table gives empty results; texts of any length are used
     whole; other columns are ignored.
     """
-    t = df.select(F.col(id_col).cast("long").alias("id"), cleaned(text_col).alias("text")).filter(F.col(text_col).isNotNull())
+    t = df.select(F.col(id_col).cast("long").alias("id"), cleaned(text_col).alias("text")).filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     sketched = materialize(t.mapInArrow(_sketch(k), "id long, h1 long, h2 long, bands array<long>"), "sketches")
     classes = sketched.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     members = sketched.select("id", "h1", "h2").join(sketched.groupBy("h1", "h2").agg(F.min("id").alias("rep")), ["h1", "h2"]).select("id", "rep")
