@@ -15,7 +15,7 @@ from seqloom.operators.pairs import pairs_by_key
 from seqloom.queries.intervals_q import _L, elements, hits
 from seqloom.queries.registry import registry
 from seqloom.queries.scalar import _S, _shared, seqs
-from seqloom.session import table
+from seqloom.session import materialize, table
 
 QUERIES, SQL, query = registry()
 
@@ -27,8 +27,9 @@ _BEST = "b AS (SELECT family, col, (list(base ORDER BY n DESC, first_row))[1] AS
 
 
 def msa(spark, d):
+    """Gapped rows, written once: their lengths, families and letters are read one by one."""
     t = seqs(spark, d).filter("genome is not null")
-    return t.select(F.col("genome").alias("family"), F.col("seq_id").alias("row"), _gapped("q").alias("seq"))
+    return materialize(t.select(F.col("genome").alias("family"), F.col("seq_id").alias("row"), _gapped("q").alias("seq")), "msa")
 
 
 def _gapped(q: str):
@@ -66,7 +67,7 @@ def w7(spark, d):
     """Boundary of homology in alignments of copies of the library's hits: here of whole near copies."""
     family = c1(spark, d).select(F.col("name").cast("long").alias("seq_id"), F.col("cluster").alias("family"))
     t = seqs(spark, d).join(family, "seq_id")
-    return cs.homology_boundary(t.select("family", F.col("seq_id").alias("row"), _gapped("q").alias("seq")), 5, ragged=True)
+    return cs.homology_boundary(materialize(t.select("family", F.col("seq_id").alias("row"), _gapped("q").alias("seq")), "msa"), 5, ragged=True)
 
 
 # ---- clusters
