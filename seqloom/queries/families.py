@@ -296,10 +296,21 @@ def v15(spark, d):
     return hmm.stretches(t, "seq_id", "q", m, 1).select("seq_id", F.col("first").alias("rich_start"), F.col("last").alias("rich_end"))
 
 
+def _by_length(t, text: str, width: int):
+    """Rows with texts of about one length side by side, ``width`` letters of them or more where there are as many, spread over many tasks."""
+    t = t.withColumn("band", F.floor(F.log(1.15, F.length(text))).cast("int"))
+    n = t.groupBy("band").agg(F.sum(F.length(text)).alias("letters"))
+    part = F.pmod(F.xxhash64("seq_id"), F.ceil(F.col("letters") / width))
+    tasks = max(8 * t.sparkSession.sparkContext.defaultParallelism, int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return t.join(F.broadcast(n), "band").withColumn("part", part).repartition(tasks, "band", "part")
+
+
 @query("v17_alignment_scores")
 def v17(spark, d):
-    """Global and local score, longest common subsequence and substring of both halves of each sequence; a middle letter goes to the right one."""
-    t = seqs(spark, d).filter(F.length("q") > 0)
+    """Global and local score, longest common subsequence and substring of both halves of each sequence; a middle letter goes to the right one.
+
+    The work is quadratic in the length: short pairs are worked on many at a time, long ones next to others of their length."""
+    t = _by_length(seqs(spark, d).filter(F.length("q") > 0).select("seq_id", "q"), "q", 2 * search.WIDTH)
     half = F.floor(F.length("q") / 2).cast("int")
     return t.select("seq_id", search.pair_scores(F.left("q", half), F.right("q", F.length("q") - half)).alias("x")).select("seq_id", "x.*")
 

@@ -1,14 +1,16 @@
 """Whole jobs where less was done before."""
 
 import random
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 from itertools import combinations, islice
 from statistics import mean, stdev
 
+import pandas as pd
 import pytest
 
-from seqloom.functions import stats
+from seqloom.functions import search, stats
 from seqloom.queries import all_queries
 from seqloom.streaming import chunks
 
@@ -119,3 +121,24 @@ def test_alignment_scores_reach_the_middle(spark, tmp_path):
     got = {r.seq_id: tuple(r)[1:] for r in all_queries()["v17_alignment_scores"](spark, str(tmp_path)).collect()}
     assert got[0][1] == got[0][3] == 90
     assert {i: got[i] for i in (1, 2, 3)} == {1: (-1, 0, 0, 0), 2: (-1, 0, 0, 0), 3: (0, 1, 1, 1)}
+
+
+def test_alignment_scores_of_many_and_of_long_pairs():
+    """Pairs of all lengths at once give the scores of the row by row form, far faster."""
+    rng = random.Random(8)
+    word = lambda n, letters="ACGT": "".join(rng.choice(letters) for _ in range(n))
+    pairs = [(word(rng.randrange(70), x), word(rng.randrange(70), x)) for x in ("A", "ACGT", "ACGTN-*", "".join(map(chr, range(60, 140)))) for _ in range(40)]
+    same = word(1800)
+    pairs += [(same, same), (same[:1500], word(1500)), (word(900), same), ("", "A"), ("AC", "GT")]  # scores over 255
+    assert search.both_scores(pairs) == [(search.align(a, b), search.align(a, b, local=True)) for a, b in pairs]
+    assert [search.common_length(a, b) for a, b in pairs] == [search.align(a, b, 1, 0, 0) if a and b else 0 for a, b in pairs]
+    for a, b in pairs[:160]:
+        assert search.common_length(a, b, True) == max((k for k in range(71) if {a[i : i + k] for i in range(len(a) - k + 1)} & {b[i : i + k] for i in range(len(b) - k + 1)}), default=0)
+    assert search.common_length(same + "A" * 50, "C" + same, True) == 1800
+    pairs = [(word(600), word(600)) for _ in range(150)]
+    began = time.process_time()
+    got = search._pair_scores(*(pd.Series(x) for x in zip(*pairs)))
+    spent = time.process_time() - began
+    began = time.process_time()
+    assert [(search.align(a, b), search.align(a, b, local=True)) for a, b in pairs[:30]] == list(zip(got.global_score[:30], got.local_score[:30]))
+    assert spent < 2.5 * (time.process_time() - began)  # all four of five times the pairs
