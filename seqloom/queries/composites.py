@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.operators import chains, nearby
-from seqloom.operators import consensus as cs
+from seqloom.operators import chains, nearby, rowwise
 from seqloom.operators import intervals as iv
 from seqloom.queries.families import c1, identity_clusters
 from seqloom.queries.intervals_q import _A, _B, _gap_share, _island_sql, annotations, copies, hits
@@ -69,7 +68,7 @@ def c3(spark, d):
     # a cluster of one is its own consensus
     n = t.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
     many = t.join(n.filter("members > 1").select("family"), "family").select("family", F.col("seq_id").alias("row"), F.translate("q", "N", "-").alias("seq"))
-    cons = cs.majority(many, ragged=True).unionByName(t.join(n.filter("members = 1").select("family"), "family").select("family", F.col("q").alias("consensus")))
+    cons = rowwise.majority(many).unionByName(t.join(n.filter("members = 1").select("family"), "family").select("family", F.col("q").alias("consensus")))
     cons = materialize(cons, "consensus")
     again = identity_clusters(cons.select(F.col("family").alias("seq_id"), F.col("consensus").alias("q"))).select(F.col("name").cast("long").alias("family"), F.col("cluster").cast("long").alias("merged"))
     out = n.join(cons, "family").join(again, "family", "left")

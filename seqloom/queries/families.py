@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import search
 from seqloom.functions import sequence as sq
 from seqloom.operators import consensus as cs
-from seqloom.operators import chains, hmm, nearby
+from seqloom.operators import chains, hmm, nearby, seeds
 from seqloom.operators import intervals as iv
 from seqloom.operators.ordered import ordered_groups
 from seqloom.operators.pairs import pairs_by_key
@@ -175,11 +175,14 @@ def j21(spark, d):
 
 def identity_clusters(t):
     """Longest-first greedy clusters of the sequences ``seq_id, q`` joined by shared seeds that cover half of the shorter one or more."""
-    n = t.filter(F.length("q") >= 80).select("seq_id", F.length("q").alias("len"))
-    p = seed_pairs(t)
-    both = p.select(F.col("x").alias("a"), F.col("y").alias("b"), "seeds").union(p.select("y", "x", "seeds"))
+    t = t.filter(F.length("q") >= 80)
+    n = t.select("seq_id", F.length("q").alias("len"))
+    both = seeds.subject_pairs(t.select("seq_id", "q", F.greatest(F.lit(10), F.ceil(F.length("q") / 2) - 15).alias("need")))
+    if both is None:  # too many letters for words as numbers
+        p = seed_pairs(t)
+        both = p.select(F.col("x").alias("query"), F.col("y").alias("subject"), "seeds").union(p.select("y", "x", "seeds"))
     name = lambda c: F.col(c).cast("string")
-    spans = both.select(name("a").alias("query"), name("b").alias("subject"), F.lit(0).alias("q_len"), (F.col("seeds") + 15).alias("s_len"))
+    spans = both.select(name("query").alias("query"), name("subject").alias("subject"), F.lit(0).alias("q_len"), (F.col("seeds") + 15).alias("s_len"))
     order = n.select(name("seq_id").alias("name"), "len", (F.lit(1 << 40) * (F.lit(1 << 20) - F.col("len")) + F.col("seq_id")).alias("ordinal"))
     return cs.first_come_clusters(order, spans, 0.5)
 

@@ -7,11 +7,13 @@ from datetime import datetime, timedelta
 from itertools import combinations, islice
 from statistics import mean, stdev
 
+import numpy as np
 import pandas as pd
 import pytest
 
 from seqloom.functions import search, stats
-from seqloom.queries import all_queries
+from seqloom.operators import consensus, rowwise, seeds
+from seqloom.queries import all_queries, families
 from seqloom.streaming import chunks
 
 
@@ -142,3 +144,46 @@ def test_alignment_scores_of_many_and_of_long_pairs():
     began = time.process_time()
     assert [(search.align(a, b), search.align(a, b, local=True)) for a, b in pairs[:30]] == list(zip(got.global_score[:30], got.local_score[:30]))
     assert spent < 2.5 * (time.process_time() - began)  # all four of five times the pairs
+
+
+def test_shared_words_of_wanted_sequences_only(spark, tmp_path, monkeypatch):
+    """Copies, a word of 40 letters in all sequences, and letters that are no bases: pairs of a subject that can have enough words are counted, no others."""
+    rng = random.Random(9)
+    word = lambda n, letters="ACGT": "".join(rng.choice(letters) for _ in range(n))
+    common, whole, other = word(40), word(400), word(300, "ACGT*-é")
+    rows = [word(100) + common + word(rng.randrange(300)) for _ in range(40)] + [whole, whole[:250], whole[100:] + "N" + common, common + word(30), other, other[50:200], "A" * 90, "A" * 100, "ACGT" * 3]
+    need = lambda q: max(10, (len(q) + 1) // 2 - 15)
+    words = [{q[p : p + 16] for p in range(len(q) - 15) if "N" not in q[p : p + 16]} for q in rows]
+    want = {(5 * i, 5 * j): n for i, x in enumerate(words) for j, y in enumerate(words) if i != j and (n := len(x & y)) >= need(rows[i])}
+    t = spark.createDataFrame([(5 * i, q, need(q)) for i, q in enumerate(rows)], "seq_id long, q string, need int")
+    assert {(r.subject, r.query): r.seeds for r in seeds.subject_pairs(t).collect()} == want and len({i for i, _ in want}) < 10
+    monkeypatch.setattr(seeds, "PAIRS", 3)
+    size, ids = np.array([3, 2, 4], np.int32), np.array([5, 7, 9, 7, 9, 1, 5, 7, 9])
+    got = Counter()
+    for a, b, n in seeds._met(size, ids, np.array([7, 8])):
+        got.update({(int(x), int(y)): int(z) for x, y, z in zip(a, b, n)})
+    assert got == {(7, 5): 2, (7, 9): 3, (7, 1): 1}
+
+
+def test_more_letters_than_words_as_numbers_have(spark):
+    q = "".join(map(chr, range(0x100, 0x170)))
+    t = spark.createDataFrame([(1, q), (2, q[10:]), (3, "ACGT" * 30)], "seq_id long, q string")
+    assert {(r.name, r.cluster) for r in families.identity_clusters(t).collect()} == {("1", "1"), ("2", "1"), ("3", "3")}
+
+
+def test_columns_by_rows(spark):
+    """Random alignments of one to 40 rows give what the counted columns give; letters are never rows of a table."""
+    rng = random.Random(10)
+    rows = []
+    for f in range(30):
+        base = "".join(rng.choice("ACGT-") for _ in range(rng.randrange(1, 120)))
+        for _ in range(rng.choice((1, 2, 3, 7, 12, 40))):
+            rows.append((f, len(rows) * 7 % 1009, "".join(c if rng.random() < 0.9 else rng.choice("ACGT-*é") for c in base[: rng.randrange(len(base) + 1) or None])))
+    rows += [(30, 1, None), (31, 2, "")]
+    t = spark.createDataFrame(rows, "family int, row long, seq string").repartition(3)
+    new = rowwise.majority(t)
+    assert "Generate" not in new._jdf.queryExecution().toString()
+    assert sorted(new.collect()) == sorted(consensus.majority(t, ragged=True).collect())
+    for width in (3, 5):
+        got = sorted(rowwise.homology_boundary(t, width).collect())
+        assert got == sorted(consensus.homology_boundary(t, width, ragged=True).collect()) and len(got) > 5
