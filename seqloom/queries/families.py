@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import search
 from seqloom.functions import sequence as sq
 from seqloom.operators import consensus as cs
-from seqloom.operators import chains, hmm, nearby, seeds
+from seqloom.operators import chains, hmm, nearby, rowwise, seeds
 from seqloom.operators import intervals as iv
 from seqloom.operators.ordered import ordered_groups
 from seqloom.operators.pairs import pairs_by_key
@@ -67,7 +67,7 @@ def w7(spark, d):
     """Boundary of homology in alignments of copies of the library's hits: here of whole near copies."""
     family = c1(spark, d).select(F.col("name").cast("long").alias("seq_id"), F.col("cluster").alias("family"))
     t = seqs(spark, d).join(family, "seq_id")
-    return cs.homology_boundary(materialize(t.select("family", F.col("seq_id").alias("row"), _gapped("q").alias("seq")), "msa"), 5, ragged=True)
+    return rowwise.homology_boundary(t.select("family", F.col("seq_id").alias("row"), _gapped("q").alias("seq")), 5)
 
 
 # ---- clusters

@@ -187,3 +187,9 @@ def test_columns_by_rows(spark):
     for width in (3, 5):
         got = sorted(rowwise.homology_boundary(t, width).collect())
         assert got == sorted(consensus.homology_boundary(t, width, ragged=True).collect()) and len(got) > 5
+
+
+def test_homology_boundary_makes_no_row_for_each_letter(spark, data):
+    t = all_queries()["win_w7_homology_boundary"](spark, data)
+    assert "Generate" not in t._jdf.queryExecution().toString()
+    assert t.count() > 10
